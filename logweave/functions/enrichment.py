@@ -25,3 +25,89 @@ def duration_ms(message, convert_units=False):
         first = F.regexp_extract(c, DURATION, 0)
         value = F.when(F.rlike(first, F.lit(seconds)), value * 1000).otherwise(value)
     return value
+
+
+def _hit(c, pattern, group):
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
+def extract_fields(message, convert_units=False):
+    """First hit of each pattern as a struct; fields without a hit are null."""
+    c = _column(message)
+    status = F.nullif(F.regexp_extract(c, STATUS_CODE, 2), F.lit("")).cast("int")
+    # the mandatory literal characters are tested first: most lines skip these two patterns
+    ip = F.when(F.contains(c, F.lit(".")), _hit(c, IP_ADDRESS, 1))
+    path = F.when(F.contains(c, F.lit("/")), _hit(c, URL_PATH, 1))
+    kind = F.regexp_replace(F.regexp_extract(c, EXCEPTION, 1), r"(?U)^\s+|\s+$", "")
+    kind = F.when(F.rlike(c, F.lit(EXCEPTION)), F.substring(kind, 1, 200))
+    return F.struct(
+        status.alias("status_code"),
+        duration_ms(c, convert_units).alias("duration_ms"),
+        ip.alias("ip_address"),
+        path.alias("url_path"),
+        kind.alias("exception_type"),
+        _hit(c, USER_ID, 1).alias("user_id"),
+    )
+
+
+# One line of a trace: ``Type: text``, with ``Caused by:`` allowed before an exception or error.
+# ``(?d)`` ends lines at newlines only; ``[^\S\n]`` is white space within a line.
+_NAME = r"\w+(?:\.\w+)*"
+_TRACE_LINE = (
+    r"(?Udm)^[^\S\n]*(?:(" + _NAME + r"(?:Error|Exception|Warning))|Caused by:[^\S\n]*(" + _NAME +
+    r"(?:Exception|Error))):[^\S\n]*(\S[^\n]*?)?[^\S\n]*$"
+)
+_FRAME = r"(?Udm)^[^\S\n]*(?:at|File) (?=[^\n]*\S)"
+_FRAME_STRICT = r'(?Udm)^[^\S\n]*(?:at [\w$.<>/]+\(|File "|Caused by:|Traceback \(most recent call last\)|Exception in thread)'
+
+
+def extract_stack_trace(message, strict=False):
+    """Stack trace facts, or null when the text holds no mark of one.
+
+    The mark ``"at "`` also occurs in prose ("usage at 90%"); ``strict`` asks for a line that
+    starts like a frame or a trace header instead.
+    """
+    c = _column(message)
+    if strict:
+        marked = F.rlike(c, F.lit(_FRAME_STRICT))
+    else:
+        marked = F.lit(False)
+        for mark in STACK_TRACE_MARKS:
+            marked = marked | F.contains(c, F.lit(mark))
+    kind = F.coalesce(_hit(c, _TRACE_LINE, 1), _hit(c, _TRACE_LINE, 2))
+    return F.when(marked, F.struct(
+        F.lit(True).alias("has_stack_trace"),
+        kind.alias("exception_type"),
+        _hit(c, _TRACE_LINE, 3).alias("exception_message"),
+        F.regexp_count(c, F.lit(_FRAME)).alias("stack_depth"),
+    ))
+
+
+def merge_metadata(metadata, **parts):
+    """JSON object text with extra keys; a null part leaves the key as it was."""
+    base = F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,variant>")
+    base = F.coalesce(base, F.from_json(F.lit("{}"), "map<string,variant>"))
+    keys = F.array_compact(F.array(*[F.when(v.isNotNull(), F.lit(k)) for k, v in parts.items()]))
+    extra = F.map_from_entries(F.array_compact(F.array(*[
+        F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), F.parse_json(v).alias("value")))
+        for k, v in parts.items()
+    ])))
+    kept = F.map_filter(base, lambda k, v: ~F.array_contains(keys, k))
+    return F.to_json(F.map_concat(kept, extra))
+
+
+def enrich(df, strict=False, convert_units=False, now=None):
+    """Add ``extracted``, ``stack_trace`` and ``processed_at`` to the metadata.
+
+    The facts also stay as columns ``extracted`` and ``stack_trace`` for use without JSON.
+    """
+    now = F.current_timestamp() if now is None else now
+    found = df.withColumn("extracted", extract_fields("message", convert_units)).withColumn(
+        "stack_trace", extract_stack_trace("message", strict))
+    text = F.to_json("extracted")
+    return found.withColumn("metadata", merge_metadata(
+        F.col("metadata"),
+        extracted=F.when(text != "{}", text),
+        stack_trace=F.to_json("stack_trace", {"ignoreNullFields": "false"}),
+        processed_at=F.concat(F.lit('"'), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"')),
+    ))

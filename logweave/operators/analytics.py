@@ -317,7 +317,7 @@ def sample_n(df, n=5000, seed=42, key="id"):
 
 
 def refresh_views(df, path, as_of=None):
-    """Write the hourly and the health tables; readers keep the old files until the swap."""
+    """Recompute the hourly and the health tables and return them as read back."""
     hourly_stats(df).write.mode("overwrite").parquet(f"{path}/hourly_stats")
     service_health(df, as_of).write.mode("overwrite").parquet(f"{path}/service_health")
     spark = df.sparkSession

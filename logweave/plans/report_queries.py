@@ -65,10 +65,24 @@ def filter_metadata(spark, sf):
     return X.filter_metadata(logs(spark, sf), '{"k": 42}').select("id", "metadata")
 
 
+def _rich(spark, sf):
+    """Rows whose metadata nests the other columns, so every kind of containment has hits."""
+    rows = logs(spark, sf)
+    context = F.struct(F.col("environment").alias("env"), "host")
+    return rows.withColumn("metadata", F.to_json(F.struct("level", context.alias("ctx"), F.array("service_name", "level").alias("tags"))))
+
+
 @query("filter_metadata_pairs", with_logs(
-    "SELECT id, metadata FROM logs WHERE json_type(metadata, '$.k') = 'VARCHAR' AND json_extract_string(metadata, '$.k') = '42'"))
+    "SELECT id FROM logs WHERE level='WARN'"))
 def filter_metadata_pairs(spark, sf):
-    return X.filter_metadata(logs(spark, sf), "k=42").select("id", "metadata")
+    return X.filter_metadata(_rich(spark, sf), "level=WARN").select("id")
+
+
+@query("filter_metadata_nested", with_logs(
+    "SELECT id FROM logs WHERE environment='staging' AND level='FATAL' AND service_name='auth-service'"))
+def filter_metadata_nested(spark, sf):
+    wanted = {"ctx": {"env": "staging"}, "tags": ["FATAL", "auth-service"]}
+    return X.filter_metadata(_rich(spark, sf), wanted).select("id")
 
 
 @query("filter_ilike", with_logs(

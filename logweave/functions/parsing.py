@@ -87,50 +87,47 @@ def _meta(fmt, *fields, keep_null=True):
 
 # --- JSON --------------------------------------------------------------------
 
-def json_fields(line):
-    """The top-level keys of a JSON object line as ``map<string, variant>``, else null.
+_OPTIONS = {"allowSingleQuotes": "false"}
 
-    Strict where the map reader is lenient: text after the object does not match, and of a
-    repeated key the last one counts.
+
+def json_wrapped(line):
+    """The line read as the only element of an array of objects, else null.
+
+    The map reader ignores text after an object; inside the brackets it does not.
     """
     text = strip(line)
-    options = {"allowSingleQuotes": "false"}
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>", options)
-    sealed = F.from_json(F.concat(F.lit('{"o":'), text, F.lit("}")), "map<string,variant>", options)
-    found = F.when(F.size(wrapped) == 1, wrapped[0])
+    found = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>", _OPTIONS)
+    sealed = F.from_json(F.concat(F.lit('{"o":'), text, F.lit("}")), "map<string,variant>", _OPTIONS)
     # "}]" can close the wrapping array early, so such lines must also pass the other wrapping
-    found = F.when(F.rlike(text, F.lit(r"\}\s*\]")) & sealed.isNull(), None).otherwise(found)
-    return F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), found)
+    broken = F.rlike(text, F.lit(r"\}\s*\]")) & sealed.isNull()
+    return F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & ~broken, found)
 
 
-def last_key_wins(fields):
+def json_fields(wrapped):
+    """Top-level keys as ``map<string, variant>``; of a repeated key the last one counts."""
+    fields = F.get(wrapped, F.lit(0))
     keys = F.map_keys(fields)
-    entries = F.map_entries(fields)
     last = F.map_from_entries(F.filter(
-        entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])))
-    return F.when(F.size(keys) == F.size(F.array_distinct(keys)), fields).otherwise(last)
-
-
-def _truthy(value):
-    """Text of a variant, or null when it is empty: null, false, 0, '', [] or {}."""
-    kind = F.schema_of_variant(value)
-    text = F.when(kind.isin("OBJECT<>", "ARRAY<VOID>") | F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")),
-                  F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
-    number = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(kind == "STRING", F.nullif(text, F.lit("")))
-        .when(kind == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), F.lit("True")))
-        .when(kind == "VOID", None)
-        .when(text.isin("[]", "{}"), None)
-        .when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), text)
-        .when(number != 0, text)
-    )
+        F.map_entries(fields), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])))
+    return F.when(F.size(wrapped) == 1,
+                  F.when(F.size(keys) == F.size(F.array_distinct(keys)), fields).otherwise(last))
+
+
+def json_values(fields):
+    """Known keys with a value, as text. Empty are null, false, 0, "", [] and {}."""
+    known = [key for keys in JSON_KEYS.values() for key in keys]
+    forms = F.transform_values(
+        F.map_filter(fields, lambda k, v: k.isin(known)),
+        lambda k, v: F.struct(F.to_json(v).alias("json"), v.cast("string").alias("text")))
+    filled = F.map_filter(forms, lambda k, e: ~(
+        e["json"].isin("null", "false", '""', "[]", "{}") | F.rlike(e["json"], F.lit(r"^-?0(?:\.0*)?(?:[eE].*)?$"))))
+    return F.transform_values(filled, lambda k, e: F.when(e["json"] == "true", F.lit("True")).otherwise(e["text"]))
 
 
-def json_entry(fields):
-    """``ENTRY`` from the key map; null when no message key has a value."""
+def json_entry(fields, values):
+    """``ENTRY`` from the key maps; null when no message key has a value."""
     first = {
-        name: F.coalesce(*[_truthy(F.element_at(fields, F.lit(key))) for key in keys])
+        name: F.coalesce(*[F.try_element_at(values, F.lit(key)) for key in keys])
         for name, keys in JSON_KEYS.items()
     }
     known = [key for keys in JSON_KEYS.values() for key in keys] + [FORMAT_KEY]
@@ -143,7 +140,9 @@ def json_entry(fields):
 
 
 def parse_json_lines(line):
-    return _let(last_key_wins(json_fields(_column(line))), json_entry)
+    def with_values(fields):
+        return _let(json_values(fields), lambda values: json_entry(fields, values))
+    return _let(json_wrapped(_column(line)), lambda wrapped: _let(json_fields(wrapped), with_values))
 
 
 # --- syslog ------------------------------------------------------------------

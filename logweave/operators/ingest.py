@@ -12,7 +12,6 @@ from logweave.functions.timestamps import normalize_timestamp
 from logweave.model import LEVELS, STRUCTURED_SCHEMA
 
 _STEPS = [
-    ("_json", lambda c: P.last_key_wins(P.json_fields(c)), P.json_entry),
     ("_s5424", P.syslog_5424_groups, P.syslog_5424_entry),
     ("_s3164", P.syslog_3164_groups, P.syslog_3164_entry),
     ("_access", P.access_log_groups, P.access_log_entry),
@@ -28,13 +27,14 @@ def auto_parse(df, col="value"):
     ones left over. Each step is its own projection, so no pattern is evaluated twice.
     """
     keep = df.columns
-    entry = None
+    df = df.withColumn("_wrapped", P.json_wrapped(F.col(col)))
+    df = df.withColumn("_fields", P.json_fields(F.col("_wrapped")))
+    df = df.withColumn("_values", P.json_values(F.col("_fields")))
+    df = df.withColumn("_entry", F.when(F.col("_fields").isNotNull(), P.json_entry(F.col("_fields"), F.col("_values"))))
     for name, match, build in _STEPS:
-        found = match(F.col(col))
-        df = df.withColumn(name, found if entry is None else F.when(F.col("_entry").isNull(), found))
+        df = df.withColumn(name, F.when(F.col("_entry").isNull(), match(F.col(col))))
         built = F.when(F.col(name).isNotNull(), build(F.col(name)))
-        entry = built if entry is None else F.coalesce(F.col("_entry"), built)
-        df = df.withColumn("_entry", entry)
+        df = df.withColumn("_entry", F.coalesce(F.col("_entry"), built))
     df = df.withColumn("_entry", F.coalesce(F.col("_entry"), P.fallback_entry(F.col(col))))
     return df.select(*keep, "_entry.*")
 

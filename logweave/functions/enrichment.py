@@ -104,10 +104,11 @@ def enrich(df, strict=False, convert_units=False, now=None):
     now = F.current_timestamp() if now is None else now
     found = df.withColumn("extracted", extract_fields("message", convert_units)).withColumn(
         "stack_trace", extract_stack_trace("message", strict))
-    text = F.to_json("extracted")
-    return found.withColumn("metadata", merge_metadata(
-        F.col("metadata"),
-        extracted=F.when(text != "{}", text),
-        stack_trace=F.to_json("stack_trace", {"ignoreNullFields": "false"}),
-        processed_at=F.concat(F.lit('"'), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"')),
-    ))
+    parts = {
+        "extracted": F.when(F.to_json("extracted") != "{}", F.to_json("extracted")),
+        "stack_trace": F.to_json("stack_trace", {"ignoreNullFields": "false"}),
+        "processed_at": F.concat(F.lit('"'), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"')),
+    }
+    staged = found.withColumns({f"_{k}": v for k, v in parts.items()})
+    merged = merge_metadata(F.col("metadata"), **{k: F.col(f"_{k}") for k in parts})
+    return staged.withColumn("metadata", merged).drop(*[f"_{k}" for k in parts])

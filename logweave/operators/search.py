@@ -219,10 +219,9 @@ def rarest_term(dictionary, q):
 
 def trigram_index(df, col="message"):
     """``gram, id``: the distinct three-letter pieces of each lower-cased text."""
-    text = F.lower(F.col(col))
-    count = F.greatest(F.length(text) - 2, F.lit(0))
-    grams = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, F.lit(3))))
-    return df.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
+    rows = df.select("id", F.lower(F.col(col)).alias("_text")).where(F.length("_text") >= 3)
+    grams = F.transform(F.sequence(F.lit(1), F.length("_text") - 2), lambda i: F.substring("_text", i, F.lit(3)))
+    return rows.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def trigram_search(df, grams, term, col="message"):

@@ -122,14 +122,6 @@ def _warnings(spark, sf):
     return filter_errors(logs(spark, sf), with_warnings=True)
 
 
-def _model(df):
-    """Templates, vocabulary, vectors and clusters of a table of messages."""
-    tmpl = P.templates(df)
-    tfidf = P.tfidf_fit(tmpl)
-    vectors = P.vectorize(tmpl, tfidf)
-    return tmpl, tfidf, vectors, P.cluster_messages(tmpl, vectors)
-
-
 @query("templates", with_logs("SELECT template, id, n, sample FROM tmpl", _WARNINGS, *_pattern_ctes("msgs")[:1]))
 def templates(spark, sf):
     return P.templates(_warnings(spark, sf)).select("template", "id", "n", "sample")
@@ -158,18 +150,18 @@ def tfidf_transform(spark, sf):
 
 @query("cluster_messages", with_logs("SELECT id, n, cluster_id FROM clustered", _WARNINGS, *_pattern_ctes("msgs"), *_CLUSTERS[:7], recursive=True))
 def cluster_messages(spark, sf):
-    return _model(_warnings(spark, sf))[3]
+    return P.fit_patterns(_warnings(spark, sf)).clusters
 
 
 @query("cluster_documents", _TEXTS + ",\n" + ",\n".join(_pattern_ctes("msgs") + _CLUSTERS[:7]) + "\nSELECT id, n, cluster_id FROM clustered")
 def cluster_documents(spark, sf):
-    return _model(_documents(spark, sf))[3]
+    return P.fit_patterns(_documents(spark, sf)).clusters
 
 
 @query("cluster_centers", with_logs("SELECT cluster_id, term, round(w, 9) AS w FROM centers", _WARNINGS, *_pattern_ctes("msgs"), *_CLUSTERS, recursive=True))
 def cluster_centers(spark, sf):
-    _, tfidf, vectors, clusters = _model(_warnings(spark, sf))
-    named = P.cluster_centers(clusters, vectors).join(tfidf.vocabulary.select("term", F.col("rank").alias("r")), "r")
+    model = P.fit_patterns(_warnings(spark, sf))
+    named = model.centers.join(model.tfidf.vocabulary.select("term", F.col("rank").alias("r")), "r")
     return named.select("cluster_id", "term", F.round("w", 9).alias("w"))
 
 
@@ -179,9 +171,8 @@ def cluster_centers(spark, sf):
     "(SELECT cluster_id, vec.id, round(sum(w * c), 9) AS s FROM vec JOIN clustered USING (id) JOIN unit USING (cluster_id, term) GROUP BY 1, 2) GROUP BY 1) JOIN tmpl USING (id)) USING (cluster_id)",
     _WARNINGS, *_pattern_ctes("msgs"), *_CLUSTERS, recursive=True))
 def cluster_sizes(spark, sf):
-    tmpl, _, vectors, clusters = _model(_warnings(spark, sf))
-    centers = P.cluster_centers(clusters, vectors)
-    return P.cluster_sizes(clusters, P.representatives(tmpl, clusters, vectors, centers))
+    model = P.fit_patterns(_warnings(spark, sf))
+    return P.cluster_sizes(model.clusters, model.representatives)
 
 
 _NOVEL = [
@@ -197,8 +188,8 @@ _NOVEL = [
 
 def _novel(spark, sf):
     """Every message of the table against the patterns of its errors and warnings."""
-    _, tfidf, vectors, clusters = _model(_warnings(spark, sf))
-    return P.novel_messages(logs(spark, sf), tfidf, P.cluster_centers(clusters, vectors))
+    model = P.fit_patterns(_warnings(spark, sf))
+    return P.novel_messages(logs(spark, sf), model.tfidf, model.centers)
 
 
 @query("novel_messages", with_logs("SELECT id, round(s, 9)::DOUBLE AS similarity, round(s, 9) < 0.3 AS is_novel FROM novel",

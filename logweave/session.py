@@ -1,6 +1,7 @@
 """Session set-up and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +43,14 @@ def checkpoint_dir(spark):
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df, name):
+    """Write ``df`` once to the shared checkpoint folder and return it as read back.
+
+    For results that several later steps read, and to cut the lineage of iterations: the table
+    survives lost executors, and later plans start from its files and their statistics.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/logweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

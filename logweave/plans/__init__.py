@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["report_queries", "ingest_queries", "search_queries", "alert_queries", "model_queries"]
+MODULES = ["report_queries", "ingest_queries", "search_queries", "alert_queries", "model_queries", "stream_queries"]
 
 
 def load_queries():

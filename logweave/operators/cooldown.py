@@ -60,13 +60,13 @@ def cooldown(df, key, time="timestamp", seconds=COOLDOWN_SECONDS, order="id"):
     return rows.join(fired, [*keys, "_sec"], "left_semi").drop("_sec").select(df.columns)
 
 
-def pattern_fold(pdf, seconds, last):
-    """Fold rows ``(_sec, id, _mask)`` in order; ``last`` maps pattern number to its last fire.
+def pattern_fold(times, masks, seconds, last):
+    """Fold rows of times and pattern masks in order; ``last`` maps pattern number to its last fire.
 
     Of the patterns a row matches, the first one not cooling down fires. Returns ``[(row, pattern)]``.
     """
     out = []
-    for i, (sec, mask) in enumerate(zip(pdf["_sec"].to_numpy(), pdf["_mask"].to_numpy())):
+    for i, (sec, mask) in enumerate(zip(times.to_numpy(), masks.to_numpy())):
         mask, number = int(mask), 0
         while mask:
             if mask & 1 and sec - last.get(number, -seconds * 2) >= seconds:
@@ -95,7 +95,7 @@ def pattern_cooldown(df, key, time="timestamp", order="id", seconds=COOLDOWN_SEC
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([time, order]).reset_index(drop=True)
-        fired = pattern_fold(pdf, seconds, {})
+        fired = pattern_fold(pdf["_sec"], pdf["_mask"], seconds, {})
         picked = pdf.iloc[[i for i, _ in fired]][[key, order]]
         return picked.assign(pattern=np.array([p for _, p in fired], dtype="int32"))
 

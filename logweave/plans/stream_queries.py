@@ -13,6 +13,7 @@ from logweave.operators import analytics as A
 from logweave.operators import anomaly as N
 from logweave.operators import ingest as I
 from logweave.operators.enrich import process
+import logweave.plans.report_queries  # noqa: F401  (its SQL texts are used below)
 from logweave.plans.alert_queries import _RATES, _alerts, _anomalies, _chain
 from logweave.plans.base import SQL, logs, query, with_logs
 from logweave.plans.ingest_queries import NOW, rendered

@@ -1,7 +1,8 @@
 """Cooldowns on streams: keyed state holds the last fire.
 
 Only candidates reach the state, and each key's rows are cut to those that can still fire while
-they stream through, so memory follows the seconds of a batch and not its rows.
+they stream through, so memory follows the seconds of a batch and not its rows. (Helper columns
+have no leading underscore: the state API drops such names.)
 """
 
 from collections.abc import Iterator
@@ -34,15 +35,18 @@ class _Cooldown(StatefulProcessor):
         self.last = handle.getValueState("last", "sec long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        firsts = pd.DataFrame()
+        firsts = None
         for pdf in rows:
-            both = pd.concat([firsts, pdf]).sort_values(["_sec", "_time", "_order"])
-            firsts = both.drop_duplicates("_sec")
+            if len(pdf):
+                both = pdf if firsts is None else pd.concat([firsts, pdf])
+                firsts = both.sort_values(["cd_sec", "cd_time", "cd_order"]).drop_duplicates("cd_sec")
+        if firsts is None:
+            return
         firsts = firsts.reset_index(drop=True)
         last = self.last.get()[0] if self.last.exists() else None
-        fired = fires(firsts["_sec"].to_numpy(), self.seconds, last)
+        fired = fires(firsts["cd_sec"].to_numpy(), self.seconds, last)
         if fired:
-            self.last.update((int(firsts["_sec"].iloc[fired[-1]]),))
+            self.last.update((int(firsts["cd_sec"].iloc[fired[-1]]),))
             yield firsts.iloc[fired]
 
     def close(self) -> None:
@@ -59,14 +63,17 @@ class _PatternCooldown(StatefulProcessor):
         self.last = handle.getMapState("last", "pattern int", "sec long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame()
+        kept = None
         for pdf in rows:
-            both = pd.concat([kept, pdf]).sort_values(["_time", "_order"])
-            bits = both["_mask"].map(lambda m: int(m).bit_count())
-            kept = both[both.groupby(["_sec", "_mask"]).cumcount() < bits]
+            if len(pdf):
+                both = (pdf if kept is None else pd.concat([kept, pdf])).sort_values(["cd_time", "cd_order"])
+                bits = both["cd_mask"].map(lambda m: int(m).bit_count())
+                kept = both[both.groupby(["cd_sec", "cd_mask"]).cumcount() < bits]
+        if kept is None:
+            return
         kept = kept.reset_index(drop=True)
         last = {k[0]: v[0] for k, v in self.last.iterator()}
-        fired = pattern_fold(kept, self.seconds, last)
+        fired = pattern_fold(kept["cd_sec"], kept["cd_mask"], self.seconds, last)
         if fired:
             for pattern in {p for _, p in fired}:
                 self.last.updateValue((pattern,), (last[pattern],))
@@ -84,7 +91,7 @@ def _run(rows, key, processor, schema):
 def stream_cooldown(stream, key, time="timestamp", seconds=COOLDOWN_SECONDS, order="id"):
     """Candidates that fire, in arrival order of the batches; rows of one batch go by time."""
     use_rocksdb(stream.sparkSession)
-    rows = stream.select("*", epoch_seconds(stream, time).alias("_sec"), F.col(time).alias("_time"), F.col(order).alias("_order"))
+    rows = stream.select("*", epoch_seconds(stream, time).alias("cd_sec"), F.col(time).alias("cd_time"), F.col(order).alias("cd_order"))
     return _run(rows, key, _Cooldown(seconds), rows.schema).select(stream.columns)
 
 
@@ -92,7 +99,7 @@ def stream_alert_pattern(stream, patterns=CRITICAL_PATTERNS, seconds=COOLDOWN_SE
     """Pattern alerts of a log stream."""
     use_rocksdb(stream.sparkSession)
     rows = pattern_candidates(stream.select("id", "timestamp", "level", "service_name", "message"), patterns)
-    rows = rows.select("id", "timestamp", "service_name", "message", "_mask", epoch_seconds(stream).alias("_sec"),
-                       F.col("timestamp").alias("_time"), F.col("id").alias("_order"))
+    rows = rows.select("id", "timestamp", "service_name", "message", F.col("_mask").alias("cd_mask"), epoch_seconds(stream).alias("cd_sec"),
+                       F.col("timestamp").alias("cd_time"), F.col("id").alias("cd_order"))
     schema = T.StructType(rows.schema.fields + [T.StructField("pattern", T.IntegerType())])
     return pattern_alerts(_run(rows, "service_name", _PatternCooldown(seconds), schema), patterns)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from logweave.functions.masking import strip
+
 # Extraction patterns, and the substrings that mark a stack trace.
 STATUS_CODE = r"(?iU)\b(status[_\s]?(?:code)?|HTTP)[:\s=]*(\d{3})\b"
 DURATION = r"(?iU)\b(?:duration|elapsed|took|time|latency|response_time)[:\s=]*(\d+(?:\.\d+)?)\s*(?:ms|milliseconds|s|seconds)?\b"
@@ -38,7 +40,7 @@ def extract_fields(message, convert_units=False):
     # the mandatory literal characters are tested first: most lines skip these two patterns
     ip = F.when(F.contains(c, F.lit(".")), _hit(c, IP_ADDRESS, 1))
     path = F.when(F.contains(c, F.lit("/")), _hit(c, URL_PATH, 1))
-    kind = F.regexp_replace(F.regexp_extract(c, EXCEPTION, 1), r"(?U)^\s+|\s+$", "")
+    kind = strip(F.regexp_extract(c, EXCEPTION, 1))
     kind = F.when(F.rlike(c, F.lit(EXCEPTION)), F.substring(kind, 1, 200))
     return F.struct(
         status.alias("status_code"),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from logweave.functions.masking import strip
 from logweave.model import LEVELS
 
 # Level synonyms, and the level of each syslog severity.
@@ -21,7 +22,7 @@ def _column(c):
 
 def normalize_level(level):
     """One of the six levels; anything unknown is ``INFO``."""
-    name = F.lower(F.regexp_replace(_column(level), r"(?U)^\s+|\s+$", ""))
+    name = F.lower(strip(level))
     result = F
     for target in LEVELS:
         synonyms = [k for k, v in LEVEL_SYNONYMS.items() if v == target]

@@ -25,9 +25,16 @@ def _column(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every Unicode white space, and the four separator controls.
+WHITE_SPACE = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c):
-    """Trim every Unicode white space, not only blanks."""
-    return F.regexp_replace(_column(c), r"(?U)^\s+|\s+$", "")
+    """Trim every Unicode white space, not only blanks; looks at the ends of the text alone."""
+    return F.btrim(_column(c), F.lit(WHITE_SPACE))
 
 
 def _mask(c, masks):

@@ -110,7 +110,7 @@ def iforest_fit(df, cols=FEATURES, key=("window", "service_name"), trees=TREES,
         return None
     take = min(sample_rows, rows)
     share = min(1.0, 4.0 * take / rows)
-    bound = int(-2**63 + share * (2**64 - 1))
+    bound = min(-2**63 + int(share * 2**64), 2**63 - 1)
     ident = [F.col(c) for c in key]
     draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
                         lambda t: F.struct(t.alias("tree"), F.xxhash64(*ident, F.lit(seed), t).alias("draw")))

@@ -237,15 +237,18 @@ def trigram_search(df, grams, term, col="message"):
 
 # --- suggestions and highlights ----------------------------------------------
 
+def latest_per_prefix(df, prefix=80, shown=120):
+    """Newest message of each group of messages with the same start; a map-side combined maximum."""
+    newest = F.max_by(F.substring("message", 1, shown), F.struct("timestamp", "id"))
+    return df.groupBy(F.substring("message", 1, prefix).alias("prefix")).agg(newest.alias("newest"))
+
+
 def suggest(df, term, limit=10):
     """Services, newest message of each 80-letter start, and hosts that contain the term."""
     term = (term or "").strip()
     services = df.select(F.col("service_name").alias("suggestion")).where(ilike("service_name", term)).distinct()
-    newest = F.max_by(F.substring("message", 1, 120), F.struct("timestamp", "id"))
-    messages = (
-        df.where(ilike("message", term)).groupBy(F.substring("message", 1, 80).alias("_start"))
-        .agg(newest.alias("suggestion")).orderBy("_start").limit(limit).select("suggestion")
-    )
+    messages = latest_per_prefix(df.where(ilike("message", term))).orderBy("prefix").limit(limit).select(
+        F.col("newest").alias("suggestion"))
     hosts = df.select(F.col("host").alias("suggestion")).where(ilike("host", term)).distinct()
     parts = [
         services.orderBy("suggestion").limit(limit).withColumn("type", F.lit("service")),

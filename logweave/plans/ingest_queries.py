@@ -13,6 +13,7 @@ from logweave.functions.masking import error_fingerprint as fingerprint, templat
 from logweave.functions.timestamps import normalize_timestamp as time_of
 from logweave.operators import ingest as I
 from logweave.plans.base import fingerprint_sql, logs, query, table, template_sql, with_logs
+from logweave.session import spread
 
 NOW = "2024-06-01T00:00:00Z"
 
@@ -35,7 +36,7 @@ RENDER = {
 
 def rendered(spark, sf, fmt=None):
     """``id, value``: every log row as a raw line, in one format or cycling through all."""
-    rows = logs(spark, sf).withColumn("ts", F.col("timestamp").cast("timestamp"))
+    rows = spread(logs(spark, sf)).withColumn("ts", F.col("timestamp").cast("timestamp"))
     rows = rows.withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     if fmt:
         return rows.select("id", F.expr(RENDER[fmt]).alias("value"))
@@ -148,7 +149,7 @@ def ingest_raw_lines(spark, sf):
 @query("ingest_raw_documents",
        "SELECT doc_id, count(*) AS lines, sum(length(l))::BIGINT AS chars FROM (SELECT doc_id, trim(unnest(string_split_regex(text, '\\r\\n|\\n|\\r')), ' \t') AS l FROM documents) WHERE l <> '' GROUP BY 1")
 def ingest_raw_documents(spark, sf):
-    rows = I.ingest_raw_lines(table(spark, sf, "documents").select("doc_id", "text"), "text", as_of=NOW)
+    rows = I.ingest_raw_lines(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", as_of=NOW)
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length(F.trim(F.regexp_replace("text", r"^[ \t]+|[ \t]+$", "")))).alias("chars"))
 
 
@@ -284,7 +285,7 @@ def extract_stack_trace_documents(spark, sf):
     "try_cast(regexp_extract(message, '(?:took |duration=)([0-9]+)ms', 1) AS DOUBLE) AS duration, "
     "CAST(json_extract(metadata, '$.k') AS BIGINT) AS k, '2024-06-01T00:00:00.000000' AS processed_at FROM logs"))
 def enrich(spark, sf):
-    rows = E.enrich(logs(spark, sf), now=F.lit(NOW).cast("timestamp"))
+    rows = E.enrich(spread(logs(spark, sf)), now=F.lit(NOW).cast("timestamp"))
     get = lambda path: F.get_json_object("metadata", path)
     return rows.select("id", get("$.extracted.status_code").cast("int").alias("status"),
                        get("$.extracted.duration_ms").cast("double").alias("duration"),

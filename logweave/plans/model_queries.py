@@ -7,6 +7,7 @@ from logweave.operators import analytics as A
 from logweave.operators import anomaly as N
 from logweave.operators import patterns as P
 from logweave.operators import series as S
+from logweave.operators import training as T
 from logweave.operators.filters import filter_errors
 from logweave.plans.alert_queries import _chain
 from logweave.plans.base import logs, query, table, template_sql, with_logs
@@ -78,6 +79,11 @@ def train_summary(spark, sf):
     return N.train_summary(A.feature_matrix(rows), filter_errors(rows, with_warnings=True))
 
 
+@query("train_all")
+def train_all(spark, sf):
+    return T.train_all(logs(spark, sf)).summary
+
+
 # --- patterns ----------------------------------------------------------------
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)

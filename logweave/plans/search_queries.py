@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from logweave.functions.text import STOP_WORDS, stem, tokens
 from logweave.operators import search as S
 from logweave.plans.base import logs, query, table, with_logs
-from logweave.session import checkpoint_dir
+from logweave.session import checkpoint_dir, spread
 
 _TOKEN = r"[0-9]+(?:\.[0-9]+)+|[\p{L}\p{N}]+"
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -132,7 +132,8 @@ def search_after(spark, sf):
     "SELECT id, rank FROM logs JOIN hits USING (id)", *_hits("logs", ["gateway", "timeouts", "requested"])))
 def search_index(spark, sf):
     rows = logs(spark, sf)
-    return S.matching(rows, "gateway timeouts for requested", index=S.build_search_index(rows)).select("id", "rank")
+    index = S.build_search_index(spread(rows), _scratch(spark, "index"))
+    return S.matching(rows, "gateway timeouts for requested", index=index).select("id", "rank")
 
 
 def _documents(spark, sf):
@@ -170,7 +171,7 @@ def count_search_heap(spark, sf):
     "FROM tok JOIN stems USING (term) GROUP BY ALL",
     _tok("logs", {"level": 10, "service_name": 10, "message": 4, "host": 2}), *stem_sql("tok")))
 def build_search_index(spark, sf):
-    postings, words = S.build_search_index(logs(spark, sf))
+    postings, words = S.build_search_index(spread(logs(spark, sf)))
     return postings.join(words, "term").groupBy("term", "id", "weight", "stem").agg(F.count("*").alias("n"))
 
 
@@ -194,6 +195,12 @@ def trigram_search(spark, sf):
     return S.trigram_search(rows, S.trigram_index(rows), "Refused by 10.0.1")
 
 
+@query("latest_per_prefix", with_logs(
+    "SELECT prefix, arg_max(left(message, 120), {'t': log_ts, 'i': id}) AS newest FROM (SELECT *, left(message, 20) AS prefix FROM logs) GROUP BY 1"))
+def latest_per_prefix(spark, sf):
+    return S.latest_per_prefix(logs(spark, sf), prefix=20)
+
+
 @query("suggest", with_logs(
     "SELECT suggestion, type FROM ("
     "(SELECT DISTINCT service_name AS suggestion, 'service' AS type FROM logs WHERE contains(lower(service_name), 'a') ORDER BY 1 LIMIT 50) UNION ALL "

@@ -54,3 +54,15 @@ def materialize(df, name):
     path = f"{checkpoint_dir(df.sparkSession)}/logweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """``df`` in enough partitions for work that costs far more than reading.
+
+    Changes nothing for inputs that already have a partition per core. It is for one compressed
+    file or one row group, which Spark cannot split and would parse in a single task.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logweave.model import FEATURES
 from logweave.operators.cooldown import COOLDOWN_SECONDS, cooldown
+from logweave.session import materialize
 
 # Model settings and score rules.
 TREES = 100
@@ -105,6 +106,8 @@ def iforest_fit(df, cols=FEATURES, key=("window", "service_name"), trees=TREES,
     Each row draws one hash per tree, and a tree takes the rows with its smallest hashes. Only
     hashes that can be among those are kept: four times as many as needed are expected to pass.
     """
+    # read three times below: size, sample, quantile
+    df = materialize(df.select(*key, *cols), "features")
     rows = df.count()
     if rows < MIN_ROWS:
         return None
@@ -128,7 +131,9 @@ def iforest_fit(df, cols=FEATURES, key=("window", "service_name"), trees=TREES,
                             columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
 
     # at most trees * (2 * take - 1) rows
-    nodes = sample.select("tree", "x", "_n").groupBy("tree").applyInPandas(build, _NODES).toPandas()
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread_out = sample.select("tree", "x", "_n").repartition(width, "tree")
+    nodes = spread_out.groupBy("tree").applyInPandas(build, _NODES).toPandas()
     forest = Forest(nodes, list(cols), take, rows, contamination,
                     trained_at=pd.Timestamp.now("UTC").isoformat())
     # rounding bounds the distinct values the exact quantile has to hold

@@ -11,12 +11,18 @@ from logweave.operators import training as T
 from logweave.operators.filters import filter_errors
 from logweave.plans.alert_queries import _chain
 from logweave.plans.base import logs, query, table, template_sql, with_logs
+from logweave.session import materialize
 
 
 def features(spark, sf):
     return A.feature_matrix(logs(spark, sf))
 
 
+def written_features(spark, sf):
+    """For models: fitted on and scored, so aggregated once."""
+    return materialize(features(spark, sf), "features")
+
+
 # --- forest ------------------------------------------------------------------
 
 @query("iforest_fit")
@@ -27,7 +33,7 @@ def iforest_fit(spark, sf):
 
 @query("iforest_score")
 def iforest_score(spark, sf):
-    rows = features(spark, sf)
+    rows = written_features(spark, sf)
     return N.iforest_score(rows, N.iforest_fit(rows))
 
 
@@ -46,7 +52,7 @@ def score_services_untrained(spark, sf):
 
 @query("score_services")
 def score_services(spark, sf):
-    rows = features(spark, sf)
+    rows = written_features(spark, sf)
     return N.score_services(rows, N.iforest_fit(rows)).select(
         "service_name", "window", "isolation_forest", "statistical_spike", "combined_score", "is_anomaly")
 

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app="logweave", master=None, **conf):
@@ -66,3 +67,16 @@ def spread(df):
     if df.isStreaming or df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
+
+
+SMALL_BYTES = 64 * 1024 * 1024
+
+
+def small_side(df, text, max_bytes=SMALL_BYTES):
+    """``df`` marked for broadcast if its measured size allows, else unchanged for a shuffle join.
+
+    ``text`` is its only wide column; the others count sixteen bytes each.
+    """
+    width = F.coalesce(F.octet_length(text), F.lit(0)) + 16 * len(df.columns)
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

@@ -10,6 +10,7 @@ from logweave.operators.anomaly import Forest
 from logweave.operators.filters import filter_time
 from logweave.operators.ingest import validate_entries
 from logweave.operators.patterns import Tfidf
+from logweave.session import materialize
 
 DEAD_LETTER_MAX = 10_000
 
@@ -50,17 +51,24 @@ def keep_newest(dead, n=DEAD_LETTER_MAX):
     return dead.orderBy(F.desc("failed_at"), F.desc("original_id")).limit(n)
 
 
-def write_logs(df, path, rejects_path=None, mode="append", cluster=True, batch_id=None):
+def write_logs(df, path, rejects_path=None, mode="append", cluster=True, batch_id=None, stage=True):
     """Store valid rows by day, rejected rows as dead letters.
 
     ``cluster`` sorts by range of day, service and time before writing. The ranges come from a
     sample of the data, so one busy day or service becomes many files and not one task; within
     files the order gives narrow row-group bounds. Trace ids get a bloom filter.
 
+    Sorting by range and the rejects read the rows again, and parsing costs more than writing, so
+    the checked rows are staged once in the checkpoint folder; pass ``stage=False`` for rows that
+    are cheap or cached.
+
     With ``batch_id`` (a streaming micro-batch) the rows go to a partition of their own that a
     repeated attempt replaces, which makes the write idempotent.
     """
-    good, bad = split_valid(df)
+    checked = df if "rejected" in df.columns else validate_entries(df)
+    if stage and (cluster or rejects_path is not None):
+        checked = materialize(checked, "staged")
+    good, bad = split_valid(checked)
     rows = stored_form(good)
     parts = ["log_date"]
     if cluster:

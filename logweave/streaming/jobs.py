@@ -112,21 +112,19 @@ def store_batch(path, rejects_path=None, now=None, tail=None, alerts=None):
     """``foreachBatch`` function: enrich, fingerprint, store, publish the tail, check alerts.
 
     Storage replaces what an earlier attempt of the same batch wrote. ``tail`` and ``alerts`` are
-    called with a DataFrame and the batch id. The batch is cached while more than one of them reads it.
+    called with a DataFrame and the batch id. Several steps read the batch, so it is cached; its
+    size is set by the trigger (``max_files``), and lost blocks are computed again.
     """
     def run(batch, batch_id):
-        rows = process(batch, now)
-        if tail or alerts:
-            rows = rows.persist()
+        rows = process(batch, now).persist()
         try:
-            write_logs(rows, path, rejects_path, cluster=False, batch_id=batch_id)
+            write_logs(rows, path, rejects_path, cluster=False, batch_id=batch_id, stage=False)
             if tail:
                 tail(live_tail(rows), batch_id)
             if alerts:
                 alerts(rows, batch_id)
         finally:
-            if tail or alerts:
-                rows.unpersist()
+            rows.unpersist()
     return run
 
 

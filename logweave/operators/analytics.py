@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions.rates import is_error, rate_pct
-from logweave.functions.times import as_of as _as_of, bucket, check_interval, since, time_type, trunc
+from logweave.functions.times import as_of as _as_of, bucket, check_interval, time_type, trunc
 from logweave.operators.filters import filter_eq, filter_errors, filter_last, filter_time
 from logweave.model import LEVELS
 

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 from logweave.operators import analytics as A
-from logweave.operators import filters as X
 from logweave.plans import load_queries
 from logweave.plans.base import logs
 

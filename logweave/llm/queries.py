@@ -35,3 +35,10 @@ FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""")
 def _op9(spark, sf_dir):
     from logweave.llm.minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sentencepiece")
+def _op10(spark, sf_dir):
+    import public_tokenizers
+    from logweave.llm.sentencepieces import digests
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -125,13 +125,18 @@ def _linked(batches):
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _side(rows):
+    return (*(np.array([r[k] for r in rows]) for k in ("doc_id", "comp", "n")),
+            np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, SLOTS))
+
+
 def _block_pairs(batches):
     """Pairs of different components within a bucket's pair of blocks whose signatures agree."""
     for batch in batches:
         found = []
         for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            sa, sb = (np.frombuffer(b"".join(r["sig"] for r in side), np.uint16).reshape(-1, SLOTS) for side in (left, right))
-            (ia, ca, na), (ib, cb, nb) = ((np.array([r[k] for r in side]) for k in ("doc_id", "comp", "n")) for side in (left, right))
+            ia, ca, na, sa = _side(left)
+            ib, cb, nb, sb = _side(right)
             for i in range(len(left)):
                 near = (ib != ia[i]) & (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= 80 * np.maximum(nb, na[i]))
                 at = np.flatnonzero(near)

@@ -42,3 +42,9 @@ def _op10(spark, sf_dir):
     import public_tokenizers
     from logweave.llm.sentencepieces import digests
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_compression_toxicity")
+def _op3(spark, sf_dir):
+    from logweave.llm.toxicity import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -48,3 +48,9 @@ def _op10(spark, sf_dir):
 def _op3(spark, sf_dir):
     from logweave.llm.toxicity import classify
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_template_decontamination")
+def _op4(spark, sf_dir):
+    from logweave.llm.templates import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -54,3 +54,10 @@ def _op3(spark, sf_dir):
 def _op4(spark, sf_dir):
     from logweave.llm.templates import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_secret_network")
+def _op5(spark, sf_dir):
+    from logweave.llm.secrets import findings, train
+    docs = table(spark, sf_dir, "documents")
+    return findings(docs, train(docs))

@@ -89,10 +89,10 @@ def _keys(sig):
     return acc.view(np.int64)
 
 
-def _sign(batches):
+def _sign(batches, shingle):
     for batch in batches:
         for part in slices(batch, limit=1 << 20):
-            values, bounds = shingle_sets(*text_buffer(part.column("text")))
+            values, bounds = shingle_sets(*text_buffer(part.column("text")), shingle)
             sig = superminhash(values, bounds)
             keys = pa.ListArray.from_arrays(np.arange(0, (len(sig) + 1) * BANDS, BANDS, dtype=np.int32), _keys(sig).ravel())
             brief = [row.tobytes() for row in (mix64(sig) & np.uint64(0xFFFF)).astype(np.uint16)]
@@ -110,13 +110,13 @@ def _agree(batches):
             yield batch.select(["a", "b"]).filter(near)
 
 
-def _linked(batches):
+def _linked(batches, shingle):
     """Pairs whose full sets reach the threshold: 100 * intersection >= 80 * union."""
     for batch in batches:
         for half in slices(batch, "text_a"):
             for part in slices(half, "text_b"):
-                left, lb = shingle_sets(*text_buffer(part.column("text_a")))
-                right, rb = shingle_sets(*text_buffer(part.column("text_b")))
+                left, lb = shingle_sets(*text_buffer(part.column("text_a")), shingle)
+                right, rb = shingle_sets(*text_buffer(part.column("text_b")), shingle)
                 keep = []
                 for i in range(part.num_rows):
                     x, y = left[lb[i]:lb[i + 1]], right[rb[i]:rb[i + 1]]
@@ -154,22 +154,22 @@ def _brief(signed, pairs):
     return materialize(near.distinct(), "candidates")
 
 
-def _verify(near, docs):
+def _verify(near, docs, shingle):
     """The pairs of ``near`` that are links, written out. Only texts of documents in a pair travel twice."""
     texts = materialize(docs.join(_ends(near).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "texts")
     one = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"), "links")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _linked(b, shingle), "a long, b long"), "links")
 
 
 def _ends(links):
     return links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, shingle=SHINGLE):
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_sign, "doc_id long, n long, mark binary, keys array<long>, sig binary"), "signatures")
+    signed = materialize(docs.mapInArrow(lambda b: _sign(b, shingle), "doc_id long, n long, mark binary, keys array<long>, sig binary"), "signatures")
     known = signed.where("doc_id IS NOT NULL AND mark IS NOT NULL")
     copied = materialize(known.groupBy("mark").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last"))
                          .where("b < last").select("mark", "b"), "classes")
@@ -181,7 +181,7 @@ def near_duplicates(docs):
                         .where("lead < last").select("key", "lead"), "leads")
     shared = materialize(buckets.join(leads, "key"), "buckets")
     pairs = shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verify(_brief(known, pairs), docs)
+    links = _verify(_brief(known, pairs), docs, shingle)
     comps = components(_ends(links), links)
 
     named = (shared.join(comps.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left")
@@ -195,7 +195,7 @@ def near_duplicates(docs):
     mates = filled.select("key", F.col("rows").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     others = filled.select("key", F.col("block").alias("j"), F.col("rows").alias("right"))
     more = mates.join(others, ["key", "j"]).select("left", "right").mapInArrow(_block_pairs, "a long, b long").distinct()
-    more = _verify(materialize(more, "more"), docs)
+    more = _verify(materialize(more, "more"), docs, shingle)
     links = materialize(links.unionByName(more).unionByName(member), "links")
     labels = components(_ends(links), links).where("id <> label").select(F.col("id").alias("doc_id"), "label")
 

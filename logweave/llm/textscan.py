@@ -7,10 +7,11 @@ polynomial over its bytes, taken from prefix sums modulo 2**64, so no word becom
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import StructType
 
 PIECE_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 _powers = {}
 
 
@@ -21,7 +22,8 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base, n):
+def power(base, n):
+    """Powers 0 to n - 1 of ``base`` modulo 2**64."""
     got = _powers.get(base)
     if got is None or len(got) < n:
         steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
@@ -35,6 +37,11 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 
+def extended(schema, name, kind):
+    """A copy of ``schema`` with one more column."""
+    return StructType(list(schema.fields)).add(name, kind)
+
+
 def byte_class(test):
     """Table of 256 flags from a test of the byte value."""
     return np.array([bool(test(b)) for b in range(256)])
@@ -83,8 +90,8 @@ def _piece(buf, is_word, values):
     edge[1:-1] = np.diff(m.view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * _power(_BASE, len(buf)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_INVERSE, len(buf))[starts]
+    np.cumsum(values[buf] * power(BASE, len(buf)), out=total[1:])
+    h = (total[ends] - total[starts]) * power(INVERSE, len(buf))[starts]
     return starts, ends, mix64(h + (ends - starts).astype(np.uint64))
 
 

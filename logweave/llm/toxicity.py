@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from logweave.llm.textscan import slices
+from logweave.llm.textscan import extended, slices
 
 MAX_ROWS, MAX_BYTES = 2000, 20_000
 LONGEST = 32
@@ -171,18 +171,18 @@ def _scorer(data):
     return _scorers[data]
 
 
-def with_score(docs, scorer):
-    """``docs`` with ``score``; all other columns stay."""
+def with_score(docs, scorer, name="score"):
+    """``docs`` with the score in column ``name``; all other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(scorer))
+    plain = docs.drop(name)
 
     def run(batches):
         mine = _scorer(shared.value)
         for batch in batches:
             for part in slices(batch):
                 got = mine.scores(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, "score"])
-    plain = docs.drop("score")
-    return plain.mapInArrow(run, plain.schema.add("score", "double"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, name])
+    return plain.mapInArrow(run, extended(plain.schema, name, "double"))
 
 
 def classify(docs, labels, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):

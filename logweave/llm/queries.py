@@ -61,3 +61,14 @@ def _op5(spark, sf_dir):
     from logweave.llm.secrets import findings, train
     docs = table(spark, sf_dir, "documents")
     return findings(docs, train(docs))
+
+
+@query("op7_warc_members", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d""")
+def _op7(spark, sf_dir):
+    from logweave.llm.warc import round_trip
+    return round_trip(table(spark, sf_dir, "pages"))

@@ -72,3 +72,37 @@ FROM p LEFT JOIN f ON p.d = f.d""")
 def _op7(spark, sf_dir):
     from logweave.llm.warc import round_trip
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+def _license_sql():
+    """The rules of op8: a template's share of words in the best line or paragraph, by brute force."""
+    from logweave.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    rows = [f"('{label}', '{text}')" for label, texts in TEMPLATES.items() for text in texts]
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i:i + {len(p.split()) - 1}] = {p.split()!r}"
+        for p, label in PHRASES.items())
+    return rf"""
+WITH d AS (SELECT doc_id, {low} AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(t, {word}), lambda x: x <> '') AS w FROM d),
+p AS ({places}),
+base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM p GROUP BY doc_id),
+blocks AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM d
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d),
+sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(regexp_extract_all(b, {word}))) AS s FROM blocks),
+tpl AS (SELECT label, list_distinct(string_split(words, ' ')) AS s FROM (VALUES {", ".join(rows)}) v(label, words)),
+hits AS (SELECT doc_id, label, len(list_intersect(sets.s, tpl.s)) / len(tpl.s) AS share FROM sets, tpl
+  WHERE len(list_intersect(sets.s, tpl.s)) >= {CONTAINMENT} * len(tpl.s) - 1e-9),
+best AS (SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id),
+names AS (SELECT doc_id, label, true AS b FROM p UNION SELECT doc_id, label, false FROM hits),
+texts AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE b) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM names GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN texts USING (doc_id)"""
+
+
+@query("op8_license_join", _license_sql())
+def _op8(spark, sf_dir):
+    from logweave.llm.licenses import scan
+    return scan(table(spark, sf_dir, "documents"))

@@ -106,3 +106,16 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN tex
 def _op8(spark, sf_dir):
     from logweave.llm.licenses import scan
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op2_voronoi_knn", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""")
+def _op2(spark, sf_dir):
+    from logweave.llm.knn import quantised, top_k
+    data = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(data, data.where(F.col("id") % 20 == 0))

@@ -3,15 +3,13 @@
 A text is normalised by longest-prefix matches in the model's compiled character map, white space is
 escaped, and every normalised character keeps the byte span of the source it came from. Pieces come
 from byte-pair merges by score; each piece thus maps back to a span of source bytes. No piece spans
-a word start, so each distinct word is merged once per task and then looked up.
+a word start, so the distinct words of a batch are merged, all at once in numpy, and put together.
 
 Nulls and edges: a null text is empty and gets only the begin and end ids; text without a known
 piece falls back to its bytes, or to the unknown id in models without byte pieces.
 """
 
 import hashlib
-import heapq
-import re
 import struct
 
 import numpy as np
@@ -19,12 +17,12 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import functions as F
 
-from logweave.llm.textscan import slices
+from logweave.llm.textscan import BASE, INVERSE, extended, mix64, power, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED_WORDS = 200_000
-CACHED_LENGTH = 64
+NO_PAIR = 2**31 - 1
+PART = 1 << 20
 
 
 def _varint(data, at):
@@ -117,10 +115,13 @@ class PieceModel:
         self.rank = {p: s for p, s, k in zip(self.pieces, scores, self.kinds) if k == NORMAL}
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
-        glued = any(SPACE in p.lstrip(SPACE) for p in self.rank)
-        self.words = re.compile(".+" if glued else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
-        self.cache = {}
-        self.shown = [self._shown(i) for i in range(len(self.pieces))]
+        self.glued = any(SPACE in p.lstrip(SPACE) for p in self.rank)
+        self.is_byte, self.is_control = (np.array([k == kind for k in self.kinds]) for kind in (BYTE, CONTROL))
+        shown = [self._shown(i) for i in range(len(self.pieces))]
+        self.shown_sizes = np.array([len(b) for b in shown], np.int64)
+        self.shown_at = np.cumsum(self.shown_sizes) - self.shown_sizes
+        self.shown_bytes = np.frombuffer(b"".join(shown), np.uint8)
+        self._tables()
 
     # --- normalisation ---
 
@@ -155,72 +156,138 @@ class PieceModel:
 
     # --- encoding ---
 
-    def _merge(self, word):
-        """Pieces of one word: the best-scored adjacent pair is merged first, the leftmost of equals."""
-        parts, rank = list(word), self.rank
-        n = len(parts)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-
-        def offer(i, j):
-            if i >= 0 and j < n:
-                score = rank.get(parts[i] + parts[j])
-                if score is not None:
-                    heapq.heappush(heap, (-score, i, j, len(parts[i]) + len(parts[j])))
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, size = heapq.heappop(heap)
-            if not parts[i] or not parts[j] or after[i] != j or len(parts[i]) + len(parts[j]) != size:
-                continue
-            parts[i] += parts[j]
-            parts[j] = ""
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return [p for p in parts if p]
-
-    def _encode_word(self, word):
-        """Ids of a word as uint32, and the normalised characters each covers (byte pieces share one)."""
-        ids, chars = [], []
-        for piece in self._merge(word):
-            known = self.ids.get(piece)
-            if known is not None:
-                ids.append(known)
-                chars.append(len(piece))
-            elif self.byte_ids:
-                raw = piece.encode()
-                ids += [self.byte_ids[b] for b in raw]
-                chars += [0] * (len(raw) - 1) + [len(piece)]
-            elif ids and ids[-1] == self.unk:
-                chars[-1] += len(piece)
-            else:
-                ids.append(self.unk)
-                chars.append(len(piece))
-        return np.array(ids, "<u4").tobytes(), ids, chars
-
-    def _word(self, word):
-        got = self.cache.get(word)
-        if got is None:
-            got = self._encode_word(word)
-            if len(word) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHED_WORDS:
-                    self.cache.clear()
-                self.cache[word] = got
-        return got
+    def _tables(self):
+        """Symbols of characters, and every pair of symbols that is a piece: keys, ranks and results.
+
+        A symbol is a piece's id or, from ``len(pieces)`` on, a character that is no piece.
+        """
+        n = len(self.pieces)
+        chars = sorted({c for p in self.rank for c in p} - set(self.ids))
+        symbol = self.ids | {c: n + i for i, c in enumerate(chars)}
+        order = {s: i for i, s in enumerate(sorted(set(self.rank.values()), reverse=True))}
+        pairs = {}
+        for piece, score in self.rank.items():
+            for cut in range(1, len(piece)):
+                left, right = symbol.get(piece[:cut]), symbol.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = (order[score], self.ids[piece])
+        keys = sorted(pairs)
+        self.pair_keys = np.array(keys, np.int64)
+        self.pair_ranks = np.array([pairs[k][0] for k in keys] + [NO_PAIR], np.int32)
+        self.pair_ids = np.array([pairs[k][1] for k in keys] + [0], np.int64)
+        self.char_symbols = np.arange(0x110000, dtype=np.int64) + (n + len(chars))
+        for char, i in symbol.items():
+            if len(char) == 1:
+                self.char_symbols[ord(char)] = i
+        if self.escape and SPACE in symbol:
+            self.char_symbols[32] = symbol[SPACE]
+        self.first_raw, self.extra = n + len(chars), chars
+
+    def _pairs(self, left, right):
+        """Positions in the pair table, its last one for pairs that are no piece."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        if len(self.pair_keys):
+            at[self.pair_keys[at] != keys] = len(self.pair_keys)
+        return at
+
+    def _merge(self, symbols, starts):
+        """Byte-pair merges of many words at once: symbols left, and their counts.
+
+        In each round every word merges its best-ranked pair, the leftmost of equals; words without
+        a pair leave.
+        """
+        counts = np.diff(np.append(starts, len(symbols)))
+        word = np.repeat(np.arange(len(starts)), counts)
+        pair = np.full(len(symbols), len(self.pair_keys))
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        pair[inner] = self._pairs(symbols[inner], symbols[inner + 1])
+        done = []
+        while len(symbols):
+            heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            ranks = self.pair_ranks[pair]
+            best = np.minimum.reduceat(ranks, heads)
+            sizes = np.diff(np.append(heads, len(symbols)))
+            live = np.repeat(best < NO_PAIR, sizes)
+            if not live.all():
+                done.append((word[~live], symbols[~live]))
+                symbols, word, pair, ranks = symbols[live], word[live], pair[live], ranks[live]
+                if not len(symbols):
+                    break
+                sizes, best = sizes[best < NO_PAIR], best[best < NO_PAIR]
+            hits = np.flatnonzero(ranks == np.repeat(best, sizes))
+            hits = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]
+            symbols[hits] = self.pair_ids[pair[hits]]
+            keep = np.ones(len(symbols), bool)
+            keep[hits + 1] = False
+            hits = hits - np.arange(len(hits))  # each word before has lost one symbol
+            symbols, word, pair = symbols[keep], word[keep], pair[keep]
+            for at in (hits, hits[(hits > 0)] - 1):
+                last = (at + 1 >= len(symbols))
+                near = at[~last]
+                same = word[near] == word[near + 1]
+                pair[at] = len(self.pair_keys)
+                pair[near[same]] = self._pairs(symbols[near[same]], symbols[near[same] + 1])
+        word, symbols = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, int), np.zeros(0, np.int64))
+        order = np.argsort(word, kind="stable")
+        return symbols[order], np.bincount(word, minlength=len(starts))
+
+    def _ids(self, symbols):
+        """Ids of symbols, the count of ids of each, and whether it is unknown."""
+        unknown = symbols >= len(self.pieces)
+        if not unknown.any():
+            return symbols.astype("<u4"), np.ones(len(symbols), np.int64)
+        counts = np.ones(len(symbols), np.int64)
+        made = []
+        for symbol in symbols[unknown].tolist():
+            char = chr(symbol - self.first_raw) if symbol >= self.first_raw else self.extra[symbol - len(self.pieces)]
+            made.append([self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unk])
+        counts[unknown] = [len(m) for m in made]
+        out = np.empty(counts.sum(), "<u4")
+        ends = np.cumsum(counts)
+        out[(ends - counts)[~unknown]] = symbols[~unknown]
+        spots = _ranges((ends - counts)[unknown], counts[unknown])
+        out[spots] = [i for m in made for i in m]
+        return out, counts
+
+    def encode_batch(self, texts):
+        """Ids of all ``texts`` in one array, and the bounds of each text's. No begin and end ids.
+
+        Every distinct word of the batch is merged once.
+        """
+        normal = [self.normalize(t)[0] for t in texts]
+        lengths = np.array([len(t) for t in normal])
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        points = np.frombuffer("".join(normal).encode("utf-32-le"), "<u4")
+        if not len(points):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        symbols = self.char_symbols[points]
+        heads = np.zeros(len(points), bool)
+        if not self.glued:
+            blank = symbols == self.char_symbols[ord(SPACE)]
+            heads[1:] = blank[1:] & ~blank[:-1]
+        heads[bounds[:-1][lengths > 0]] = True
+        starts = np.flatnonzero(heads)
+        sizes = np.diff(np.append(starts, len(points)))
+        _, first, word = np.unique(_span_hashes(symbols, starts, sizes), return_index=True, return_inverse=True)
+        flat = symbols[_ranges(starts[first], sizes[first])]
+        merged, counts = self._merge(flat, np.cumsum(sizes[first]) - sizes[first])
+        ids, widths = self._ids(merged)
+        per_word = np.add.reduceat(widths, np.cumsum(counts) - counts)
+        at = np.cumsum(per_word) - per_word
+        out = ids[_ranges(at[word], per_word[word])]
+        total = np.concatenate([[0], np.cumsum(per_word[word])])
+        ends = total[np.searchsorted(starts, bounds)]
+        if self.byte_ids:
+            return out, ends
+        again = np.zeros(len(out), bool)  # unknown pieces in a row are one
+        again[1:] = (out[1:] == self.unk) & (out[:-1] == self.unk)
+        again[ends[:-1][ends[:-1] < len(out)]] = False
+        return out[~again], ends - np.concatenate([[0], np.cumsum(again)])[ends]
 
     def encode(self, text):
-        """Ids of ``text`` as little-endian 32-bit bytes, without begin and end."""
-        normal, _ = self.normalize(text)
-        cache, word_of = self.cache, self._word
-        parts = [cache[w][0] if w in cache else word_of(w)[0] for w in self.words.findall(normal)]
-        if not self.byte_ids:  # unknown pieces of neighbouring words are one
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            again = (ids[1:] == self.unk) & (ids[:-1] == self.unk)
-            return ids[np.r_[True, ~again]].tobytes() if len(ids) else b""
-        return b"".join(parts)
+        return self.encode_batch([text])[0].tolist()
 
     def spans(self, text):
         """``(id, start, end)`` of every piece, in bytes of the source text.
@@ -234,59 +301,75 @@ class PieceModel:
             ends = np.cumsum(widths, dtype=np.int64)
             bounds = list(zip((ends - widths).tolist(), ends.tolist()))
             spans = ([(0, 0)] if self.dummy_prefix and text else []) + bounds
-        out, at = [], 0
-        for word in self.words.findall(normal):
-            _, ids, chars = self._word(word)
-            wait = []
-            for i, n in zip(ids, chars):
-                wait.append(i)
-                if n:
-                    first, last = spans[at][0], spans[at + n - 1][1]
-                    if not self.byte_ids and i == self.unk and out and out[-1][0] == i:
-                        out[-1] = (i, out[-1][1], last)
-                    else:
-                        out += [(k, first, last) for k in wait]
-                    at, wait = at + n, []
+        out, at, wait = [], 0, 0
+        for i in self.encode(text):
+            if self.kinds[i] == BYTE:
+                out.append((i, *spans[at]))
+                wait = wait or len(normal[at].encode())
+                wait -= 1
+                at += not wait
+            elif i == self.unk and not self.byte_ids:
+                first = at
+                while at < len(normal) and self.char_symbols[ord(normal[at])] >= len(self.pieces):
+                    at += 1
+                out.append((i, spans[first][0], spans[max(first, at - 1)][1]))
+            else:
+                size = len(self.pieces[i])
+                out.append((i, spans[at][0], spans[at + size - 1][1]))
+                at += size
         return out
 
     # --- decoding ---
 
     def _shown(self, i):
         kind = self.kinds[i]
-        if kind in (CONTROL, BYTE):
-            return ""
-        return " ⁇ " if kind == UNKNOWN else self.pieces[i].replace(SPACE, " ")
+        if kind == CONTROL:
+            return b""
+        if kind == BYTE:
+            return bytes([int(self.pieces[i][3:5], 16)])
+        return " ⁇ ".encode() if kind == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
+
+    def decode_batch(self, ids, bounds):
+        """The decoded texts, as UTF-8, of ids with ``bounds`` for each text."""
+        sizes = self.shown_sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        blob = self.shown_bytes[_ranges(self.shown_at[ids], sizes)].tobytes()
+        raw = np.concatenate([[0], np.cumsum(self.is_byte[ids])])
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            text = blob[ends[a]:ends[b]]
+            first = ids[a:b][:16]
+            first = first[~self.is_control[first]]
+            if len(first) and (self.dummy_prefix or self.squeeze) and self.kinds[first[0]] == NORMAL:
+                text = text.lstrip(b" ") if self.squeeze else text.removeprefix(b" ")
+            out.append(_whole(text) if raw[b] > raw[a] else text)
+        return out
 
     def decode(self, ids):
-        """The text of ids given as little-endian 32-bit bytes."""
-        ids = np.frombuffer(ids, "<u4")
-        inner = ids[np.isin(ids, [i for i, k in enumerate(self.kinds) if k == CONTROL], invert=True)]
-        if not len(inner):
-            return ""
-        first = int(inner[0])
-        shown = self.shown
-        head = shown[first]
-        if (self.dummy_prefix or self.squeeze) and self.kinds[first] == NORMAL and head.startswith(" "):
-            head = head.lstrip(" ") if self.squeeze else head[1:]
-        bytes_used = np.isin(inner, list(self.byte_ids.values())) if self.byte_ids else np.zeros(len(inner), bool)
-        rest = inner[1:].tolist()
-        if not bytes_used.any():
-            return head + "".join([shown[i] for i in rest])
-        # runs of byte pieces become text together; each byte of a broken run becomes U+FFFD
-        out, cuts, at = [], np.flatnonzero(np.diff(bytes_used.view(np.int8))) + 1, 0
-        for end in [*cuts.tolist(), len(inner)]:
-            part = inner[at:end].tolist()
-            if bytes_used[at]:
-                out.append(_bytes_text(bytes(int(self.pieces[i][3:5], 16) for i in part)))
-            else:
-                out.append((head if at == 0 else shown[part[0]]) + "".join([shown[i] for i in part[1:]]))
-            at = end
-        return "".join(out)
+        ids = np.array(ids, "<u4")
+        return self.decode_batch(ids, np.array([0, len(ids)]))[0].decode()
+
+
+def _ranges(starts, sizes):
+    """All positions of the ranges ``[start, start + size)``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
 
+def _span_hashes(symbols, starts, sizes):
+    """A 64-bit hash of each span of symbols."""
+    total = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(mix64(symbols.astype(np.uint64) + np.uint64(1)) * power(BASE, len(symbols)), out=total[1:])
+    return mix64((total[starts + sizes] - total[starts]) * power(INVERSE, len(symbols))[starts] + sizes.astype(np.uint64))
 
-def _bytes_text(raw):
-    """UTF-8 text of ``raw`` with one U+FFFD for every byte that is in no whole character."""
-    return raw.decode("utf-8", "surrogateescape").translate(_LOST)
+
+def _whole(raw):
+    """``raw`` with one U+FFFD for every byte that is in no whole character."""
+    try:
+        raw.decode()
+        return raw
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "surrogateescape").translate(_LOST).encode()
 
 
 _LOST = dict.fromkeys(range(0xDC80, 0xDD00), "�")
@@ -303,41 +386,54 @@ _models = {}
 
 
 def _model(shared):
-    """One model with its word cache for each Python worker."""
+    """One model for each Python worker."""
     key = hashlib.md5(shared.value).digest()
     if key not in _models:
         _models[key] = PieceModel(shared.value)
     return _models[key]
 
 
+def _encoded(model, texts):
+    """Ids with begin and end of every text, and their bounds."""
+    ids, bounds = model.encode_batch([t or "" for t in texts])
+    n = len(bounds) - 1
+    wider = bounds + 2 * np.arange(n + 1)
+    out = np.empty(len(ids) + 2 * n, "<u4")
+    inner = np.ones(len(out), bool)
+    inner[wider[:-1]] = inner[wider[1:] - 1] = False
+    out[inner] = ids
+    out[wider[:-1]], out[wider[1:] - 1] = model.bos, model.eos
+    return out, wider
+
+
 def encode_texts(df, path, text="text"):
     """``df`` with ``ids`` (array of long, begin and end ids included)."""
     shared = read_model(df.sparkSession, path)
+    plain = df.drop("ids")
 
     def run(batches):
         model = _model(shared)
         for batch in batches:
-            for part in slices(batch, text):
-                flat = [np.r_[model.bos, np.frombuffer(model.encode(t or ""), "<u4"), model.eos].astype(np.int64)
-                        for t in part.column(text).to_pylist()]
-                bounds = np.cumsum([0, *map(len, flat)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(bounds, np.concatenate(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
-    return df.mapInArrow(run, df.drop("ids").schema.add("ids", "array<long>"))
+            for part in slices(batch, text, PART):
+                ids, bounds = _encoded(model, part.column(text).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
+    return plain.mapInArrow(run, extended(plain.schema, "ids", "array<long>"))
 
 
 def piece_spans(df, path, text="text"):
     """``df`` with ``pieces``: array of id and source bytes ``[start, end)``."""
     shared = read_model(df.sparkSession, path)
+    plain = df.drop("pieces")
 
     def run(batches):
         model = _model(shared)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART):
                 rows = [[{"id": i, "start": a, "end": b} for i, a, b in model.spans(t or "")] for t in part.column(text).to_pylist()]
                 kind = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind)], [*part.schema.names, "pieces"])
-    return df.mapInArrow(run, df.schema.add("pieces", "array<struct<id:long,start:long,end:long>>"))
+    return plain.mapInArrow(run, extended(plain.schema, "pieces", "array<struct<id:long,start:long,end:long>>"))
 
 
 def digests(df, path):
@@ -346,15 +442,12 @@ def digests(df, path):
 
     def run(batches):
         model = _model(shared)
-        edge = [struct.pack("<I", i) for i in (model.bos, model.eos)]
         for batch in batches:
-            for part in slices(batch):
-                out = []
-                for t in part.column("text").to_pylist():
-                    ids = edge[0] + model.encode(t or "") + edge[1]
-                    back = model.decode(ids).encode("utf-8", "replace")
-                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-                columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in slices(batch, limit=PART):
+                ids, bounds = _encoded(model, part.column("text").to_pylist())
+                marks = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(bounds, bounds[1:])]
+                back = [hashlib.sha256(t).hexdigest() for t in model.decode_batch(ids, bounds)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(marks), pa.array(back)],
+                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,9 +8,9 @@
 3. Banding. ``BANDS`` bands of ``ROWS`` slots: a pair at similarity 0.8 shares no band with
    probability (1 - 0.8**4)**36, below 1e-8.
 4. Verification on the full sets. In each bucket every class is first paired with the smallest one.
-   What those links leave apart is compared within blocks of bounded size by signature; only pairs
-   in different components whose signatures agree in ``AGREE`` slots go on. A linked pair falls
-   below that with probability under 1e-9.
+   What those links leave apart is compared within blocks of bounded size; full sets are compared
+   where components differ and signatures agree in ``AGREE`` slots. A linked pair falls below that
+   with probability under 1e-9.
 5. Components of the links, smallest doc_id as the name.
 
 Nulls and edges: a null or blank text is the empty set, linked with nothing. Rows that share a
@@ -31,7 +31,7 @@ SHINGLE = 4
 BANDS, ROWS = 36, 4
 SLOTS = BANDS * ROWS
 AGREE = 84
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 
 def shingle_sets(texts, offsets, k=SHINGLE):
@@ -119,31 +119,51 @@ def _linked(batches, shingle):
                 right, rb = shingle_sets(*text_buffer(part.column("text_b")), shingle)
                 keep = []
                 for i in range(part.num_rows):
-                    x, y = left[lb[i]:lb[i + 1]], right[rb[i]:rb[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(len(x) > 0 and 100 * both >= 80 * (len(x) + len(y) - both))
+                    keep.append(_reaches(left[lb[i]:lb[i + 1]], right[rb[i]:rb[i + 1]]))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _side(rows):
-    return (*(np.array([r[k] for r in rows]) for k in ("doc_id", "comp", "n")),
-            np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, SLOTS))
-
-
-def _block_pairs(batches):
-    """Pairs of different components within a bucket's pair of blocks whose signatures agree."""
-    for batch in batches:
-        found = []
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            ia, ca, na, sa = _side(left)
-            ib, cb, nb, sb = _side(right)
-            for i in range(len(left)):
-                near = (ib != ia[i]) & (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= 80 * np.maximum(nb, na[i]))
-                at = np.flatnonzero(near)
-                at = at[(sb[at] == sa[i]).sum(axis=1) >= AGREE]
-                found += [(min(ia[i], x), max(ia[i], x)) for x in ib[at]]
-        found = sorted(set(found))
-        yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _open_pairs(table, shingle):
+    """Links between different components within two blocks of a bucket.
+
+    A pair counts in the first band it shares only, if its sizes and signatures allow a link, and
+    only while its components are still apart; then its full sets decide.
+    """
+    table = table.combine_chunks()
+    side, ids, comp, n = (table.column(c).to_numpy() for c in ("side", "doc_id", "comp", "n"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+    keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)
+    band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
+    values, bounds = shingle_sets(*text_buffer(table.column("text")), shingle)
+    root = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    right, links = np.flatnonzero(side == 1) if not same else np.arange(len(ids)), []
+    for x in np.flatnonzero(side == 0):
+        y = right[right > x] if same else right
+        y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= 80 * np.maximum(n[y], n[x]))]
+        y = y[((sig[y] == sig[x]).sum(axis=1) >= AGREE) & ~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+        mine = values[bounds[x]:bounds[x + 1]]
+        for z in y.tolist():
+            a, b = find(comp[x]), find(comp[z])
+            if a != b and _reaches(mine, values[bounds[z]:bounds[z + 1]]):
+                root[max(a, b)] = min(a, b)
+                links.append((int(ids[x]), int(ids[z])))
+    return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
+
+
+def _reaches(x, y):
+    """Whether two sorted sets are linked: 100 * intersection >= 80 * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+    return len(x) > 0 and 100 * both >= 80 * (len(x) + len(y) - both)
 
 
 def _brief(signed, pairs):
@@ -154,14 +174,34 @@ def _brief(signed, pairs):
     return materialize(near.distinct(), "candidates")
 
 
-def _verify(near, docs, shingle):
-    """The pairs of ``near`` that are links, written out. Only texts of documents in a pair travel twice."""
-    texts = materialize(docs.join(_ends(near).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "texts")
+def _verify(near, texts, shingle):
+    """The pairs of ``near`` that are links, written out."""
     one = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _linked(b, shingle), "a long, b long"), "links")
 
 
+def _open_links(shared, comps, known, texts, shingle):
+    """Links that the leaders' pairs leave undecided: pairs of a bucket in different components.
+
+    A bucket of two is settled by its leader's pair, one of a single component by its links. Large
+    buckets are cut into blocks, and each pair of blocks is a group of bounded size.
+    """
+    named = (shared.join(comps.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left")
+             .select("key", "doc_id", F.coalesce("label", "doc_id").alias("comp")))
+    undecided = materialize(named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                            .where("size > 2 AND lo < hi").select("key"), "open")
+    rows = materialize(named.join(undecided, "key").join(known.select("doc_id", "n", "sig", "keys"), "doc_id"), "open-rows")
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    spread = rows.join(materialize(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # block b meets every block from itself on as the left side, every one before as the right
+    places = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "comp", "n", "sig", "keys")
+    groups = places.join(texts, "doc_id").groupBy("key", "i", "j")
+    return materialize(groups.applyInArrow(lambda t: _open_pairs(t, shingle), "a long, b long"), "open-links")
+
+
 def _ends(links):
     return links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
@@ -181,21 +221,10 @@ def near_duplicates(docs, shingle=SHINGLE):
                         .where("lead < last").select("key", "lead"), "leads")
     shared = materialize(buckets.join(leads, "key"), "buckets")
     pairs = shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verify(_brief(known, pairs), docs, shingle)
-    comps = components(_ends(links), links)
-
-    named = (shared.join(comps.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left")
-             .select("key", "doc_id", F.coalesce("label", "doc_id").alias("comp")))
-    # a bucket of two is settled by its leader's pair, one of a single component by its links
-    left = materialize(named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                       .where("size > 2 AND lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
-    spread = named.join(left, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    filled = materialize(spread.join(known.select("doc_id", "n", "sig"), "doc_id").groupBy("key", "blocks", "block")
-                         .agg(F.collect_list(F.struct("doc_id", "comp", "n", "sig")).alias("rows")), "blocks")
-    mates = filled.select("key", F.col("rows").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    others = filled.select("key", F.col("block").alias("j"), F.col("rows").alias("right"))
-    more = mates.join(others, ["key", "j"]).select("left", "right").mapInArrow(_block_pairs, "a long, b long").distinct()
-    more = _verify(materialize(more, "more"), docs, shingle)
+    # the only pass of whole texts: those in a bucket with others
+    texts = materialize(docs.join(shared.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    links = _verify(_brief(known, pairs), texts, shingle)
+    more = _open_links(shared, components(_ends(links), links), known, texts, shingle)
     links = materialize(links.unionByName(more).unionByName(member), "links")
     labels = components(_ends(links), links).where("id <> label").select(F.col("id").alias("doc_id"), "label")
 

@@ -119,3 +119,9 @@ def _op2(spark, sf_dir):
     from logweave.llm.knn import quantised, top_k
     data = quantised(table(spark, sf_dir, "embeddings"))
     return top_k(data, data.where(F.col("id") % 20 == 0))
+
+
+@query("op6_html_layout")
+def _op6(spark, sf_dir):
+    from logweave.llm.html_layout import extract
+    return extract(table(spark, sf_dir, "pages"))

@@ -125,3 +125,10 @@ def _op2(spark, sf_dir):
 def _op6(spark, sf_dir):
     from logweave.llm.html_layout import extract
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op1_pii_surrogates")
+def _op1(spark, sf_dir):
+    from logweave.llm.surrogates import pseudonymise
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.sha2("text", 256).alias("source_sha256"))
+    return pseudonymise(docs).withColumn("changed", F.sha2("text", 256) != F.col("source_sha256")).drop("source_sha256")

@@ -26,7 +26,7 @@ def drop_toxic(spark, docs, sf_dir):
     """Documents with a toxicity score below ``TOXIC_FROM``; the classifier learns from ``labels``."""
     score = _free(docs, "score")
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_score(docs, model, score).where(F.col(score) < TOXIC_FROM).drop(score)
+    return toxicity.with_score(docs, model, score).where(F.col("text").isNull() | (F.col(score) < TOXIC_FROM)).drop(score)
 
 
 def drop_near_copies(spark, docs, sf_dir):

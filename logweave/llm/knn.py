@@ -1,8 +1,8 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-1. Components become ``floor(scale * x)``. ``PIVOTS`` vectors, the first by hash, cut the space into
+1. Components become ``floor(scale * x)``. ``PIVOTS`` vectors of a bounded sample cut the space into
    cells; every data row goes to its nearest pivot's cell, every query to a group the same way.
-2. Summaries, of bounded size: per cell its count, its radius, the largest and smallest norm and the ``k + 1``
+2. Summaries, of bounded size: per cell its radius, the largest norm and the ``k + 1``
    members nearest to the pivot; per group its radius and largest norm.
 3. Bounds. For a query ``q = c + d`` of a group around ``c`` and a row ``x = p + e`` of a cell around ``p``,
    ``q.x`` differs from ``c.p`` by at most ``|d||p| + |c||e| + |d||e|``. The near members of all cells
@@ -51,11 +51,13 @@ def _matrix(column):
         yield dim, at, flat[starts[at][:, None] + np.arange(dim)]
 
 
-def _pivots(vectors, count):
-    rows = vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(count).collect()
+def _pivots(data, count):
+    """The first ``count`` distinct vectors of twice as many rows by the hash of their id. A vector that
+    very many rows share is thus one pivot."""
+    rows = data.orderBy(F.xxhash64("id"), "id", "v").limit(2 * count).collect()
     found = {}
-    for r in rows:
-        found.setdefault(len(r["v"]), set()).add(tuple(r["v"]))
+    for v in list(dict.fromkeys(tuple(r["v"]) for r in rows))[:count]:
+        found.setdefault(len(v), []).append(v)
     return {dim: np.array(sorted(p), float) for dim, p in found.items()}
 
 

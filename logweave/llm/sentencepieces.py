@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from logweave.llm.textscan import BASE, INVERSE, extended, mix64, power, slices
 
@@ -418,7 +419,7 @@ def encode_texts(df, path, text="text"):
                 ids, bounds = _encoded(model, part.column(text).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
-    return plain.mapInArrow(run, extended(plain.schema, "ids", "array<long>"))
+    return plain.mapInArrow(run, extended(plain.schema, "ids", ArrayType(LongType())))
 
 
 def piece_spans(df, path, text="text"):
@@ -433,7 +434,7 @@ def piece_spans(df, path, text="text"):
                 rows = [[{"id": i, "start": a, "end": b} for i, a, b in model.spans(t or "")] for t in part.column(text).to_pylist()]
                 kind = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind)], [*part.schema.names, "pieces"])
-    return plain.mapInArrow(run, extended(plain.schema, "pieces", "array<struct<id:long,start:long,end:long>>"))
+    return plain.mapInArrow(run, extended(plain.schema, "pieces", ArrayType(StructType().add("id", "long").add("start", "long").add("end", "long"))))
 
 
 def digests(df, path):

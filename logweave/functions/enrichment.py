@@ -33,15 +33,15 @@ def _hit(c, pattern, group):
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
-def extract_fields(message, convert_units=False):
-    """First hit of each pattern as a struct; fields without a hit are null."""
+def extract_fields(message, convert_units=False, chars=None):
+    """First hit of each pattern as a struct; fields without a hit are null. ``chars`` cuts the exception."""
     c = _column(message)
     status = F.nullif(F.regexp_extract(c, STATUS_CODE, 2), F.lit("")).cast("int")
     # the mandatory literal characters are tested first: most lines skip these two patterns
     ip = F.when(F.contains(c, F.lit(".")), _hit(c, IP_ADDRESS, 1))
     path = F.when(F.contains(c, F.lit("/")), _hit(c, URL_PATH, 1))
     kind = strip(F.regexp_extract(c, EXCEPTION, 1))
-    kind = F.when(F.rlike(c, F.lit(EXCEPTION)), F.substring(kind, 1, 200))
+    kind = F.when(F.rlike(c, F.lit(EXCEPTION)), kind if chars is None else F.substring(kind, 1, chars))
     return F.struct(
         status.alias("status_code"),
         duration_ms(c, convert_units).alias("duration_ms"),
@@ -85,9 +85,18 @@ def extract_stack_trace(message, strict=False):
     ))
 
 
+def last_keys(fields):
+    """A map as read from JSON with the last entry of each repeated key."""
+    keys = F.map_keys(fields)
+    last = F.map_from_entries(F.filter(
+        F.map_entries(fields), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])))
+    return F.when(F.size(keys) == F.size(F.array_distinct(keys)), fields).otherwise(last)
+
+
 def merge_metadata(metadata, **parts):
-    """JSON object text with extra keys; a null part leaves the key as it was."""
-    base = F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,variant>")
+    """JSON object text with extra keys; a null part leaves the key as it was. Of a repeated key the last
+    one counts; an object that cannot be read for repeated keys within is replaced by an empty one."""
+    base = last_keys(F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,variant>"))
     base = F.coalesce(base, F.from_json(F.lit("{}"), "map<string,variant>"))
     keys = F.array_compact(F.array(*[F.when(v.isNotNull(), F.lit(k)) for k, v in parts.items()]))
     extra = F.map_from_entries(F.array_compact(F.array(*[

@@ -17,7 +17,6 @@ TEMPLATE_MASKS = [
     (r"(?U)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "<ts>"),
     (r"[0-9a-f]{8,}", "<hex>"),
 ]
-FINGERPRINT_CHARS = 500
 FINGERPRINT_HEX = 16
 
 
@@ -43,13 +42,16 @@ def _mask(c, masks):
     return c
 
 
-def error_fingerprint(message, service):
+def error_fingerprint(message, service, chars=None):
     """Short hash that groups messages differing only in ids, addresses and times.
 
     The number mask comes before the time mask, so ``2024-01-15T10:30:00`` becomes
-    ``<ID>-01-15T10:30:00``; stored hashes depend on that order.
+    ``<ID>-01-15T10:30:00``; stored hashes depend on that order. All of the text counts; ``chars=500``
+    gives hashes that match those of stores which cut there.
     """
-    masked = F.substring(_mask(strip(message), FINGERPRINT_MASKS), 1, FINGERPRINT_CHARS)
+    masked = _mask(strip(message), FINGERPRINT_MASKS)
+    if chars is not None:
+        masked = F.substring(masked, 1, chars)
     return F.substring(F.md5(F.concat(_column(service), F.lit(":"), masked)), 1, FINGERPRINT_HEX)
 
 

@@ -8,6 +8,7 @@ the few lines that already hold its first character are read group by group inst
 from pyspark.sql import functions as F
 
 from logweave.functions.levels import syslog_severity
+from logweave.functions.enrichment import last_keys
 from logweave.functions.masking import strip
 
 # Line patterns.
@@ -105,12 +106,7 @@ def json_wrapped(line):
 
 def json_fields(wrapped):
     """Top-level keys as ``map<string, variant>``; of a repeated key the last one counts."""
-    fields = F.get(wrapped, F.lit(0))
-    keys = F.map_keys(fields)
-    last = F.map_from_entries(F.filter(
-        F.map_entries(fields), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])))
-    return F.when(F.size(wrapped) == 1,
-                  F.when(F.size(keys) == F.size(F.array_distinct(keys)), fields).otherwise(last))
+    return F.when(F.size(wrapped) == 1, last_keys(F.get(wrapped, F.lit(0))))
 
 
 def json_values(fields):

@@ -126,7 +126,7 @@ def alert_absence(df, registry, as_of=None, gap="1 HOUR"):
 
 def list_alerts(alerts, status=None, severity=None, service_name=None, limit=50):
     found = filter_alerts(alerts, status, severity, service_name)
-    return found.orderBy(F.desc("triggered_at"), "id").limit(min(max(limit, 1), 200))
+    return found.orderBy(F.desc("triggered_at"), "id").limit(limit)
 
 
 def alert_events(alerts):
@@ -150,7 +150,7 @@ def alert_state(alerts, events):
 
 def list_anomalies(anomalies, service_name=None, anomaly_type=None, start=None, end=None, limit=50):
     found = filter_anomalies(anomalies, service_name, anomaly_type, start, end)
-    return found.orderBy(F.desc("detected_at"), "id").limit(min(max(limit, 1), 500))
+    return found.orderBy(F.desc("detected_at"), "id").limit(limit)
 
 
 def anomaly_state(anomalies, acknowledged):

@@ -15,7 +15,6 @@ from logweave.operators.filters import filter_eq, filter_errors, filter_last, fi
 from logweave.model import LEVELS
 
 # Look-back in hours per interval when a series has no start.
-SERIES_HOURS = {"1m": 1, "5m": 6, "15m": 12, "1h": 24, "6h": 72, "1d": 168}
 
 
 def _distinct(name, approx):
@@ -167,9 +166,10 @@ def top_error_patterns(df, as_of=None, k=10, service=None):
     return top_k_per_service(groups, [F.desc("occurrences"), "error_fingerprint"], k)
 
 
-def top_errors_coalesced(df, as_of=None, k=10, service=None):
+def top_errors_coalesced(df, as_of=None, k=10, service=None, chars=None):
+    """Errors by fingerprint; those without one by their text, or its first ``chars`` characters."""
     recent = filter_errors(filter_eq(filter_last(df, "24 HOURS", as_of), service_name=service))
-    pattern = F.coalesce("error_fingerprint", F.substring("message", 1, 100))
+    pattern = F.coalesce("error_fingerprint", "message" if chars is None else F.substring("message", 1, chars))
     groups = recent.groupBy("service_name", pattern.alias("pattern")).agg(
         F.count("*").alias("occurrences"),
         F.min("timestamp").alias("first_seen"),
@@ -178,12 +178,12 @@ def top_errors_coalesced(df, as_of=None, k=10, service=None):
     return top_k_per_service(groups, [F.desc("occurrences"), "pattern"], k)
 
 
-def recent_errors(df, as_of=None, k=20, service=None, chars=300):
+def recent_errors(df, as_of=None, k=20, service=None, chars=None):
     recent = filter_errors(filter_eq(filter_last(df, "24 HOURS", as_of), service_name=service))
     rows = top_k_per_service(
         recent.select("service_name", "timestamp", "id", "message", "error_fingerprint"),
         [F.desc("timestamp"), F.desc("id")], k)
-    return rows.withColumn("message", F.substring("message", 1, chars))
+    return rows if chars is None else rows.withColumn("message", F.substring("message", 1, chars))
 
 
 def service_registry(df, previous=None, order="id"):

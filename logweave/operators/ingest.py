@@ -11,6 +11,8 @@ from logweave.functions.masking import strip
 from logweave.functions.timestamps import normalize_timestamp
 from logweave.model import LEVELS, STRUCTURED_SCHEMA
 
+_STRICT = {"allowSingleQuotes": "false"}
+
 _STEPS = [
     ("_s5424", P.syslog_5424_groups, P.syslog_5424_entry),
     ("_s3164", P.syslog_3164_groups, P.syslog_3164_entry),
@@ -42,14 +44,16 @@ def auto_parse(df, col="value"):
 def normalize_entry(df, as_of=None, raw_env_null=False, key=None):
     """Fill defaults and bring every field to its final form.
 
-    A missing trace id becomes the md5 of the row key (``key`` column, or the row itself), so a
-    replay gives the same id. ``raw_env_null`` keeps the environment of parsed lines null.
+    A missing trace id becomes the md5 of the row key (``key`` column, else ``id`` if there is one and it
+    is set, else the row itself), so a replay gives the same id. ``raw_env_null`` keeps the environment
+    of parsed lines null.
     """
     now = F.current_timestamp() if as_of is None else (F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of)
     service, message = strip("service_name"), strip("message")
     trace, env = F.nullif("trace_id", F.lit("")), F.col("environment")
-    own = F.col(key).cast("string") if key else F.to_json(F.struct(
-        "timestamp", "level", "service_name", "message", "host", "metadata"))
+    own = F.to_json(F.struct("timestamp", "level", "service_name", "message", "host", "metadata"))
+    if key or "id" in df.columns:
+        own = F.coalesce(F.col(key or "id").cast("string"), own)
     if not raw_env_null:
         env = F.coalesce(env, F.lit("production"))
     fields = {
@@ -59,7 +63,9 @@ def normalize_entry(df, as_of=None, raw_env_null=False, key=None):
         "message": F.coalesce(F.nullif(message, F.lit("")), F.lit("(empty)")),
         "trace_id": F.coalesce(trace, F.md5(own)),
         "environment": env,
-        "metadata": F.when(F.startswith(F.trim("metadata"), F.lit("{")) & F.is_variant_null(F.try_parse_json("metadata")).isNotNull(),
+        # repeated keys are no variant, but can be read as a map
+        "metadata": F.when(F.startswith(F.trim("metadata"), F.lit("{")) & (F.is_variant_null(F.try_parse_json("metadata")).isNotNull()
+                           | F.from_json("metadata", "map<string,variant>", _STRICT).isNotNull()),
                            F.col("metadata")).otherwise("{}"),
     }
     return df.withColumns(fields)
@@ -109,21 +115,45 @@ def with_overrides(df, service_name=None, environment=None, host=None):
     return df.withColumns(fields) if fields else df
 
 
-def ingest_raw_lines(df, col="value", as_of=None, raw_env_null=False):
-    """Text (one line or a block per row) to normalised rows; blank lines are dropped."""
-    lines = df.withColumn(col, F.explode(F.split(col, LINE_BREAK)))
-    lines = lines.where(strip(col) != "")
-    return normalize_entry(auto_parse(lines, col), as_of, raw_env_null)
+def with_identity(df, *salt):
+    """Add ``id`` and ``ingested_at`` where they are missing (not for streams, see ``store_batch``).
+
+    The id is a hash of the source file, the block's start and the row's place in its partition, so a
+    task that runs again gives the same ids. ``salt`` tells apart what is read in several goes.
+    """
+    place = [F.input_file_name(), F.expr("input_file_block_start()"), F.monotonically_increasing_id()]
+    own = F.xxhash64(*place, *[F.lit(s) for s in salt])
+    df = df.withColumn("id", F.coalesce(F.col("id").cast("long"), own) if "id" in df.columns else own)
+    return df if "ingested_at" in df.columns else df.withColumn("ingested_at", F.current_timestamp())
+
+
+def ingest_raw_lines(df, col="value", as_of=None, raw_env_null=False, **overrides):
+    """Text (one line or a block per row) to normalised rows with ``id`` and ``ingested_at``; blank lines
+    are dropped. Rows that bring an ``id`` keep it for their first line. ``overrides`` are the sender's
+    values of :func:`with_overrides`."""
+    if not df.isStreaming:
+        df = with_identity(df)
+    lines = df.select("*", F.posexplode(F.split(col, LINE_BREAK)).alias("_line", "_text")).withColumn(col, F.col("_text")).drop("_text")
+    if "id" in df.columns:
+        lines = lines.withColumn("id", F.when(F.col("_line") == 0, F.col("id").cast("long")).otherwise(F.xxhash64("id", "_line")))
+    lines = lines.drop("_line").where(strip(col) != "")
+    return normalize_entry(with_overrides(auto_parse(lines, col), **overrides), as_of, raw_env_null)
 
 
 def ingest_structured(df, col="value", as_of=None):
     """JSON documents of the structured schema to validated rows.
 
-    Values that break a rule are reported in ``rejected``; nothing is dropped here.
+    Values that break a rule are reported in ``rejected``; nothing is dropped here. A text that is no
+    JSON object is rejected for rule ``json``; ``raw`` keeps the text of every rejected row.
     """
-    doc = F.from_json(col, STRUCTURED_SCHEMA)
-    keep = [c for c in df.columns if c != col]
-    rows = df.withColumn("_doc", doc).select(*keep, "_doc.*")
+    keep = [c for c in df.columns if c != col and c not in STRUCTURED_SCHEMA.names]
+    text = F.col(col)
+    rows = df.select(*keep, F.from_json(col, STRUCTURED_SCHEMA).alias("_doc"), text.alias("_raw"))
+    broken = F.from_json("_raw", "map<string,string>", _STRICT).isNull() | ~F.coalesce(F.startswith(strip("_raw"), F.lit("{")), F.lit(False))
+    rows = rows.withColumn("_broken", broken).select(*keep, "_doc.*", "_raw", "_broken")
     rows = rows.withColumns({"level": F.coalesce("level", F.lit("INFO")),
                              "environment": F.coalesce("environment", F.lit("production"))})
-    return normalize_entry(validate_entries(rows, need_time=False), as_of)
+    checked = validate_entries(rows if df.isStreaming else with_identity(rows), need_time=False)
+    reasons = F.when(F.col("_broken"), F.array_append("rejected", F.lit("json"))).otherwise(F.col("rejected"))
+    checked = checked.withColumn("rejected", reasons).withColumn("raw", F.when(F.size("rejected") > 0, F.col("_raw")))
+    return normalize_entry(checked.drop("_raw", "_broken"), as_of)

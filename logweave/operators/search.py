@@ -17,11 +17,11 @@ from logweave.functions.times import time_lit
 from logweave.model import LOG_COLUMNS, SORT_FIELDS
 from logweave.operators.filters import filter_eq, filter_levels, filter_metadata, filter_time, ilike
 
-# Field weights in tenths, page bounds.
+# Field weights in tenths.
 FIELD_WEIGHTS = {"level": 10, "service_name": 10, "message": 4, "host": 2}
 FIELD_LABELS = {"level": "A", "service_name": "A", "message": "B", "host": "C"}
-PAGE_SIZE_MAX = 500
-EXPORT_MAX = 100_000
+
+MOST_WORDS = 2000
 
 _MAX_ENDING = 2  # letters a stem may differ in from the start of its word, counted from its end
 
@@ -126,21 +126,34 @@ def matching(df, q=None, index=None, **filters):
 
 
 def search(df, q=None, page=1, page_size=50, sort_by="timestamp", sort_order_="desc", index=None,
-           after=None, max_page_size=PAGE_SIZE_MAX, **filters):
-    """One page of a search. Deep pages: pass ``after=(timestamp, id)`` of the last row seen
-    instead of a page number, which turns the skipped rows into a filter."""
+           after=None, **filters):
+    """One page of a search. Deep pages: pass ``after=(value, id)``, the sort column and the id of the
+    last row seen, instead of a page number; the skipped rows become a filter on the sort key. Results
+    in order of rank have no such key, so ``after`` with ``q`` in the default order is an error."""
+    if int(page) < 1 or int(page_size) < 1:
+        raise ValueError("page and page_size start at 1")
     rows = matching(df, q, index, **filters)
     columns = [c for c in LOG_COLUMNS if c in rows.columns] + ["rank"]
-    order = sort_order(sort_by, sort_order_, bool(q and q.strip()) and after is None)
-    size = min(max(int(page_size), 1), max_page_size)
+    ranked = bool(q and q.strip())
+    order = sort_order(sort_by, sort_order_, ranked)
     if after is not None:
-        ts, key = time_lit(df, after[0]), after[1]
-        if sort_order_.strip().lower() == "asc":
-            rows = rows.where((F.col("timestamp") > ts) | ((F.col("timestamp") == ts) & (F.col("id") > key)))
-        else:
-            rows = rows.where((F.col("timestamp") < ts) | ((F.col("timestamp") == ts) & (F.col("id") < key)))
-        page = 1
-    return rows.select(columns).orderBy(*order).offset((max(int(page), 1) - 1) * size).limit(size)
+        if ranked and sort_by.strip().lower() == "timestamp":
+            raise ValueError("after needs a sort column when results are ranked")
+        rows, page = rows.where(_behind(df, sort_by.strip().lower(), sort_order_.strip().lower(), *after)), 1
+    return rows.select(columns).orderBy(*order).offset((int(page) - 1) * int(page_size)).limit(int(page_size))
+
+
+def _behind(df, sort_by, order, value, key):
+    """Whether a row comes after ``(value, key)`` in the order of :func:`sort_order`."""
+    at, own = F.col(sort_by), F.col("id")
+    later = own > key if order == "asc" else own < key
+    if sort_by == "id":
+        return later
+    if value is None:  # nulls are last going up, first going down
+        return at.isNull() & later if order == "asc" else at.isNotNull() | later
+    mark = time_lit(df, value) if sort_by in ("timestamp", "ingested_at") else F.lit(value)
+    beyond = (at > mark) | at.isNull() if order == "asc" else at < mark
+    return beyond | ((at == mark) & later)
 
 
 def count_search(df, q=None, page_size=50, index=None, **filters):
@@ -188,21 +201,24 @@ def build_search_index(df, path=None):
 
 
 def _by_index(rows, terms, index):
-    """Rows named by the postings of all terms. Nothing is broadcast by hand: the words of a
-    few stems are small at run time, and the planner sees that."""
+    """Rows named by the postings of all terms. The dictionary words of the query's stems are read
+    first: as literals they reach the scan of the postings, which lie sorted by word. A stem has a
+    handful of words; more than ``MOST_WORDS`` go through a join."""
     if not terms:
         return rows.where(F.lit(False)).withColumn("rank", F.lit(0.0))
     postings, dictionary = index
     stems = [s for _, s in terms]
     place = F.array_position(F.lit(stems), F.col("stem")).cast("int")
     wanted = dictionary.where(F.col("stem").isin(stems)).select("term", (place - 1).alias("_place"))
+    words = [r["term"] for r in wanted.select("term").limit(MOST_WORDS + 1).collect()]
+    if len(words) <= MOST_WORDS:
+        postings = postings.where(F.col("term").isin(words))
     weight = F.when(F.col("weight") == "A", 10).when(F.col("weight") == "B", 4).otherwise(2)
     ids = (
         postings.join(wanted, "term")
         .groupBy("id")
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_place"))).alias("_found"),
-             F.sum(weight).alias("_tenths"))
-        .where(F.col("_found") == (1 << len(stems)) - 1)
+        .agg(F.size(F.collect_set("_place")).alias("_found"), F.sum(weight).alias("_tenths"))
+        .where(F.col("_found") == len(stems))
     )
     return rows.join(ids, "id").withColumn("rank", F.col("_tenths") / F.lit(10.0)).drop("_found", "_tenths")
 
@@ -237,17 +253,23 @@ def trigram_search(df, grams, term, col="message"):
 
 # --- suggestions and highlights ----------------------------------------------
 
-def latest_per_prefix(df, prefix=80, shown=120):
-    """Newest message of each group of messages with the same start; a map-side combined maximum."""
-    newest = F.max_by(F.substring("message", 1, shown), F.struct("timestamp", "id"))
-    return df.groupBy(F.substring("message", 1, prefix).alias("prefix")).agg(newest.alias("newest"))
+def _cut(text, chars):
+    return F.col(text) if chars is None else F.substring(text, 1, chars)
+
+
+def latest_per_prefix(df, prefix=None, shown=None):
+    """Newest message of each group of messages with the same start (``prefix`` characters, default the
+    whole text), cut to ``shown`` characters if given; a map-side combined maximum."""
+    newest = F.max_by(_cut("message", shown), F.struct("timestamp", "id"))
+    return df.groupBy(_cut("message", prefix).alias("prefix")).agg(newest.alias("newest"))
 
 
-def suggest(df, term, limit=10):
-    """Services, newest message of each 80-letter start, and hosts that contain the term."""
+def suggest(df, term, limit=10, prefix=None, shown=None):
+    """Services, newest message of each start (see :func:`latest_per_prefix`), and hosts that contain the
+    term."""
     term = (term or "").strip()
     services = df.select(F.col("service_name").alias("suggestion")).where(ilike("service_name", term)).distinct()
-    messages = latest_per_prefix(df.where(ilike("message", term))).orderBy("prefix").limit(limit).select(
+    messages = latest_per_prefix(df.where(ilike("message", term)), prefix, shown).orderBy("prefix").limit(limit).select(
         F.col("newest").alias("suggestion"))
     hosts = df.select(F.col("host").alias("suggestion")).where(ilike("host", term)).distinct()
     parts = [
@@ -279,23 +301,23 @@ def highlight(df, q, col="message", before="<b>", after="</b>"):
 
 # --- exports -----------------------------------------------------------------
 
-def export_rows(df, limit=10_000, columns=None, **filters):
-    """Search result for export: newest first, the asked number of rows."""
+def export_rows(df, limit=None, columns=None, **filters):
+    """Search result for export: newest first, all rows or the first ``limit``."""
     rows = matching(df, **filters).orderBy(*sort_order(by_rank=bool(filters.get("q"))))
-    return rows.limit(min(limit, EXPORT_MAX)).select(columns or "*")
+    return (rows if limit is None else rows.limit(limit)).select(columns or "*")
 
 
 _ISO = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 EXPORT_COLUMNS = ["timestamp", "level", "service_name", "message", "host", "trace_id", "environment"]
 
 
-def export_csv(df, path, limit=10_000, chars=1000, **filters):
+def export_csv(df, path, limit=None, chars=None, **filters):
     rows = export_rows(df, limit, EXPORT_COLUMNS, **filters)
-    rows = rows.withColumn("message", F.substring("message", 1, chars))
+    rows = rows.withColumn("message", _cut("message", chars))
     rows.write.mode("overwrite").options(header=True, escape='"', **_ISO).csv(path)
 
 
-def export_json(df, path, limit=10_000, **filters):
+def export_json(df, path, limit=None, **filters):
     """JSON lines under ``path/logs``, and one line ``count, exported_at`` under ``path/summary``."""
     rows = export_rows(df, limit, EXPORT_COLUMNS + ["metadata"], **filters)
     rows.withColumn("metadata", F.try_parse_json("metadata")).write.mode("overwrite").options(**_ISO).json(f"{path}/logs")

@@ -40,7 +40,7 @@ def fingerprint_sql(message, service):
         (r"\b[0-9a-f]{8,}\b", "<HEX>", "gi"),
     ]:
         masked = f"regexp_replace({masked}, '{pattern}', '{tag}', '{flags}')"
-    return f"substr(md5(concat({service}, ':', substr({masked}, 1, 500))), 1, 16)"
+    return f"substr(md5(concat({service}, ':', {masked})), 1, 16)"
 
 
 def template_sql(message):

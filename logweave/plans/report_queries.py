@@ -246,14 +246,14 @@ def top_error_patterns(spark, sf):
     "min(log_ts) AS first_seen, max(log_ts) AS last_seen FROM day WHERE err GROUP BY 1, 2 "
     "QUALIFY row_number() OVER (PARTITION BY service_name ORDER BY count(*) DESC, coalesce(error_fingerprint, left(message, 100))) <= 10"))
 def top_errors_coalesced(spark, sf):
-    return A.top_errors_coalesced(logs(spark, sf))
+    return A.top_errors_coalesced(logs(spark, sf), chars=100)
 
 
 @query("recent_errors", with_logs(
     "SELECT service_name, log_ts AS \"timestamp\", id, left(message, 300) AS message, error_fingerprint FROM day WHERE err "
     "QUALIFY row_number() OVER (PARTITION BY service_name ORDER BY log_ts DESC, id DESC) <= 20"))
 def recent_errors(spark, sf):
-    return A.recent_errors(logs(spark, sf))
+    return A.recent_errors(logs(spark, sf), chars=300)
 
 
 @query("top_k_per_service", with_logs(

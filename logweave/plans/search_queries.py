@@ -118,7 +118,14 @@ def search_filtered(spark, sf):
 @query("search_page", with_logs(
     _NO_RANK + " WHERE service_name='user-service' ORDER BY host DESC NULLS FIRST, id DESC LIMIT 500 OFFSET 500"))
 def search_page(spark, sf):
-    return S.search(logs(spark, sf), service_name="user-service", sort_by="host", page=2, page_size=900)
+    return S.search(logs(spark, sf), service_name="user-service", sort_by="host", page=2, page_size=500)
+
+
+@query("search_after_host", with_logs(
+    _NO_RANK + " WHERE service_name='user-service' AND (host > 'node-02.internal' OR host IS NULL OR host = 'node-02.internal' AND id > 4000) "
+    "ORDER BY host NULLS LAST, id LIMIT 400"))
+def search_after_host(spark, sf):
+    return S.search(logs(spark, sf), service_name="user-service", sort_by="host", sort_order_="asc", page_size=400, after=("node-02.internal", 4000))
 
 
 @query("search_after", with_logs(
@@ -208,7 +215,7 @@ def latest_per_prefix(spark, sf):
     "WHERE contains(lower(message), 'a') GROUP BY 1) ORDER BY s LIMIT 50) UNION ALL "
     "(SELECT DISTINCT host, 'host' FROM logs WHERE contains(lower(host), 'a') ORDER BY 1 LIMIT 50)) ORDER BY type, suggestion LIMIT 50"))
 def suggest(spark, sf):
-    return S.suggest(logs(spark, sf), "A", 50)
+    return S.suggest(logs(spark, sf), "A", 50, 80, 120)
 
 
 @query("suggest_documents",
@@ -217,7 +224,7 @@ def suggest(spark, sf):
        "ORDER BY type, suggestion LIMIT 20")
 def suggest_documents(spark, sf):
     docs = _documents(spark, sf).withColumn("timestamp", F.col("id")).withColumn("host", F.lit(None).cast("string"))
-    return S.suggest(docs, "the", 20)
+    return S.suggest(docs, "the", 20, 80, 120)
 
 
 @query("highlight", with_logs(
@@ -233,7 +240,7 @@ def _scratch(spark, name):
 
 
 @query("export_csv", with_logs(
-    "SELECT strftime(log_ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, level, service_name, left(message, 1000) AS message, host, trace_id, environment FROM logs "
+    "SELECT strftime(log_ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, level, service_name, message, host, trace_id, environment FROM logs "
     "WHERE level='ERROR' ORDER BY log_ts DESC, id DESC LIMIT 1000"))
 def export_csv(spark, sf):
     path = _scratch(spark, "csv")
@@ -244,7 +251,7 @@ def export_csv(spark, sf):
 
 @query("export_json", with_logs(
     "SELECT log_ts AS \"timestamp\", level, service_name, message, host, trace_id, environment, CAST(json_extract(metadata, '$.k') AS BIGINT) AS k FROM logs "
-    "WHERE service_name='order-service' ORDER BY log_ts DESC, id DESC LIMIT 10000"))
+    "WHERE service_name='order-service' "))
 def export_json(spark, sf):
     path = _scratch(spark, "json")
     S.export_json(logs(spark, sf), path, service_name="order-service")

@@ -12,6 +12,7 @@ from logweave.operators import alerts as AL
 from logweave.operators import analytics as A
 from logweave.operators import anomaly as N
 from logweave.operators import ingest as I
+from logweave.operators import search as S
 from logweave.operators.enrich import process
 import logweave.plans.report_queries  # noqa: F401  (its SQL texts are used below)
 from logweave.plans.alert_queries import _RATES, _alerts, _anomalies, _chain
@@ -104,6 +105,74 @@ def compact(spark, sf):
     return spark.read.parquet(path + "-compact").select("id", "timestamp", "level")
 
 
+def _raw_folder(spark, sf):
+    """The log rows as JSON lines in text files, the way a shipper would leave them."""
+    folder = scratch(spark, "raw")
+    rows = logs(spark, sf).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows.select(F.to_json(F.struct("timestamp", "level", "service_name", "message")).alias("value")).write.text(folder)
+    return folder
+
+
+_STORED = "SELECT level, service_name, message, count(*) AS n, count(*) AS ids, count(*) AS traces FROM logs GROUP BY ALL"
+
+
+def _stored_groups(rows):
+    return rows.groupBy("level", "service_name", "message").agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("trace_id").alias("traces"))
+
+
+@query("raw_to_store", with_logs(_STORED))
+def raw_to_store(spark, sf):
+    path = scratch(spark, "logs")
+    TB.write_logs(process(I.ingest_raw_lines(spark.read.text(_raw_folder(spark, sf)))), path, path + "-rejects")
+    return _stored_groups(spark.read.parquet(path))
+
+
+@query("raw_to_search", with_logs(
+    "SELECT way, service_name, count(*) AS n FROM logs, (VALUES ('index'), ('scan')) w(way) WHERE contains(message, 'connection refused') GROUP BY ALL"))
+def raw_to_search(spark, sf):
+    path = scratch(spark, "logs")
+    TB.write_logs(process(I.ingest_raw_lines(spark.read.text(_raw_folder(spark, sf)))), path)
+    rows = TB.scan_logs(spark, path)
+    ways = {"scan": None, "index": S.build_search_index(rows, path + "-index")}
+    found = [S.matching(rows, "connection refused", index).select(F.lit(way).alias("way"), "service_name") for way, index in ways.items()]
+    return found[0].unionByName(found[1]).groupBy("way", "service_name").agg(F.count("*").alias("n"))
+
+
+@query("raw_stream_to_store", with_logs(_STORED))
+def raw_stream_to_store(spark, sf):
+    path, tails = scratch(spark, "logs"), []
+    lines = J.read_log_stream(spark, _raw_folder(spark, sf), max_files=1)
+    J.stream_process(J.stream_ingest(lines), path, path + "-checkpoint", path + "-rejects",
+                     tail=lambda rows, i: tails.append(rows.count())).awaitTermination()
+    return _stored_groups(spark.read.parquet(path))
+
+
+@query("streams_share_a_table", with_logs("SELECT id, level, message FROM logs"))
+def streams_share_a_table(spark, sf):
+    path = scratch(spark, "logs")
+    for half in (0, 1):
+        folder = scratch(spark, "half")
+        logs(spark, sf).where(F.col("id") % 2 == half).write.parquet(folder)
+        stream = J.read_log_stream(spark, folder, "parquet", schema=spark.read.parquet(folder).schema)
+        J.stream_process(stream, path, f"{path}-checkpoint-{half}").awaitTermination()
+    return spark.read.parquet(path).select("id", "level", "message")
+
+
+@query("poison_documents", with_logs(
+    "SELECT CASE id % 5 WHEN 0 THEN 'stored' WHEN 1 THEN 'stored' ELSE 'json' END AS fate, CASE WHEN id % 5 > 1 THEN concat('{broken ', CAST(id AS VARCHAR)) END AS raw, "
+    "CASE WHEN id % 5 = 1 THEN '2' END AS a, count(*) AS n FROM logs WHERE id % 5 < 3 GROUP BY ALL"))
+def poison_documents(spark, sf):
+    rows = logs(spark, sf).where("id % 5 < 3").withColumn("iso", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    whole = F.to_json(F.struct("id", F.col("iso").alias("timestamp"), "level", "service_name", "message"))
+    doubled = F.concat(F.regexp_replace(whole, r"\}$", ',"metadata":'), F.lit('{"a":1,"a":2}}'))
+    broken = F.concat(F.lit("{broken "), F.col("id").cast("string"))
+    docs = rows.select(F.when(F.col("id") % 5 == 0, whole).when(F.col("id") % 5 == 1, doubled).otherwise(broken).alias("value"))
+    done = process(I.ingest_structured(docs))
+    fate = F.when(F.array_contains("rejected", "json"), "json").when(F.size("rejected") == 0, "stored").otherwise("other")
+    return done.groupBy(fate.alias("fate"), "raw", F.get_json_object("metadata", "$.a").alias("a")).agg(F.count("*").alias("n"))
+
+
 @query("insert_batch_unnest", with_logs("SELECT id, log_ts AS \"timestamp\", level, message FROM logs"))
 def insert_batch_unnest(spark, sf):
     rows = logs(spark, sf).withColumn("_r", F.struct("id", "timestamp", "level", "message"))

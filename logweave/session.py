@@ -30,15 +30,15 @@ def build_session(app="logweave", master=None, **conf):
 def checkpoint_dir(spark):
     """The shared folder named by ``spark.checkpoint.dir``; also where streams keep state.
 
-    A local session without one gets a scratch folder. A cluster session without one is an
-    error: a folder on one machine does not survive that machine.
+    A session in one process without one gets a scratch folder. A session with executors of its own
+    without one is an error: a folder on one machine does not survive that machine.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         path = sc.getCheckpointDir()
         if not path:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             path = tempfile.mkdtemp(prefix="logweave-")
     if not sc.getCheckpointDir():

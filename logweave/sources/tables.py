@@ -5,15 +5,13 @@ import json
 from pyspark.sql import functions as F
 
 from logweave.functions.times import time_type
-from logweave.model import LOG_COLUMNS
+from logweave.model import LOG_COLUMNS, LOG_SCHEMA
 from logweave.operators.anomaly import Forest
 from logweave.operators.filters import filter_time
 from logweave.operators.ingest import validate_entries
 from logweave.operators.patterns import Tfidf
 from logweave.session import materialize
 
-DEAD_LETTER_MAX = 10_000
-
 
 def scan_logs(spark, path, start=None, end=None, cols=None):
     """Rows of a stored table in a closed time range; whole days outside it are not opened."""
@@ -29,29 +27,37 @@ def split_valid(df):
 
 
 def stored_form(df):
-    """Columns of the table, missing ones null, plus the partition column ``log_date``."""
+    """Columns of the table in their stored types, missing ones null, plus the partition column ``log_date``."""
     have = set(df.columns)
-    rows = df.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in LOG_COLUMNS])
+    if "id" not in have:
+        raise ValueError("rows need an id to be stored; see ingest.with_identity")
+    rows = df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA])
+    rows = rows.withColumn("id", F.col("id").cast("long"))
     if "ingested_at" not in have:
         rows = rows.withColumn("ingested_at", F.current_timestamp().cast(time_type(df)))
     return rows.withColumn("log_date", F.to_date("timestamp"))
 
 
 def dead_letter(rejected, at=None):
-    """Rejected rows as ``original_id, data, error, failed_at``."""
-    body = F.to_json(F.struct(*[c for c in rejected.columns if c != "rejected"]))
+    """Rejected rows as ``original_id, data, error, failed_at``; ``data`` is the text that came in where it
+    is known, else the row as JSON."""
+    body = F.to_json(F.struct(*[c for c in rejected.columns if c not in ("rejected", "raw")]))
+    if "raw" in rejected.columns:
+        body = F.coalesce("raw", body)
+    own = F.col("id").cast("string") if "id" in rejected.columns else F.lit(None).cast("string")
     return rejected.select(
-        F.col("id").cast("string").alias("original_id"), body.alias("data"),
+        own.alias("original_id"), body.alias("data"),
         F.concat(F.lit("invalid "), F.concat_ws(", ", "rejected")).alias("error"),
         (F.current_timestamp() if at is None else at).alias("failed_at"))
 
 
-def keep_newest(dead, n=DEAD_LETTER_MAX):
+def keep_newest(dead, n):
     """Retention of the reject table: the newest ``n``."""
     return dead.orderBy(F.desc("failed_at"), F.desc("original_id")).limit(n)
 
 
-def write_logs(df, path, rejects_path=None, mode="append", cluster=True, batch_id=None, stage=True):
+def write_logs(df, path, rejects_path=None, mode="append", cluster=True, batch_id=None, stage=True,
+               source="batch"):
     """Store valid rows by day, rejected rows as dead letters.
 
     ``cluster`` sorts by range of day, service and time before writing. The ranges come from a
@@ -62,37 +68,31 @@ def write_logs(df, path, rejects_path=None, mode="append", cluster=True, batch_i
     the checked rows are staged once in the checkpoint folder; pass ``stage=False`` for rows that
     are cheap or cached.
 
-    With ``batch_id`` (a streaming micro-batch) the rows go to a partition of their own that a
-    repeated attempt replaces, which makes the write idempotent.
+    The table's folders are ``source``, ``batch`` and ``log_date``, for batches and streams alike. A
+    streaming micro-batch (``source`` and ``batch_id``) owns its folder: a repeated attempt replaces the
+    whole of it, and other sources are never touched. Other writes append to source ``batch``; mode
+    ``overwrite`` replaces that source alone.
     """
     checked = df if "rejected" in df.columns else validate_entries(df)
     if stage and (cluster or rejects_path is not None):
         checked = materialize(checked, "staged")
     good, bad = split_valid(checked)
     rows = stored_form(good)
-    parts = ["log_date"]
     if cluster:
         rows = rows.repartitionByRange("log_date", "service_name", "timestamp", "id")
     rows = rows.sortWithinPartitions("log_date", "service_name", "timestamp")
-    if batch_id is not None:
-        rows, parts, mode = rows.withColumn("batch", F.lit(batch_id)), ["batch", "log_date"], "overwrite"
-    options = {"parquet.bloom.filter.enabled#trace_id": "true", "partitionOverwriteMode": "dynamic"}
-    rows.write.mode(mode).options(**options).partitionBy(*parts).parquet(path)
+    place, mode = (f"source={source}/batch=-1", mode) if batch_id is None else (f"source={source}/batch={batch_id}", "overwrite")
+    rows.write.mode(mode).option("parquet.bloom.filter.enabled#trace_id", "true").partitionBy("log_date").parquet(f"{path}/{place}")
     if rejects_path is not None:
-        dead = dead_letter(bad)
-        if batch_id is None:
-            dead.write.mode(mode).parquet(rejects_path)
-        else:
-            (dead.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects_path))
+        dead_letter(bad).write.mode(mode).parquet(f"{rejects_path}/{place}")
 
 
 def compact(spark, path, out):
     """Rewrite a table of many small micro-batch files clustered by day, service and time."""
-    rows = spark.read.parquet(path).drop("batch")
+    rows = spark.read.parquet(path).drop("source", "batch")
     (rows.repartitionByRange("log_date", "service_name", "timestamp", "id")
      .sortWithinPartitions("log_date", "service_name", "timestamp")
-     .write.mode("overwrite").partitionBy("log_date").parquet(out))
+     .write.mode("overwrite").partitionBy("log_date").parquet(f"{out}/source=batch/batch=-1"))
 
 
 def rows_from_arrays(df, **arrays):

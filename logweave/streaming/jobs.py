@@ -4,6 +4,8 @@ Event time rules: the watermark plays the part of a counter's lifetime, and rows
 still reach storage but no closed window.
 """
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from logweave.functions.rates import is_error, rate_pct
@@ -108,17 +110,18 @@ def live_tail(batch, n=TAIL_ROWS, where=None):
         *[c for c in TAIL_COLUMNS if c in rows.columns])
 
 
-def store_batch(path, rejects_path=None, now=None, tail=None, alerts=None):
+def store_batch(path, rejects_path=None, now=None, tail=None, alerts=None, source="stream"):
     """``foreachBatch`` function: enrich, fingerprint, store, publish the tail, check alerts.
 
-    Storage replaces what an earlier attempt of the same batch wrote. ``tail`` and ``alerts`` are
+    Storage replaces what an earlier attempt of the same batch of the same ``source`` wrote. Rows without
+    an id get one from source, batch and place. ``tail`` and ``alerts`` are
     called with a DataFrame and the batch id. Several steps read the batch, so it is cached; its
     size is set by the trigger (``max_files``), and lost blocks are computed again.
     """
     def run(batch, batch_id):
-        rows = process(batch, now).persist()
+        rows = process(ingest.with_identity(batch, source, batch_id), now).persist()
         try:
-            write_logs(rows, path, rejects_path, cluster=False, batch_id=batch_id, stage=False)
+            write_logs(rows, path, rejects_path, cluster=False, batch_id=batch_id, stage=False, source=source)
             if tail:
                 tail(live_tail(rows), batch_id)
             if alerts:
@@ -129,9 +132,14 @@ def store_batch(path, rejects_path=None, now=None, tail=None, alerts=None):
 
 
 def stream_process(stream, path, checkpoint, rejects_path=None, now=None, tail=None, alerts=None, **trigger):
-    """Start the storing query; the checkpoint takes the place of acknowledgements."""
+    """Start the storing query; the checkpoint takes the place of acknowledgements.
+
+    Batch numbers belong to a checkpoint, so its name is the source under which batches are stored:
+    streams with checkpoints of their own share a table without touching each other's rows.
+    """
+    source = "s" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     return (
-        stream.writeStream.foreachBatch(store_batch(path, rejects_path, now, tail, alerts))
+        stream.writeStream.foreachBatch(store_batch(path, rejects_path, now, tail, alerts, source))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 

@@ -13,6 +13,9 @@ FORMATS = [
     "d MMM yyyy H:mm:ss xx", "d MMM yyyy H:mm:ss z", "d MMM yyyy H:mm:ss", "d MMM yyyy",
     "MMM d, yyyy H:mm:ss", "MMM d, yyyy", "MMM d yyyy H:mm:ss", "MMM d H:mm:ss yyyy",
     "yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmmssX",
+    "yyyy/M/d H:mm", "yyyy.M.d H:mm:ss", "yyyy.M.d H:mm", "yyyy.M.d", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy H:mm",
+    "d MMM yyyy H:mm", "MMM d, yyyy h:mm:ss a", "MMM d, yyyy h:mm a", "MMM d, yyyy H:mm", "MMMM d, yyyy H:mm:ss", "MMMM d, yyyy",
+    "d MMMM yyyy H:mm:ss", "d MMMM yyyy", "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy",
 ]
 
 
@@ -24,10 +27,11 @@ def _try(text, fmt):
     return F.try_to_timestamp(text, F.lit(fmt))
 
 
-def normalize_timestamp(ts, as_of):
-    """UTC timestamp of a text or epoch value; ``as_of`` when there is none or it cannot be read.
+def read_timestamp(ts, as_of):
+    """UTC timestamp of a text or epoch value, null when there is none or it cannot be read.
 
-    Times without a zone are UTC; syslog times get the year of ``as_of``.
+    Times without a zone are UTC; syslog times get the year of ``as_of``. Of two numbers before the year
+    the one behind a slash is the day, the one before a dash too.
     """
     text = F.regexp_replace(strip(_column(ts).cast("string")), r"(?U)\s+", " ")
     number = F.when(F.rlike(text, F.lit(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")), text.try_cast("double"))
@@ -43,5 +47,9 @@ def normalize_timestamp(ts, as_of):
     dated = F.regexp_replace(iso_text, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? ", "")
     others = F.coalesce(*[_try(dated, fmt) for fmt in FORMATS], _try(dated, "yyyy/M/d H:mm:ss.SSSSSS"),
                         _try(dated, "yyyy/M/d H:mm:ss.SSS"))
-    return F.when(number.isNotNull(), F.coalesce(epoch, as_of)).otherwise(
-        F.coalesce(iso, access, syslog, others, as_of))
+    return F.when(number.isNotNull(), epoch).otherwise(F.coalesce(iso, access, syslog, others))
+
+
+def normalize_timestamp(ts, as_of):
+    """As :func:`read_timestamp`, with ``as_of`` for what cannot be read."""
+    return F.coalesce(read_timestamp(ts, as_of), as_of)

@@ -7,7 +7,7 @@ from logweave.functions.times import as_of as _as_of, since
 from logweave.model import ALERT_COLUMNS
 from logweave.operators.analytics import minute_counts, recent_error_rate
 from logweave.operators.cooldown import COOLDOWN_SECONDS, cooldown, pattern_cooldown
-from logweave.operators.filters import filter_alerts, filter_anomalies, filter_errors
+from logweave.operators.filters import filter_alerts, filter_anomalies, filter_errors, filter_last
 from logweave.operators.series import spike
 
 # Rule thresholds and the critical patterns in the order they are tried.
@@ -113,7 +113,7 @@ def alert_spike(df, multiplier=SPIKE_MULTIPLIER, history=10, cooldown_s=COOLDOWN
 def alert_absence(df, registry, as_of=None, gap="1 HOUR"):
     """Known services without a row since ``as_of - gap``."""
     now = _as_of(df, as_of)
-    alive = df.where(F.col("timestamp") > since(now, gap)).select(F.col("service_name").alias("name")).distinct()
+    alive = filter_last(df, gap, now).select(F.col("service_name").alias("name")).distinct()
     silent = registry.join(alive, "name", "left_anti").withColumn("_at", now)
     return alert_record(
         silent,

@@ -100,8 +100,7 @@ def logs_per_second(df, as_of=None, decimals=1, service=None):
     """Rows of the current minute over the seconds of it that have passed."""
     now = _as_of(df, as_of)
     minute = F.date_trunc("minute", now).cast(time_type(df))
-    current = filter_eq(df, service_name=service).where(
-        (F.col("timestamp") >= minute) & (F.col("timestamp") <= now))
+    current = filter_time(filter_eq(df, service_name=service), minute, now)
     rate = F.col("n") / F.greatest(F.second(now), F.lit(1))
     return current.agg(F.count("*").alias("n")).select(
         (F.round(rate, decimals) if decimals is not None else rate).alias("logs_per_second"))
@@ -312,8 +311,8 @@ def error_budget(df, slo=0.99, as_of=None, hours=24):
 
 
 def sample_n(df, n=5000, seed=42, key="id"):
-    """Repeatable random sample: the ``n`` rows with the smallest hash of their key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """Repeatable random sample: the ``n`` rows with the smallest hash of key and seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
 def refresh_views(df, path, as_of=None):

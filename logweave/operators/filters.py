@@ -60,7 +60,7 @@ def filter_last(df, interval, as_of=None, name="timestamp"):
 def ui_window(df, preset, as_of=None):
     """The relative ranges of the log browser: closed at both ends."""
     end = _as_of(df, as_of)
-    return df.where((F.col("timestamp") >= since(end, PRESETS[preset])) & (F.col("timestamp") <= end))
+    return filter_time(df, since(end, PRESETS[preset]), end)
 
 
 def filter_errors(df, with_warnings=False):

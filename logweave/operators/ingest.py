@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logweave.functions import parsing as P
 from logweave.functions.levels import normalize_level
 from logweave.functions.masking import strip
-from logweave.functions.timestamps import normalize_timestamp
+from logweave.functions.timestamps import read_timestamp
 from logweave.model import LEVELS, STRUCTURED_SCHEMA
 
 _STRICT = {"allowSingleQuotes": "false"}
@@ -46,7 +46,7 @@ def normalize_entry(df, as_of=None, raw_env_null=False, key=None):
 
     A missing trace id becomes the md5 of the row key (``key`` column, else ``id`` if there is one and it
     is set, else the row itself), so a replay gives the same id. ``raw_env_null`` keeps the environment
-    of parsed lines null.
+    of parsed lines null. ``time_replaced`` tells that the time could not be read and is ``as_of``.
     """
     now = F.current_timestamp() if as_of is None else (F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of)
     service, message = strip("service_name"), strip("message")
@@ -57,7 +57,8 @@ def normalize_entry(df, as_of=None, raw_env_null=False, key=None):
     if not raw_env_null:
         env = F.coalesce(env, F.lit("production"))
     fields = {
-        "timestamp": normalize_timestamp("timestamp", now),
+        "timestamp": F.coalesce("_read", now),
+        "time_replaced": F.col("_read").isNull(),
         "level": normalize_level("level"),
         "service_name": F.coalesce(F.nullif(service, F.lit("")), F.lit("unknown")),
         "message": F.coalesce(F.nullif(message, F.lit("")), F.lit("(empty)")),
@@ -68,7 +69,7 @@ def normalize_entry(df, as_of=None, raw_env_null=False, key=None):
                            | F.from_json("metadata", "map<string,variant>", _STRICT).isNotNull()),
                            F.col("metadata")).otherwise("{}"),
     }
-    return df.withColumns(fields)
+    return df.withColumn("_read", read_timestamp("timestamp", now)).withColumns(fields).drop("_read")
 
 
 # Field limits of the log table.

@@ -356,6 +356,7 @@ def error_budget(spark, sf):
     return A.error_budget(logs(spark, sf), slo=0.95)
 
 
-@query("sample_n")
+@query("sample_n", with_logs(
+    "SELECT id, level, message FROM logs ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id LIMIT 5000"))
 def sample_n(spark, sf):
     return A.sample_n(logs(spark, sf).select("id", "level", "message"), 5000)

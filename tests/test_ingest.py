@@ -99,6 +99,8 @@ def test_raw_length(spark):
     ("1705314600.25", datetime(2024, 1, 15, 10, 30, 0, 250000)),
     ("2024-01-15T12:30:00+02:00", NOON), ("2024/01/15 10:30:00", NOON), ("Mon, 15 Jan 2024 10:30:00 +0000", NOON),
     ("  2024-01-15 10:30:00,5 ", datetime(2024, 1, 15, 10, 30, 0, 500000)), ("Jan  5 10:30:00", datetime(2024, 1, 5, 10, 30)),
+    ("01/15/2024 10:30:00 AM", NOON), ("01/15/2024 10:30:00 PM", datetime(2024, 1, 15, 22, 30)), ("15 Jan 2024 10:30", NOON), ("2024/01/15 10:30", NOON),
+    ("2024.01.15 10:30:00", NOON), ("Jan 15, 2024 10:30:00 AM", NOON), ("15-01-2024 10:30:00", NOON), ("Monday, January 15, 2024", datetime(2024, 1, 15)),
     ("", datetime(2024, 6, 1)), ("soon", datetime(2024, 6, 1)), (None, datetime(2024, 6, 1)), ("1e300", datetime(2024, 6, 1)),
 ])
 def test_timestamps(spark, text, expected):
@@ -159,3 +161,45 @@ def test_validation_names_every_broken_rule(spark):
     df = spark.createDataFrame([("LOUD", None, "", "t" * 65)], "level string, timestamp timestamp, service_name string, trace_id string")
     df = df.withColumns({c: F.lit(None).cast("string") for c in ["message", "span_id", "environment", "host"]})
     assert validate_entries(df).first()["rejected"] == ["level", "timestamp", "service_name", "message", "trace_id"]
+
+
+def test_raw_lines_have_ids_and_traces_of_their_own(spark, tmp_path):
+    from logweave.model import LOG_SCHEMA
+    from logweave.operators.enrich import process
+    from logweave.operators.search import build_search_index, search
+    from logweave.sources.tables import scan_logs, write_logs
+    for i in range(3):
+        (tmp_path / f"in{i}.log").write_text("2024-01-15 10:30:00 ERROR [api] connection refused\n" * 20)
+    lines = spark.read.text(str(tmp_path / "in*.log"))
+    rows = process(ingest_raw_lines(lines))
+    first, again = ({r.id for r in rows.select("id").collect()} for _ in range(2))
+    assert len(first) == 60 and first == again and rows.select("trace_id").distinct().count() == 60
+    write_logs(rows, str(tmp_path / "t"), str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "t")).select(*LOG_SCHEMA.names)
+    assert [f.dataType for f in stored.schema] == [f.dataType for f in LOG_SCHEMA]
+    logs = scan_logs(spark, str(tmp_path / "t"), start="2024-01-15", end="2024-01-16")
+    assert search(logs, "connection refused", page_size=100).count() == 60
+    assert search(logs, "connection refused", page_size=100, index=build_search_index(logs)).count() == 60
+
+
+def test_blocks_of_lines_keep_the_given_id_first(spark):
+    df = spark.createDataFrame([(5, "INFO a\nINFO b"), (6, "INFO c")], "id long, value string")
+    ids = [r.id for r in ingest_raw_lines(df).orderBy("message").collect()]
+    assert ids[0] == 5 and ids[2] == 6 and len(set(ids)) == 3
+
+
+def test_poison_documents_keep_their_text(spark):
+    from logweave.operators.enrich import process
+    from logweave.sources.tables import dead_letter, split_valid
+    docs = ['{"service_name":"a","message":"m","metadata":{"a":1,"a":2}}', "{broken", "[1]", '{"service_name":"a","message":"m","metadata":{"x":{"a":1,"a":2}}}', None]
+    rows = process(ingest_structured(spark.createDataFrame([(d,) for d in docs], "value string"), as_of=NOW))
+    good, bad = split_valid(rows)
+    assert good.count() == 2 and good.where("id IS NULL").count() == 0
+    dead = {r["data"]: r["error"] for r in dead_letter(bad).collect()}
+    assert {"{broken", "[1]"} <= set(dead) and "json" in dead["{broken"]
+    assert good.where("get_json_object(metadata, '$.a') = 2").count() == 1
+
+
+def test_unreadable_times_are_marked(spark):
+    df = spark.createDataFrame([("INFO x",), ("2024-01-15 10:30:00 INFO [a] y",)], "value string")
+    assert sorted(r.time_replaced for r in ingest_raw_lines(df, as_of=NOW).collect()) == [False, True]

@@ -100,3 +100,34 @@ def test_metadata_filters(spark):
     assert check({"b": {"d": [3]}}) == []
     assert check({"f": None, "g": True}) == [1]
     assert check('{"b": {}}') == [1]
+
+
+def test_pages_after_a_row_follow_every_sort_column(corpus):
+    for field in ["host", "level", "id", "environment", "timestamp"]:
+        for order in ["asc", "desc"]:
+            whole = S.search(corpus, page_size=1000, sort_by=field, sort_order_=order).collect()
+            for at in (0, len(whole) // 2, len(whole) - 2):
+                rest = S.search(corpus, page_size=1000, sort_by=field, sort_order_=order, after=(whole[at][field], whole[at]["id"])).collect()
+                assert [r["id"] for r in rest] == [r["id"] for r in whole[at + 1:]]
+    with pytest.raises(ValueError):
+        S.search(corpus, "timeout", after=(None, 1))
+    with pytest.raises(ValueError):
+        S.search(corpus, page_size=0)
+
+
+def test_exports_are_whole_by_default(spark, tmp_path):
+    rows = spark.range(12_000).selectExpr("id", "timestamp'2024-01-01' AS timestamp", "'INFO' AS level", "'s' AS service_name", "repeat('x', 1500) AS message",
+                                          "'t' AS trace_id", "null AS environment", "null AS host", "'{}' AS metadata")
+    S.export_csv(rows, str(tmp_path / "c"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "c"))
+    assert back.count() == 12_000 and back.where("length(message) = 1500").count() == 12_000
+    S.export_json(rows, str(tmp_path / "j"), 11_000)
+    assert spark.read.json(str(tmp_path / "j" / "logs")).count() == 11_000
+
+
+def test_index_scan_gets_the_words_as_literals(corpus, tmp_path):
+    index = S.build_search_index(corpus, str(tmp_path / "i"))
+    plan = S.matching(corpus, "timeout", index)._jdf.queryExecution().toString()
+    assert "In(term" in plan or "EqualTo(term" in plan
+    many = " ".join(f"word{i}" for i in range(80))
+    assert S.matching(corpus, many, index).count() == 0

@@ -99,3 +99,19 @@ def test_write_and_scan(spark, sf, tmp_path):
     assert "PartitionFilters: [isnotnull(log_date" in plan
     TB.compact(spark, path, path + "-c")
     assert spark.read.parquet(path + "-c").count() == 1000
+
+
+def test_streams_with_checkpoints_of_their_own_share_a_table(spark, folder, tmp_path):
+    for name in ("c1", "c2"):
+        J.stream_process(stream(spark, folder), str(tmp_path / "t"), str(tmp_path / name), str(tmp_path / "r")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2000
+    TB.write_logs(spark.read.parquet(folder), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3000
+
+
+def test_a_repeated_batch_replaces_all_of_its_days(spark, folder, tmp_path):
+    rows = spark.read.parquet(folder)
+    store = J.store_batch(str(tmp_path / "t"))
+    store(rows, 0)
+    store(rows.where("id < 10"), 0)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 10

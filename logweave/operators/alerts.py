@@ -44,6 +44,7 @@ def threshold_candidates(rates, threshold=ERROR_RATE_THRESHOLD):
     return rates.where(F.col("error_rate") > threshold)
 
 
+# The wording of titles and descriptions in this module.
 def threshold_alerts(fired, threshold=ERROR_RATE_THRESHOLD, critical=ERROR_RATE_CRITICAL):
     return alert_record(
         fired,

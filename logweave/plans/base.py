@@ -31,6 +31,7 @@ _COLUMNS = ",\n ".join(f"{sql} AS {name}" for name, sql in EVENT_LOG_COLUMNS.ite
 
 
 def fingerprint_sql(message, service):
+    # The masks of ``functions.masking`` in SQL notation.
     masked = f"trim({message})"
     for pattern, tag, flags in [
         ("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<UUID>", "gi"),
@@ -44,6 +45,7 @@ def fingerprint_sql(message, service):
 
 
 def template_sql(message):
+    # The masks of ``functions.masking`` in SQL notation.
     masked = f"lower({message})"
     for pattern, tag in [
         ("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),

@@ -234,12 +234,13 @@ def normalize_level(spark, sf):
 # --- enriching ---------------------------------------------------------------
 
 def _fields_sql(text):
+    # The extraction patterns of ``functions.enrichment`` in SQL notation.
     return (
         f"try_cast(regexp_extract({text}, '\\b(status[_\\s]?(?:code)?|HTTP)[:\\s=]*(\\d{{3}})\\b', 2, 'i') AS INTEGER) AS status_code, "
         f"try_cast(regexp_extract({text}, '\\b(?:duration|elapsed|took|time|latency|response_time)[:\\s=]*(\\d+(?:\\.\\d+)?)\\s*(?:ms|milliseconds|s|seconds)?\\b', 1, 'i') AS DOUBLE) AS duration_ms, "
         f"nullif(regexp_extract({text}, '\\b(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})\\b', 1), '') AS ip_address, "
         f"nullif(regexp_extract({text}, '(?:GET|POST|PUT|DELETE|PATCH)\\s+(/[^\\s]*)', 1, 'i'), '') AS url_path, "
-        f"nullif(left(trim(regexp_extract({text}, '(?:Exception|Error|Traceback|Caused by)[:\\s]+(.+?)(?:\\n|$)', 1, 'i')), 200), '') AS exception_type, "
+        f"nullif(trim(regexp_extract({text}, '(?:Exception|Error|Traceback|Caused by)[:\\s]+(.+?)(?:\\n|$)', 1, 'i')), '') AS exception_type, "
         f"nullif(regexp_extract({text}, '\\buser[_\\s]?(?:id)?[:\\s=]*([a-zA-Z0-9_-]+)\\b', 1, 'i'), '') AS user_id"
     )
 

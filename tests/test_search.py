@@ -117,7 +117,7 @@ def test_pages_after_a_row_follow_every_sort_column(corpus):
 
 def test_exports_are_whole_by_default(spark, tmp_path):
     rows = spark.range(12_000).selectExpr("id", "timestamp'2024-01-01' AS timestamp", "'INFO' AS level", "'s' AS service_name", "repeat('x', 1500) AS message",
-                                          "'t' AS trace_id", "null AS environment", "null AS host", "'{}' AS metadata")
+                                          "'t' AS trace_id", "CAST(null AS string) AS environment", "CAST(null AS string) AS host", "'{}' AS metadata")
     S.export_csv(rows, str(tmp_path / "c"))
     back = spark.read.option("header", True).csv(str(tmp_path / "c"))
     assert back.count() == 12_000 and back.where("length(message) = 1500").count() == 12_000

@@ -85,7 +85,7 @@ _CELLS = "id long, v array<long>, dim long, cell long, e double, norm double"
 def _pack(assigned, rows):
     """Blocks of at most about ``rows`` rows: ``dim, cell, block, ids, m`` with the matrix as bytes."""
     counts = materialize(assigned.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")), "cell-blocks")
-    spread = assigned.join(F.broadcast(counts), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.rand(5)), F.col("blocks")).cast("int"))
+    spread = assigned.join(counts, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.rand(5)), F.col("blocks")).cast("int"))
 
     def pack(table):
         table = table.combine_chunks()
@@ -187,7 +187,7 @@ def top_k(data, queries, k=20, pivots=PIVOTS):
     pairs = _needed(centres, found, asked, k)
 
     spark = data.sparkSession
-    plan = F.broadcast(spark.createDataFrame(pairs, "dim long, group long, cell long"))  # cells times groups
+    plan = spark.createDataFrame(pairs, "dim long, group long, cell long")  # at most PIVOTS ** 2 rows for each length
     blocks = materialize(_pack(cells, BLOCK), "data-blocks")
     asking = materialize(_pack(groups, QUERY_BLOCK), "query-blocks").select(
         F.col("dim").alias("q_dim"), F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))

@@ -5,6 +5,8 @@
    inside a sentence. A placeholder keeps its value as a slot.
 2. Windows of ``WINDOW`` tokens with at least ``LITERALS`` literal ones are hashed. Benchmark items with
    the same template are one item, known by the smallest id; shorter items are one window each.
+   Windows of the case-folded words themselves are hashed as well, without placeholders and with no
+   literals asked for, once for each distinct wording: verbatim copies depend on no token's type.
 3. A Bloom filter of fixed size over the benchmark's hashes thins the documents' windows where they are
    made; the rest is joined on the hash. Matches that lie on one diagonal of (document, item) belong
    together.
@@ -12,13 +14,15 @@
    and each document value for one item value. Number slots changed throughout that way are a
    re-parameterised question; contradictory slots are a chance match of the template.
 
-A document counts from ``RUN`` consecutive words or half of an item's windows on. Nulls and edges:
+A document counts from ``RUN`` consecutive words or half of an item's windows on, of its template or
+of one wording. Nulls and edges:
 null texts have no windows; rows with a null id cannot be reported and are kept; rows that share a
 doc_id count as one document; items or texts without words match nothing.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from logweave.llm.textscan import BYTE_VALUES, byte_class, find_words, hash_word, mix64, ngrams, row_bounds, slices, text_buffer
@@ -46,6 +50,7 @@ UNIT_WORDS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gr
               "pounds ton tons ml l liter liters litre litres gallon gallons second seconds s ms minute minutes min hour hours h "
               "day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees mph kmh "
               "meter meters metre metres kilometer kilometers kilometre kilometres watt watts volt volts hz khz mb gb tb").split()
+_PLAIN = np.uint64(0x5DEECE66D1CE4E5B)  # keeps hashes of plain windows apart from those of templates
 _TAGS = mix64(np.array([0, NUMBER, NAME, UNIT], np.uint64) + np.uint64(0xABCDEF))
 
 
@@ -61,8 +66,16 @@ def _among(values, vocabulary):
     return vocabulary[at] == values
 
 
+def _folded(column):
+    """The texts without case. Letters map to letters, so the words keep their places."""
+    try:
+        return pc.utf8_lower(pc.utf8_upper(column))
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return _folded(pa.array([None if v is None else v.decode("utf-8", "replace") for v in column.cast(pa.binary()).to_pylist()], pa.string()))
+
+
 class Tokens:
-    """Template tokens of a batch of texts: ``rows``, ``keys``, ``kinds`` and the ``values`` of slots."""
+    """Template tokens of a batch of texts: ``rows``, ``keys``, ``kinds``, the ``values`` of slots and the ``plain`` words."""
 
     def __init__(self, column):
         raw, offsets = text_buffer(column)
@@ -94,6 +107,15 @@ class Tokens:
         self.kinds = kinds
         self.keys = np.where(kinds > 0, _TAGS[kinds], self.values)
         self.count = len(offsets) - 1
+        self.plain = self.values
+        if len(raw) and raw.max() >= 0x80:
+            self.plain = find_words(*text_buffer(_folded(column)), _WORD, values=_VALUES).hashes
+
+    def plain_windows(self, size):
+        """Start positions and hashes of all windows of ``size`` plain words."""
+        grams = ngrams(self.plain, size)
+        at = np.flatnonzero(self.rows[:len(grams)] == self.rows[size - 1:]) if len(grams) else np.zeros(0, int)
+        return at, mix64(grams[at] ^ np.uint64(size) ^ _PLAIN)
 
     def windows(self, size, literals):
         """Start positions and hashes of the windows of ``size`` tokens with enough literal ones."""
@@ -128,8 +150,12 @@ def _item_windows(batches):
                 grams = mix64(ngrams(one, size) ^ np.uint64(size))
                 literal = np.concatenate([[0], np.cumsum(tokens.kinds[a:b] == 0)])
                 for p in np.flatnonzero(literal[size:] - literal[:-size] >= need):
-                    out.append((item, whole, size, int(p), grams[p], *_slots(tokens, a + p, size)))
-            yield _rows(out, ["item_id", "template", "size", "pos", "hash", "kinds", "vals"], {"template", "hash", "vals"})
+                    out.append((item, whole, 0, size, int(p), grams[p], *_slots(tokens, a + p, size)))
+                words = tokens.plain[a:b]
+                wording = mix64(ngrams(words, b - a) + np.uint64(b - a))[0] | np.uint64(1)  # 0 stands for the template
+                for p, h in enumerate(mix64(ngrams(words, size) ^ np.uint64(size) ^ _PLAIN)):
+                    out.append((item, whole, wording, size, p, h, b"", b""))
+            yield _rows(out, ["item_id", "template", "wording", "size", "pos", "hash", "kinds", "vals"], {"template", "wording", "hash", "vals"})
 
 
 def _slots(tokens, at, size):
@@ -151,12 +177,16 @@ def _rows(rows, names, unsigned):
 
 
 def benchmark_windows(items):
-    """Windows of each distinct template: ``item, size, pos, hash, kinds, vals, windows``, written out."""
+    """Windows of each distinct template (``wording`` 0) and wording: ``item, wording, size, pos, hash,
+    kinds, vals, windows``, written out."""
     made = materialize(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-        _item_windows, "item_id long, template long, size long, pos long, hash long, kinds binary, vals binary"), "item-windows")
-    firsts = made.groupBy("template").agg(F.min("item_id").alias("item_id"), F.countDistinct("pos").alias("windows"))
-    return materialize(made.join(firsts, ["template", "item_id"]).select(
-        F.col("item_id").alias("item"), "size", "pos", "hash", "kinds", "vals", "windows").distinct(), "templates")
+        _item_windows, "item_id long, template long, wording long, size long, pos long, hash long, kinds binary, vals binary"), "item-windows")
+    firsts = made.groupBy("template").agg(F.min("item_id").alias("item"))
+    counts = made.groupBy("template", "wording").agg(F.countDistinct("pos").alias("windows"))
+    own = made.join(firsts, "template").where("wording = 0 AND item_id = item").drop("item_id", "item")
+    plain = made.where("wording != 0").drop("item_id")
+    return materialize(own.unionByName(plain).distinct().join(firsts, "template").join(counts, ["template", "wording"]).select(
+        "item", "wording", "size", "pos", "hash", "kinds", "vals", "windows"), "templates")
 
 
 def _document_windows(sizes, shared):
@@ -170,14 +200,14 @@ def _document_windows(sizes, shared):
                 bounds = row_bounds(tokens.rows, tokens.count)
                 out = []
                 for size in sizes:
-                    at, hashes = tokens.windows(size, _sizes(size)[1])
-                    hit = np.ones(len(at), bool)
-                    for spots in _spots(hashes):
-                        hit &= (table[spots >> 5] >> (spots & 31).astype(np.uint32) & 1).astype(bool)
-                    for p, h in zip(at[hit], hashes[hit]):
-                        r = tokens.rows[p]
-                        if ids[r] is not None:
-                            out.append((ids[r], size, p - bounds[r], h, *_slots(tokens, p, size)))
+                    for plain, (at, hashes) in enumerate((tokens.windows(size, _sizes(size)[1]), tokens.plain_windows(size))):
+                        hit = np.ones(len(at), bool)
+                        for spots in _spots(hashes):
+                            hit &= (table[spots >> 5] >> (spots & 31).astype(np.uint32) & 1).astype(bool)
+                        for p, h in zip(at[hit], hashes[hit]):
+                            r = tokens.rows[p]
+                            if ids[r] is not None:
+                                out.append((ids[r], size, p - bounds[r], h, *((b"", b"") if plain else _slots(tokens, p, size))))
                 yield _rows(out, ["doc_id", "size", "pos", "hash", "kinds", "vals"], {"hash", "vals"})
     return run
 
@@ -211,7 +241,7 @@ def _bloom(windows):
 def _pairs(batches):
     """Slot pairs of matched windows: one row for each slot, one without kind for windows with none."""
     for batch in batches:
-        names = ["doc_id", "item", "diagonal", "pos", "size", "windows"]
+        names = ["doc_id", "item", "wording", "diagonal", "pos", "size", "windows"]
         rows = {n: batch.column(n).to_numpy() for n in names}
         out, at = [], []
         columns = [batch.column(n).to_pylist() for n in ("kinds", "item_vals", "doc_vals")]
@@ -238,10 +268,10 @@ def contaminated(docs, items, run=RUN, cover=COVER):
     mine = windows.withColumnRenamed("vals", "item_vals")
     matched = (theirs.join(mine, ["hash", "size"]).where("kinds = doc_kinds")
                .withColumn("diagonal", F.col("at") - F.col("pos"))
-               .select("doc_id", "item", "diagonal", "pos", "size", "windows", "kinds", "item_vals", "doc_vals"))
-    slots = matched.mapInArrow(_pairs, "doc_id long, item long, diagonal long, pos long, size long, windows long, kind long, mine long, theirs long")
+               .select("doc_id", "item", "wording", "diagonal", "pos", "size", "windows", "kinds", "item_vals", "doc_vals"))
+    slots = matched.mapInArrow(_pairs, "doc_id long, item long, wording long, diagonal long, pos long, size long, windows long, kind long, mine long, theirs long")
     # windows of an alignment are at most those of the item, so its sets stay small
-    key = ["doc_id", "item", "diagonal"]
+    key = ["doc_id", "item", "wording", "diagonal"]
     held = F.struct("kind", "mine", "theirs")
     lines = slots.groupBy(*key).agg(
         F.sort_array(F.collect_set("pos")).alias("at"), F.max("size").alias("size"), F.max("windows").alias("windows"),
@@ -254,9 +284,10 @@ def contaminated(docs, items, run=RUN, cover=COVER):
     # consecutive window starts on a diagonal make a run of words
     need = F.greatest(F.lit(1), F.lit(run) - F.col("size") + 1)
     runs = F.exists("at", lambda p: F.size(F.filter("at", lambda q: (q >= p) & (q < p + need))) >= need)
-    hits = lines.where("consistent").withColumn("run", runs).groupBy("doc_id", "item").agg(
+    hits = lines.where("consistent").withColumn("run", runs).groupBy("doc_id", "item", "wording").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"), F.max("windows").alias("windows"),
-        F.max("run").alias("run"), F.max(F.struct(F.size("at"), "exact"))["exact"].alias("exact"))
+        F.max("run").alias("run"), F.max(F.struct(F.size("at").alias("length"), "exact")).alias("longest"))
     hits = hits.withColumn("coverage", F.col("n_windows") / F.col("windows")).where(F.col("run") | (F.col("coverage") >= cover))
-    return hits.select("doc_id", F.col("item").alias("item_id"), F.col("n_windows").cast("long").alias("n_windows"), "coverage",
+    best = hits.groupBy("doc_id", "item").agg(F.max(F.struct("coverage", "n_windows")).alias("best"), F.max("longest")["exact"].alias("exact"))
+    return best.select("doc_id", F.col("item").alias("item_id"), F.col("best.n_windows").cast("long").alias("n_windows"), "best.coverage",
                        "exact", (~F.col("exact")).alias("reparameterised"))

@@ -107,6 +107,23 @@ def test_leaks_agree_with_brute_force(spark):
     assert set(_leaks(spark, docs, items)) == want and want
 
 
+@pytest.mark.parametrize("item, text", [
+    ("What is 3 + 4 * 5 - 2?", "so What is 3 + 4 * 5 - 2?"), ("1 2 3 4 5 6 7 8 9 10", "list: 1 2 3 4 5 6 7 8 9 10."),
+    ("The Cities Are Paris London Berlin Madrid Rome Vienna Prague Warsaw", "here: The Cities Are Paris London Berlin Madrid Rome Vienna Prague Warsaw"),
+    ("Who wrote the novel Hamlet", "he asked Who wrote the novel Hamlet"), ("Who wrote the novel Hamlet", "x who wrote the novel hamlet"),
+    ("Who wrote the novel Hamlet", "x WHO WROTE THE NOVEL HAMLET"), ("Кто Написал Роман Обломов", "ещё КТО НАПИСАЛ РОМАН ОБЛОМОВ"),
+    ("πού είναι ο δρόμος", "α ΠΟΎ ΕΊΝΑΙ Ο ΔΡΌΜΟΣ")])
+def test_verbatim_copies_need_no_literals_or_case(spark, item, text):
+    got = _leaks(spark, [(1, text), (2, "What is the novel about 3 cities")], [(8, item), (9, item)])
+    assert set(got) == {(1, 8)} and got[1, 8].exact and got[1, 8].coverage == 1
+
+
+def test_folding_survives_bytes_that_are_no_text():
+    bad = pa.Array.from_buffers(pa.string(), 2, pa.array([b"Na\xff b", "\u00c9t\u00c9 x".encode()], pa.binary()).buffers())
+    tokens = templates.Tokens(bad)
+    assert len(tokens.plain) == len(tokens.rows) == 4 and tokens.plain[2] == templates.Tokens(pa.array(["\u00e9t\u00e9"])).plain[0]
+
+
 def test_leaks_of_empty_tables(spark):
     assert not _leaks(spark, [], [(1, ITEM)]) and not _leaks(spark, [(1, ITEM)], [])
 

@@ -4,15 +4,18 @@
    names give way to a typed placeholder, other words are lower-cased. A name is a capitalised word
    inside a sentence. A placeholder keeps its value as a slot.
 2. Windows of ``WINDOW`` tokens with at least ``LITERALS`` literal ones are hashed. Benchmark items with
-   the same template are one item, known by the smallest id; shorter items are one window each.
+   the same template are one item, known by the smallest id; shorter items are one window each. Of
+   their values the template keeps every distinct pattern: which of its slots hold the same value.
    Windows of the case-folded words themselves are hashed as well, without placeholders and with no
    literals asked for, once for each distinct wording: verbatim copies depend on no token's type.
 3. A Bloom filter of fixed size over the benchmark's hashes thins the documents' windows where they are
    made; the rest is joined on the hash. Matches that lie on one diagonal of (document, item) belong
    together.
-4. Slot consistency: along a diagonal each item value must stand for one document value of its type
-   and each document value for one item value. Number slots changed throughout that way are a
-   re-parameterised question; contradictory slots are a chance match of the template.
+4. Slot consistency: along a diagonal each value of some item of the template must stand for one
+   document value of its type, so slots that are equal in the item are equal in the document. Which
+   values they are does not matter. Slots changed throughout that way are a re-parameterised question;
+   slots that contradict every item are a chance match of the template. A copy is exact where the
+   windows of one wording reach as far.
 
 A document counts from ``RUN`` consecutive words or half of an item's windows on, of its template or
 of one wording. Nulls and edges:
@@ -149,13 +152,24 @@ def _item_windows(batches):
                 size, need = _sizes(b - a)
                 grams = mix64(ngrams(one, size) ^ np.uint64(size))
                 literal = np.concatenate([[0], np.cumsum(tokens.kinds[a:b] == 0)])
+                slots = np.flatnonzero(tokens.kinds[a:b])
+                same = _pattern(tokens.kinds[a:b][slots], tokens.values[a:b][slots])
                 for p in np.flatnonzero(literal[size:] - literal[:-size] >= need):
-                    out.append((item, whole, 0, size, int(p), grams[p], *_slots(tokens, a + p, size)))
+                    held = tokens.kinds[a + p:a + p + size]
+                    first = int(np.searchsorted(slots, p))
+                    out.append((item, whole, 0, size, int(p), grams[p], bytes(held[held > 0].tolist()), first, len(slots), same))
                 words = tokens.plain[a:b]
                 wording = mix64(ngrams(words, b - a) + np.uint64(b - a))[0] | np.uint64(1)  # 0 stands for the template
                 for p, h in enumerate(mix64(ngrams(words, size) ^ np.uint64(size) ^ _PLAIN)):
-                    out.append((item, whole, wording, size, p, h, b"", b""))
-            yield _rows(out, ["item_id", "template", "wording", "size", "pos", "hash", "kinds", "vals"], {"template", "wording", "hash", "vals"})
+                    out.append((item, whole, wording, size, p, h, b"", 0, 0, b""))
+            yield _rows(out, ["item_id", "template", "wording", "size", "pos", "hash", "kinds", "first", "slots", "same"], {"template", "wording", "hash"})
+
+
+def _pattern(kinds, values):
+    """For each slot of an item the number of the first slot with its value; nothing if all values differ."""
+    seen = {}
+    same = [seen.setdefault(v, i) for i, v in enumerate(zip(kinds.tolist(), values.tolist()))]
+    return b"" if len(seen) == len(same) else np.array(same, np.int32).tobytes()
 
 
 def _slots(tokens, at, size):
@@ -168,7 +182,7 @@ def _slots(tokens, at, size):
 def _rows(rows, names, unsigned):
     def column(i, name):
         values = [r[i] for r in rows]
-        if name == "vals" or name == "kinds":
+        if name in ("vals", "kinds", "same"):
             return pa.array(values, pa.binary())
         if name in unsigned:
             return pa.array(np.array(values, np.uint64).view(np.int64))
@@ -177,16 +191,19 @@ def _rows(rows, names, unsigned):
 
 
 def benchmark_windows(items):
-    """Windows of each distinct template (``wording`` 0) and wording: ``item, wording, size, pos, hash,
-    kinds, vals, windows``, written out."""
+    """Windows of each distinct template (``wording`` 0) and wording: ``template, item, wording, size, pos,
+    hash, kinds, first, windows``, written out, and ``template, patterns`` of the templates where values repeat in
+    every item. ``first`` counts the slots before a window."""
     made = materialize(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-        _item_windows, "item_id long, template long, wording long, size long, pos long, hash long, kinds binary, vals binary"), "item-windows")
+        _item_windows, "item_id long, template long, wording long, size long, pos long, hash long, kinds binary, first long, slots long, same binary"), "item-windows")
     firsts = made.groupBy("template").agg(F.min("item_id").alias("item"))
     counts = made.groupBy("template", "wording").agg(F.countDistinct("pos").alias("windows"))
-    own = made.join(firsts, "template").where("wording = 0 AND item_id = item").drop("item_id", "item")
-    plain = made.where("wording != 0").drop("item_id")
-    return materialize(own.unionByName(plain).distinct().join(firsts, "template").join(counts, ["template", "wording"]).select(
-        "item", "wording", "size", "pos", "hash", "kinds", "vals", "windows"), "templates")
+    windows = materialize(made.select("template", "wording", "size", "pos", "hash", "kinds", "first").distinct()
+                          .join(firsts, "template").join(counts, ["template", "wording"]), "templates")
+    # an item whose values all differ allows every document value, so its siblings' patterns add nothing
+    patterns = (made.where("wording = 0 AND slots > 0").select("template", "same").distinct().groupBy("template")
+                .agg(F.collect_set("same").alias("patterns")).where(~F.array_contains("patterns", F.lit(b""))))
+    return windows, materialize(patterns, "slot-patterns")
 
 
 def _document_windows(sizes, shared):
@@ -196,7 +213,7 @@ def _document_windows(sizes, shared):
         for batch in batches:
             for part in slices(batch):
                 tokens = Tokens(part.column("text"))
-                ids = part.column("doc_id").to_pylist()
+                ids, texts = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
                 bounds = row_bounds(tokens.rows, tokens.count)
                 out = []
                 for size in sizes:
@@ -207,8 +224,8 @@ def _document_windows(sizes, shared):
                         for p, h in zip(at[hit], hashes[hit]):
                             r = tokens.rows[p]
                             if ids[r] is not None:
-                                out.append((ids[r], size, p - bounds[r], h, *((b"", b"") if plain else _slots(tokens, p, size))))
-                yield _rows(out, ["doc_id", "size", "pos", "hash", "kinds", "vals"], {"hash", "vals"})
+                                out.append((ids[r], texts[r], size, p - bounds[r], h, *((b"", b"") if plain else _slots(tokens, p, size))))
+                yield _rows(out, ["doc_id", "text_hash", "size", "pos", "hash", "kinds", "vals"], {"hash"})
     return run
 
 
@@ -238,56 +255,52 @@ def _bloom(windows):
     return table
 
 
-def _pairs(batches):
-    """Slot pairs of matched windows: one row for each slot, one without kind for windows with none."""
+def _fits(batches):
+    """Alignments whose slots agree with one of the patterns, if there are any: slots with one item value hold one document value."""
     for batch in batches:
-        names = ["doc_id", "item", "wording", "diagonal", "pos", "size", "windows"]
-        rows = {n: batch.column(n).to_numpy() for n in names}
-        out, at = [], []
-        columns = [batch.column(n).to_pylist() for n in ("kinds", "item_vals", "doc_vals")]
-        for i, (kinds, mine, theirs) in enumerate(zip(*columns)):
-            mine, theirs = np.frombuffer(mine, np.int64), np.frombuffer(theirs, np.int64)
-            for slot in zip(kinds, mine, theirs) if kinds else [(0, 0, 0)]:
-                out.append(slot)
-                at.append(i)
-        at = np.array(at, np.int64)
-        arrays = [pa.array(rows[n][at]) for n in names]
-        arrays += [pa.array([int(s[k]) for s in out], pa.int64()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays(arrays, [*names, "kind", "mine", "theirs"])
+        good = []
+        for patterns, held in zip(batch.column("patterns").to_pylist(), batch.column("held").to_pylist()):
+            theirs = {}
+            for h in held if patterns else ():
+                values = np.frombuffer(h["vals"], np.int64).tolist()
+                theirs.update(zip(range(h["first"], h["first"] + len(values)), values))
+            good.append(not patterns or any(_agrees(np.frombuffer(p, np.int32), theirs) for p in patterns))
+        yield batch.filter(pa.array(good, pa.bool_())).select(_LINE)
+
+
+def _agrees(pattern, theirs):
+    found = {}
+    return all(found.setdefault(pattern[slot], value) == value for slot, value in theirs.items())
+
+
+_LINE = ["doc_id", "item", "wording", "at", "size", "windows", "exact"]
 
 
 def contaminated(docs, items, run=RUN, cover=COVER):
     """``doc_id, item_id, n_windows, coverage, exact, reparameterised`` of every contaminated document
     and distinct benchmark template found in it; ``exact`` tells of its longest alignment."""
-    windows = benchmark_windows(items)
+    windows, patterns = benchmark_windows(items)
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # WINDOW values at most
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(windows))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _document_windows(sizes, shared), "doc_id long, size long, pos long, hash long, kinds binary, vals binary")
-    theirs = found.withColumnsRenamed({"vals": "doc_vals", "pos": "at", "kinds": "doc_kinds"})
-    mine = windows.withColumnRenamed("vals", "item_vals")
-    matched = (theirs.join(mine, ["hash", "size"]).where("kinds = doc_kinds")
-               .withColumn("diagonal", F.col("at") - F.col("pos"))
-               .select("doc_id", "item", "wording", "diagonal", "pos", "size", "windows", "kinds", "item_vals", "doc_vals"))
-    slots = matched.mapInArrow(_pairs, "doc_id long, item long, wording long, diagonal long, pos long, size long, windows long, kind long, mine long, theirs long")
-    # windows of an alignment are at most those of the item, so its sets stay small
-    key = ["doc_id", "item", "wording", "diagonal"]
-    held = F.struct("kind", "mine", "theirs")
-    lines = slots.groupBy(*key).agg(
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        _document_windows(sizes, shared), "doc_id long, text_hash long, size long, pos long, hash long, kinds binary, vals binary")
+    theirs = found.withColumnsRenamed({"pos": "start", "kinds": "doc_kinds"})
+    matched = theirs.join(windows, ["hash", "size"]).where("kinds = doc_kinds").withColumn("diagonal", F.col("start") - F.col("pos"))
+    # rows that share a doc_id have alignments of their own; windows of an alignment are at most those of the item, so its sets stay small
+    lines = matched.groupBy("doc_id", "text_hash", "template", "item", "wording", "diagonal").agg(
         F.sort_array(F.collect_set("pos")).alias("at"), F.max("size").alias("size"), F.max("windows").alias("windows"),
-        F.collect_set(F.when(F.col("kind") > 0, held)).alias("pairs"))
-    lines = lines.withColumns({
-        "exact": F.forall("pairs", lambda p: p["mine"] == p["theirs"]),
-        "consistent": (F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["mine"])))) == F.size("pairs"))
-        & (F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"])))) == F.size("pairs")),
-    })
+        F.collect_set(F.when(F.length("kinds") > 0, F.struct("first", "vals"))).alias("held"))
+    lines = lines.join(patterns, "template", "left").withColumn("exact", F.size("held") == 0).select(*_LINE, "held", "patterns").mapInArrow(
+        _fits, "doc_id long, item long, wording long, at array<long>, size long, windows long, exact boolean")
     # consecutive window starts on a diagonal make a run of words
     need = F.greatest(F.lit(1), F.lit(run) - F.col("size") + 1)
     runs = F.exists("at", lambda p: F.size(F.filter("at", lambda q: (q >= p) & (q < p + need))) >= need)
-    hits = lines.where("consistent").withColumn("run", runs).groupBy("doc_id", "item", "wording").agg(
+    hits = lines.withColumn("run", runs).groupBy("doc_id", "item", "wording").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"), F.max("windows").alias("windows"),
         F.max("run").alias("run"), F.max(F.struct(F.size("at").alias("length"), "exact")).alias("longest"))
-    hits = hits.withColumn("coverage", F.col("n_windows") / F.col("windows")).where(F.col("run") | (F.col("coverage") >= cover))
-    best = hits.groupBy("doc_id", "item").agg(F.max(F.struct("coverage", "n_windows")).alias("best"), F.max("longest")["exact"].alias("exact"))
+    hits = hits.withColumn("coverage", F.col("n_windows") / F.col("windows"))
+    counts = F.col("run") | (F.col("coverage") >= cover)
+    best = hits.groupBy("doc_id", "item").agg(F.max(F.when(counts, F.struct("coverage", "n_windows"))).alias("best"),
+                                              F.max("longest")["exact"].alias("exact")).where("best IS NOT NULL")
     return best.select("doc_id", F.col("item").alias("item_id"), F.col("best.n_windows").cast("long").alias("n_windows"), "best.coverage",
                        "exact", (~F.col("exact")).alias("reparameterised"))

@@ -118,6 +118,21 @@ def test_verbatim_copies_need_no_literals_or_case(spark, item, text):
     assert set(got) == {(1, 8)} and got[1, 8].exact and got[1, 8].coverage == 1
 
 
+def test_every_item_of_a_template_counts(spark):
+    trade = "In the first hour the shop buys {} old red chairs from the farm and then it sells {} old red chairs to the town"
+    items = [(1, trade.format(2, 2)), (2, trade.format(3, 5)), (3, trade.format(4, 4))]
+    got = _leaks(spark, [(1, "so: " + items[1][1]), (2, items[2][1]), (3, trade.format(8, 9)), (4, trade.format(7, 7))], items)
+    assert {k: (r.exact, r.reparameterised) for k, r in got.items()} == {
+        (1, 1): (True, False), (2, 1): (True, False), (3, 1): (False, True), (4, 1): (False, True)}
+    # without item 2, two values for one fit no item; two values that become one do
+    assert set(_leaks(spark, [(3, trade.format(8, 9)), (4, trade.format(7, 7))], items[::2])) == {(4, 1)}
+    assert set(_leaks(spark, [(4, trade.format(7, 7))], items[1:2])) == {(4, 2)}
+    # two rows of one doc_id, each with values of its own
+    assert set(_leaks(spark, [(5, trade.format(7, 7)), (5, trade.format(9, 9))], items[::2])) == {(5, 1)}
+    # one id for two texts
+    assert set(_leaks(spark, [(4, trade.format(7, 7))], [(1, "3 cats and 3 dogs"), (1, items[0][1])])) == {(4, 1)}
+
+
 def test_folding_survives_bytes_that_are_no_text():
     bad = pa.Array.from_buffers(pa.string(), 2, pa.array([b"Na\xff b", "\u00c9t\u00c9 x".encode()], pa.binary()).buffers())
     tokens = templates.Tokens(bad)

@@ -3,10 +3,10 @@
 1. Components become ``floor(scale * x)``. ``PIVOTS`` vectors of a bounded sample cut the space into
    cells; every data row goes to its nearest pivot's cell, every query to a group the same way.
 2. Summaries, of bounded size: per cell its radius, the largest norm and the ``k + 1``
-   members nearest to the pivot; per group its radius and largest norm.
+   distinct ids nearest to the pivot; per group its radius and largest norm.
 3. Bounds. For a query ``q = c + d`` of a group around ``c`` and a row ``x = p + e`` of a cell around ``p``,
-   ``q.x`` differs from ``c.p`` by at most ``|d||p| + |c||e| + |d||e|``. The near members of all cells
-   give every group a score that its queries' k-th results reach; cells whose upper bound is below
+   ``q.x`` differs from ``c.p`` by at most ``|d||p| + |c||e| + |d||e|``. The near ids of all cells, each
+   counted once, give every group a score that its queries' k-th results reach; cells whose upper bound is below
    it are not sent to the group.
 4. Cells and groups travel as blocks of at most ``BLOCK`` rows, whatever their size, so that a vector
    shared by a third of all rows is many blocks. Each pair of blocks that the bounds leave is solved
@@ -98,7 +98,8 @@ def _pack(assigned, rows):
 
 
 def _needed(pivots, cells, groups, k):
-    """``(dim, group, cell)`` for every cell that a group's queries may need."""
+    """``(dim, group, cell)`` for every cell that a group's queries may need. ``ids`` of a cell belong to its
+    ``near`` distances; without them every distance is that of an id of its own."""
     out = []
     by_dim = {}
     for c in cells:
@@ -109,15 +110,17 @@ def _needed(pivots, cells, groups, k):
         p = pivots.get(dim, np.zeros((1, dim)))
         c, rho = p[g["cell"]], g["radius"]
         size = np.linalg.norm(c)
-        floors, tops = [], []
+        floors, tops = {}, []
         for cell in own:
             q = p[cell["cell"]]
             middle, length = float(c @ q), np.linalg.norm(q)
             near = np.array(cell["near"])
-            floors.append(middle - rho * length - (size + rho) * near)
+            ids = cell["ids"] if "ids" in cell else [(cell["cell"], i) for i in range(len(near))]
+            for i, floor in zip(ids, (middle - rho * length - (size + rho) * near).tolist()):
+                floors[i] = max(floor, floors.get(i, floor))
             tops.append(min(middle + rho * length + (size + rho) * cell["radius"], g["norm"] * cell["norm"]))
-        floors = np.sort(np.concatenate(floors))[::-1] if floors else np.zeros(0)
-        # one of them may be the query itself, so the bound is the (k + 1)-th
+        floors = sorted(floors.values(), reverse=True)
+        # one id may be the query's own, all of whose rows are left out, so the bound is the (k + 1)-th
         least = floors[k] if len(floors) > k else -np.inf
         slack = 1e-9 * (1 + abs(least)) if np.isfinite(least) else 0
         out += [(dim, g["cell"], cell["cell"]) for cell, top in zip(own, tops) if top >= least - slack]
@@ -179,8 +182,10 @@ def top_k(data, queries, k=20, pivots=PIVOTS):
     cells = materialize(data.mapInArrow(_assign(centres), _CELLS), "cells")
     groups = materialize(queries.distinct().mapInArrow(_assign(centres), _CELLS), "query-groups")
     # summaries: one row for each cell, at most PIVOTS for each length of vectors
-    near = cells.withColumn("r", F.row_number().over(Window.partitionBy("dim", "cell").orderBy("e", "id"))).where(F.col("r") <= k + 1)
-    nearest = near.groupBy("dim", "cell").agg(F.collect_list("e").alias("near"))
+    ids = cells.groupBy("dim", "cell", "id").agg(F.min("e").alias("e"))
+    near = ids.withColumn("r", F.row_number().over(Window.partitionBy("dim", "cell").orderBy("e", "id"))).where(F.col("r") <= k + 1)
+    nearest = near.groupBy("dim", "cell").agg(F.collect_list(F.struct("e", "id")).alias("near")).select(
+        "dim", "cell", F.col("near.e").alias("near"), F.col("near.id").alias("ids"))
     spans = cells.groupBy("dim", "cell").agg(F.max("e").alias("radius"), F.max("norm").alias("norm"))
     found = spans.join(nearest, ["dim", "cell"]).collect()
     asked = groups.groupBy("dim", "cell").agg(F.max("e").alias("radius"), F.max("norm").alias("norm")).collect()

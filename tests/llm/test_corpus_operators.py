@@ -112,6 +112,16 @@ def test_bounds_leave_cells_out(spark):
     assert 0 < len(knn._needed(centres, cells, groups, 3)) < len(cells) * len(groups)
 
 
+def test_one_id_on_many_rows(spark):
+    rng = random.Random(12)
+    rows = [(20, [100.0, 0.0])] * 60
+    rows += [(i, [x + rng.random(), rng.random()]) for x, ids in ((60.0, range(101, 111)), (-60.0, range(201, 231))) for i in ids]
+    data = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = sorted((-6400 * r.v[0], r.id) for r in data.collect() if r.id != 20)[:12]
+    got = sorted(knn.top_k(data, data.where("id = 20"), 12, 40).collect(), key=lambda r: r["rank"])
+    assert [(-r.score, r.vec_id) for r in got] == want
+
+
 # --- archives ---
 
 def test_archives_round_trip(spark):

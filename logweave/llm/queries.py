@@ -132,3 +132,36 @@ def _op1(spark, sf_dir):
     from logweave.llm.surrogates import pseudonymise
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.sha2("text", 256).alias("source_sha256"))
     return pseudonymise(docs).withColumn("changed", F.sha2("text", 256) != F.col("source_sha256")).drop("source_sha256")
+
+
+def _cluster_sql(k=16, rounds=3, dim=64):
+    """Lloyd's rounds spelled out: each assigns by brute force and floors the means."""
+    nearest = """SELECT r, id, v, list_extract(list_sort(list(struct_pack(d := d, c := c))), 1) AS best FROM (
+  SELECT k.r, k.id, k.v, m.c, CAST(list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM k, {m} m) GROUP BY r, id, v"""
+    steps = [f"""kept AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT row_number() OVER () AS r, id, v FROM kept),
+m0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || id) NULLS LAST, v) - 1 AS c, v FROM k QUALIFY c < {k})"""]
+    for r in range(rounds):
+        steps.append(f"a{r} AS ({nearest.format(m=f'm{r}')})")
+        steps.append(f"""s{r} AS (SELECT c, list(mean ORDER BY i) AS v FROM (SELECT best.c AS c, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS mean
+  FROM a{r}, range(1, {dim + 1}) g(i) GROUP BY best.c, i) GROUP BY c)""")
+        steps.append(f"m{r + 1} AS (SELECT m{r}.c, coalesce(s{r}.v, m{r}.v) AS v FROM m{r} LEFT JOIN s{r} USING (c))")
+    return f"""WITH {", ".join(steps)}, a AS ({nearest.format(m=f"m{rounds}")})
+SELECT id AS vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a JOIN m{rounds} m ON m.c = best.c"""
+
+
+@query("op13_subvector_clusters", _cluster_sql())
+def _op13(spark, sf_dir):
+    from logweave.llm.subvectors import cluster, report, whole_vectors
+    return report(*cluster(whole_vectors(table(spark, sf_dir, "embeddings"))))
+
+
+@query("op11_best_fit_packing")
+def _op11(spark, sf_dir):
+    import public_tokenizers
+    from logweave.llm.packing import pack
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -19,35 +19,59 @@ of their own; texts of any length are encoded in parts; an empty table gives no
 text columns are read, so other columns never clash.
 """
 
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from logweave.llm.textscan import slices
+from logweave.llm.textscan import ASCII_LOWER, slices, text_buffer
 from logweave.session import spread
 
 WINDOW = 4096
 END_ID = 2
 BLOCK = 1 << 22
 SLACK = 8
-MEMORY_WORDS = 1 << 19
+MEMORY_WORDS, LEARN = 1 << 19, 1 << 14
+_LETTERS = "".join(c for c in map(chr, range(97, 256)) if c.isalpha() and c.islower() and c not in "\u00AA\u00B5\u00BA")
+_WORD = re.compile(f"[{_LETTERS}]+").fullmatch
+_MARK = r"([a-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?])(\s|$)"
+_encoders = {}
 
 
 class WordIds:
-    """Ids of words, remembered for the words of earlier batches."""
+    """Ids of words, remembered for the words of earlier batches.
+
+    Where the tokenizer lower-cases and keeps letters apart from what follows them (tried out on samples),
+    ASCII case is folded and one mark behind a word is set apart first, which leaves far fewer distinct
+    words, and words of letters go to the tokenizer's model directly. All others, among them special
+    tokens, are encoded whole.
+    """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.letters = None
+        if tokenizer.normalizer and tokenizer.pre_tokenizer:
+            cut = lambda text: [piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
+            alone = {c: cut(c) for c in _LETTERS}
+            if cut("AZ,") == ["az", ","] and all(len(x) == 1 for x in alone.values()) and cut(_LETTERS) == ["".join(x for c in _LETTERS for x in alone[c])]:
+                self.letters = str.maketrans({c: x[0] for c, x in alone.items()})
         self._forget()
 
     def _forget(self):
         self.known, self.flat, self.bounds = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words):
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        plain = [w for w in words if _WORD(w)] if self.letters else []
+        rest = [w for w in words if not _WORD(w)] if self.letters else words
+        tokenize = self.tokenizer.model.tokenize
+        got = [[token.id for token in tokenize(w.translate(self.letters))] for w in plain]
+        for at in range(0, len(rest), LEARN):
+            got += [e.ids for e in self.tokenizer.encode_batch_fast(rest[at:at + LEARN], add_special_tokens=False)]
+        self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(words))))
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
         self.flat = np.concatenate([self.flat, flat])
@@ -55,7 +79,13 @@ class WordIds:
 
     def encode(self, column):
         """Flat ids of a text column and row bounds; nulls count as empty."""
-        parts = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+        buf, offsets = text_buffer(column)
+        fold = self.letters and b"<|" not in buf.tobytes()  # special tokens keep their case
+        data = ASCII_LOWER[buf] if fold else np.ascontiguousarray(buf)
+        texts = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data))
+        if fold:
+            texts = pc.replace_substring_regex(texts, _MARK, r"\1 \2\3")
+        parts = pc.ascii_split_whitespace(texts)
         rows = np.asarray(parts.offsets) - parts.offsets[0].as_py()
         words = parts.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
@@ -71,6 +101,15 @@ class WordIds:
         return self.flat[at], ends[rows]
 
 
+def _encoder(tokenizer_file):
+    """The worker process's encoder; loaded once, its memory of words is bounded."""
+    if tokenizer_file not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+        _encoders[tokenizer_file] = WordIds(Tokenizer.from_file(tokenizer_file))
+    return _encoders[tokenizer_file]
+
+
 class Capacities:
     """Segment tree over remaining capacities 0 to ``top``: a node is true where an open window lies below it."""
 
@@ -231,8 +270,7 @@ def _table(rows, kind):
 
 def _pack(tokenizer_file, window, end_id, block):
     def run(batches):
-        from tokenizers import Tokenizer
-        encoder = WordIds(Tokenizer.from_file(tokenizer_file))
+        encoder = _encoder(tokenizer_file)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         rows, size, kind = [], 0, None
         for batch in batches:

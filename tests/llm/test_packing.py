@@ -68,6 +68,22 @@ def test_edges_in_small_windows(spark):
     assert packing.pack(df.limit(0), FILE).count() == 0
 
 
+def test_words_of_later_slices(spark, monkeypatch):
+    """Batches are read in slices; forgetting words between them changes nothing."""
+    monkeypatch.setattr(packing, "MEMORY_WORDS", 1)
+    docs = [(i, f"Æon {i} ÇA, VÀ! Größe; {i * i}. <|ENDOFTEXT|> x" if i % 7 else "ÀÉ, b'S <|endoftext|>") for i in range(3000)]
+    encoder = packing.WordIds(Tokenizer.from_file(FILE))
+    assert encoder.letters
+    import pyarrow as pa
+    batch = pa.record_batch([pa.array([t for _, t in docs])], ["text"])
+    got = []
+    for part in packing.slices(batch, limit=5000):
+        flat, bounds = encoder.encode(part.column("text"))
+        got += [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    tokenizer = Tokenizer.from_file(FILE)
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for _, t in docs]
+
+
 def test_one_very_long_text(spark):
     text = "Long words and shörter ones, 12 at a time. " * 60_000
     docs = [(1, text)]

@@ -165,3 +165,27 @@ def _op11(spark, sf_dir):
     from logweave.llm.packing import pack
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), " \
+    "lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"
+_UTF8 = "flatten(list_transform(string_split(k || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]::BIGINT[] END))"
+
+
+@query("op12_spelling_variants", rf"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT k, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY k, run),
+hashed AS (SELECT run, n, {_CRC.format(bytes=_UTF8)} AS h FROM counted),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cuts AS (SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near FROM cuts a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word FROM cuts a JOIN words b ON a.d = b.word
+  UNION SELECT a.word, b.word FROM cuts a JOIN cuts b ON a.d = b.d AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT p.word, count(*) AS n_near, list_extract(list(w.word ORDER BY w.n DESC, w.word), 1) AS near, max(w.n) AS near_n FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+steps(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.last AS root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word JOIN forms l ON l.word = s.last WHERE l.form IS NULL""")
+def _op12(spark, sf_dir):
+    from logweave.llm.spelling import variants, word_counts
+    from logweave.session import materialize
+    return variants(materialize(word_counts(table(spark, sf_dir, "documents")), "words"))

@@ -246,27 +246,33 @@ def recent_error_rate(df, minutes=5, name="timestamp"):
     )
 
 
+def feature_aggregates(approx=False):
+    """The aggregates that the model features are made of."""
+    return [
+        F.count("*").alias("log_count"),
+        F.count_if(F.col("level") == "ERROR").alias("error_count"),
+        F.count_if(F.col("level") == "FATAL").alias("fatal_count"),
+        F.count_if(F.col("level") == "WARN").alias("warn_count"),
+        _distinct("error_fingerprint", approx).alias("unique_errors"),
+        F.coalesce(F.sum(F.length("message")), F.lit(0)).alias("_chars"),
+        _distinct("host", approx).alias("unique_hosts"),
+    ]
+
+
+def feature_columns(rows):
+    """The eight features from ``window``, ``service_name`` and :func:`feature_aggregates`."""
+    return rows.select(
+        "window", "service_name", "log_count", "error_count", "fatal_count", "warn_count",
+        ((F.col("error_count") + F.col("fatal_count")) / F.greatest("log_count", F.lit(1)) * 100).alias("error_rate"),
+        "unique_errors",
+        (F.col("_chars") / F.greatest("log_count", F.lit(1))).alias("avg_msg_length"),
+        "unique_hosts",
+    )
+
+
 def feature_matrix(df, grain="hour", approx=False):
     """The eight model features per service and hour (or minute)."""
-    return (
-        df.groupBy(trunc(df, grain).alias("window"), "service_name")
-        .agg(
-            F.count("*").alias("log_count"),
-            F.count_if(F.col("level") == "ERROR").alias("error_count"),
-            F.count_if(F.col("level") == "FATAL").alias("fatal_count"),
-            F.count_if(F.col("level") == "WARN").alias("warn_count"),
-            _distinct("error_fingerprint", approx).alias("unique_errors"),
-            F.coalesce(F.sum(F.length("message")), F.lit(0)).alias("_chars"),
-            _distinct("host", approx).alias("unique_hosts"),
-        )
-        .select(
-            "window", "service_name", "log_count", "error_count", "fatal_count", "warn_count",
-            ((F.col("error_count") + F.col("fatal_count")) / F.greatest("log_count", F.lit(1)) * 100).alias("error_rate"),
-            "unique_errors",
-            (F.col("_chars") / F.greatest("log_count", F.lit(1))).alias("avg_msg_length"),
-            "unique_hosts",
-        )
-    )
+    return feature_columns(df.groupBy(trunc(df, grain).alias("window"), "service_name").agg(*feature_aggregates(approx)))
 
 
 def normalize_features(df, cols):

@@ -196,7 +196,11 @@ def score_services(features, forest=None, baseline=BASELINE, weights=None, multi
 
 def record_anomalies(scores, time="window", cooldown_s=COOLDOWN_SECONDS, model="ensemble"):
     """Anomaly rows in the stored form, one per service and cooldown."""
-    fired = cooldown(scores.where("is_anomaly"), "service_name", time, cooldown_s, time)
+    return anomaly_records(cooldown(scores.where("is_anomaly"), "service_name", time, cooldown_s, time), time, model)
+
+
+def anomaly_records(fired, time="window", model="ensemble"):
+    """The stored form of score rows that are recorded; works on streams too."""
     kind = F.when(F.col("statistical_spike") > 0.5, "error_spike").otherwise("volume_anomaly")
     return fired.select(
         F.md5(F.concat_ws("|", F.lit(model), "service_name", F.col(time).cast("string"))).alias("id"),

@@ -20,9 +20,11 @@ from logweave.plans.base import SQL, logs, query, with_logs
 from logweave.plans.ingest_queries import NOW, rendered
 from logweave.session import checkpoint_dir
 from logweave.sources import tables as TB
+from logweave.sources import versions as V
 from logweave.sources.events import logs_from_events
 from logweave.streaming import cooldown as SC
 from logweave.streaming import jobs as J
+from logweave.streaming import live as L
 
 
 def scratch(spark, name):
@@ -238,19 +240,24 @@ def stream_process(spark, sf):
                                            F.get_json_object("metadata", "$.extracted.status_code").cast("int").alias("status"))
 
 
+def current(counters, name, keys):
+    """Run counters to the end of their input; what a reader of the table sees then."""
+    path = scratch(counters.sparkSession, name)
+    J.keep_current(counters, path, path + "-state").awaitTermination()
+    return V.read_current(counters.sparkSession, path, keys)
+
+
 @query("stream_minute_counters", with_logs(
-    "SELECT service_name, date_trunc('minute', log_ts)::TIMESTAMP AS minute, count(*) AS log_count, count(*) FILTER (err) AS error_count FROM logs "
-    "GROUP BY 1, 2 HAVING date_trunc('minute', log_ts)::TIMESTAMP + INTERVAL 1 MINUTE <= (SELECT now FROM nowt) - INTERVAL 1 HOUR"))
+    "SELECT service_name, date_trunc('minute', log_ts)::TIMESTAMP AS minute, count(*) AS log_count, count(*) FILTER (err) AS error_count FROM logs GROUP BY 1, 2"))
 def stream_minute_counters(spark, sf):
-    return naive(run_append(J.minute_counters(log_stream(spark, sf)), "minutes"), "minute")
+    return naive(current(J.minute_counters(log_stream(spark, sf)), "minutes", ["service_name", "minute"]), "minute")
 
 
 @query("stream_level_counters", with_logs(
     "SELECT service_name, date_trunc('hour', log_ts)::TIMESTAMP AS bucket, "
-    + ", ".join(f"count(*) FILTER (level='{v}') AS {v}" for v in ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"])
-    + " FROM logs GROUP BY 1, 2 HAVING date_trunc('hour', log_ts)::TIMESTAMP + INTERVAL 1 HOUR <= (SELECT now FROM nowt) - INTERVAL 24 HOUR"))
+    + ", ".join(f"count(*) FILTER (level='{v}') AS {v}" for v in ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]) + " FROM logs GROUP BY 1, 2"))
 def stream_level_counters(spark, sf):
-    return naive(run_append(J.level_counters(log_stream(spark, sf)), "levels"), "bucket")
+    return naive(current(J.level_counters(log_stream(spark, sf)), "levels", ["service_name", "bucket"]), "bucket")
 
 
 @query("stream_hourly_stats", with_logs(
@@ -262,14 +269,47 @@ def stream_hourly_stats(spark, sf):
     return naive(newest.select("hour", "service_name", "level", "s.*"), "hour")
 
 
-@query("stream_sliding_error_rate", with_logs(
-    "SELECT service_name, minute, n AS logs, e AS errors, rate AS error_rate FROM r "
-    "WHERE minute + INTERVAL 1 MINUTE <= (SELECT now FROM nowt) - INTERVAL 1 HOUR",
-    _RATES[0],
-    "r AS (SELECT a.service_name, a.minute, sum(b.n)::BIGINT AS n, sum(b.e)::BIGINT AS e, round(100.0 * sum(b.e) / sum(b.n), 2)::DOUBLE AS rate "
-    "FROM m a JOIN m b ON a.service_name = b.service_name AND b.minute BETWEEN a.minute - INTERVAL 4 MINUTE AND a.minute GROUP BY 1, 2)"))
+_SLIDING = ("r AS (SELECT a.service_name, a.minute, sum(b.n)::BIGINT AS n, sum(b.e)::BIGINT AS e, round(100.0 * sum(b.e) / sum(b.n), 2)::DOUBLE AS rate "
+            "FROM m a JOIN m b ON a.service_name = b.service_name AND b.minute BETWEEN a.minute - INTERVAL 4 MINUTE AND a.minute GROUP BY 1, 2)")
+
+
+@query("stream_sliding_error_rate", with_logs("SELECT service_name, minute, n AS logs, e AS errors, rate AS error_rate FROM r", _RATES[0], _SLIDING))
 def stream_sliding_error_rate(spark, sf):
-    return naive(run_append(J.sliding_error_rate(log_stream(spark, sf)), "rates"), "minute")
+    return naive(current(J.sliding_error_rate(log_stream(spark, sf)), "rates", ["service_name", "minute"]), "minute")
+
+
+LIVE_FILES = 6
+
+
+def _live_stream(spark, sf):
+    """The log table as a live stream: files in time order, one file a batch, the rows of a minute dealt over
+    neighbouring files, and at last a heartbeat that closes the last minute.
+
+    Rows come later than others by up to the time a file spans, which is the delay to allow for.
+    """
+    folder, rows = scratch(spark, "live"), logs(spark, sf)
+    rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+    first, last = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    span = (F.unix_seconds("timestamp") - F.unix_seconds(F.lit(first))) / F.greatest(F.lit(1), F.unix_seconds(F.lit(last)) - F.unix_seconds(F.lit(first)))
+    dealt = rows.withColumn("_file", F.least(F.floor(span * (LIVE_FILES - 1)), F.lit(LIVE_FILES - 2)) + F.col("id") % 2)
+    for number in range(LIVE_FILES):
+        dealt.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    silence = rows.limit(1).withColumns({"timestamp": F.lit(last) + F.expr("INTERVAL 60 DAYS"), "service_name": F.lit(None).cast("string")})
+    silence.coalesce(1).write.mode("append").parquet(folder)
+    return J.read_log_stream(spark, folder, "parquet", 1, rows.schema), f"{(last - first).days + 1} days"
+
+
+@query("live_error_rate", with_logs("SELECT service_name, minute, n AS logs, e AS errors, rate AS error_rate FROM r", _RATES[0], _SLIDING))
+def live_error_rate(spark, sf):
+    stream, delay = _live_stream(spark, sf)
+    return naive(run_append(L.live_error_rate(stream, delay=delay), "live-rates"), "minute")
+
+
+@query("stream_alert_threshold", SQL["alert_threshold"])
+def stream_alert_threshold(spark, sf):
+    stream, delay = _live_stream(spark, sf)
+    return naive(run_append(L.live_alert_threshold(stream, delay=delay), "live-alerts"), "triggered_at").select(
+        "title", "description", "severity", "service_name", "rule_type", "status", "triggered_at")
 
 
 @query("stream_cooldown", SQL["cooldown"])
@@ -308,9 +348,10 @@ def tail_filter(spark, sf):
     _RATES[0], "hot AS (SELECT *, floor(epoch(minute))::BIGINT AS sec FROM m WHERE 100.0 * e / n > 5.2 + 3 * sqrt(2.96))",
     _chain("hot"), recursive=True))
 def stream_scores(spark, sf):
-    def scored(batch, batch_id):
-        return N.record_anomalies(N.score_services(A.feature_matrix(batch, "minute")))
-    return run_batches(log_stream(spark, sf), "scores", scored).select("service_name", "detected_at", "severity_score")
+    stream, delay = _live_stream(spark, sf)
+    path = scratch(spark, "scores")
+    J.stream_scores(stream, None, V.store_versions(path), path + "-state", delay=delay, availableNow=True).awaitTermination()
+    return naive(spark.read.parquet(path), "detected_at").select("service_name", "detected_at", "severity_score")
 
 
 @query("stream_alert_feed", SQL["alert_feed"])

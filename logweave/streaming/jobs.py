@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from logweave.functions.rates import is_error, rate_pct
 from logweave.model import LEVELS, STRUCTURED_SCHEMA
 from logweave.operators import ingest
-from logweave.operators.analytics import feature_matrix
-from logweave.operators.anomaly import record_anomalies, score_services
 from logweave.operators.enrich import process
 from logweave.sources.tables import write_logs
+from logweave.sources.versions import store_versions
 
 # Lifetimes of the counters, rows of the live tail.
 MINUTE_WATERMARK, HOUR_WATERMARK = "1 hour", "24 hours"
@@ -144,15 +143,25 @@ def stream_process(stream, path, checkpoint, rejects_path=None, now=None, tail=N
     )
 
 
-def score_batch(forest, publish, cooldown_s=300):
-    """``foreachBatch`` function: score the minutes of a batch and publish the anomalies."""
-    def run(batch, batch_id):
-        publish(record_anomalies(score_services(feature_matrix(batch, "minute"), forest), cooldown_s=cooldown_s), batch_id)
-    return run
-
+def stream_scores(stream, forest, publish, checkpoint, cooldown_s=300, delay="1 minute", **trigger):
+    """Start the scoring query: ``publish`` gets the anomalies each batch records, and the batch id.
 
-def stream_scores(stream, forest, publish, checkpoint, **trigger):
+    Minutes are judged once they are closed and cooldowns outlive batches, see :mod:`logweave.streaming.live`.
+    """
+    from logweave.streaming.live import live_anomalies
     return (
-        stream.writeStream.foreachBatch(score_batch(forest, publish))
+        live_anomalies(stream, forest, cooldown_s, delay).writeStream.foreachBatch(publish).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
     )
+
+
+def keep_current(counters, path, checkpoint, **trigger):
+    """Start a query that keeps counters readable while their windows are still open.
+
+    Every batch stores the new state of the windows it touched; :func:`logweave.sources.versions.read_current`
+    returns the newest state of each.
+    """
+    return (
+        counters.writeStream.foreachBatch(store_versions(path)).outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    )

@@ -3,6 +3,7 @@
 All steps are projections: a whole ingest run has no shuffle.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from logweave.functions import parsing as P
@@ -45,8 +46,9 @@ def normalize_entry(df, as_of=None, raw_env_null=False, key=None):
     """Fill defaults and bring every field to its final form.
 
     A missing trace id becomes the md5 of the row key (``key`` column, else ``id`` if there is one and it
-    is set, else the row itself), so a replay gives the same id. ``raw_env_null`` keeps the environment
-    of parsed lines null. ``time_replaced`` tells that the time could not be read and is ``as_of``.
+    is set, else the row itself), so a replay gives the same id. On streams without a key it stays null
+    until the row has its id (``fill_traces``), as equal lines are still the same row. ``raw_env_null`` keeps
+    the environment of parsed lines null. ``time_replaced`` tells that the time could not be read and is ``as_of``.
     """
     now = F.current_timestamp() if as_of is None else (F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of)
     service, message = strip("service_name"), strip("message")
@@ -62,7 +64,7 @@ def normalize_entry(df, as_of=None, raw_env_null=False, key=None):
         "level": normalize_level("level"),
         "service_name": F.coalesce(F.nullif(service, F.lit("")), F.lit("unknown")),
         "message": F.coalesce(F.nullif(message, F.lit("")), F.lit("(empty)")),
-        "trace_id": F.coalesce(trace, F.md5(own)),
+        "trace_id": trace if df.isStreaming and not (key or "id" in df.columns) else F.coalesce(trace, F.md5(own)),
         "environment": env,
         # repeated keys are no variant, but can be read as a map
         "metadata": F.when(F.startswith(F.trim("metadata"), F.lit("{")) & (F.is_variant_null(F.try_parse_json("metadata")).isNotNull()
@@ -116,13 +118,35 @@ def with_overrides(df, service_name=None, environment=None, host=None):
     return df.withColumns(fields) if fields else df
 
 
+def _generation(df):
+    """What tells one content of a file from the next under the same name: time of change and size.
+    Rows that are not read from files have none."""
+    columns = ["_metadata.file_modification_time", "_metadata.file_size"]
+    try:
+        df.select(*columns)
+    except AnalysisException:
+        return []
+    return [F.col(c) for c in columns]
+
+
+def own_trace(key="id"):
+    """The trace id of a row that brings none."""
+    return F.md5(F.col(key).cast("string"))
+
+
+def fill_traces(df):
+    """Rows without a trace get that of their ``id``."""
+    return df.withColumn("trace_id", F.coalesce("trace_id", own_trace()))
+
+
 def with_identity(df, *salt):
     """Add ``id`` and ``ingested_at`` where they are missing (not for streams, see ``store_batch``).
 
-    The id is a hash of the source file, the block's start and the row's place in its partition, so a
-    task that runs again gives the same ids. ``salt`` tells apart what is read in several goes.
+    The id is a hash of the source file, its generation, the block's start and the row's place in its
+    partition, so a task that runs again gives the same ids, and a file of the same name with other
+    content (a rotated or grown log) gives new ones. ``salt`` tells apart what is read in several goes.
     """
-    place = [F.input_file_name(), F.expr("input_file_block_start()"), F.monotonically_increasing_id()]
+    place = [F.input_file_name(), *_generation(df), F.expr("input_file_block_start()"), F.monotonically_increasing_id()]
     own = F.xxhash64(*place, *[F.lit(s) for s in salt])
     df = df.withColumn("id", F.coalesce(F.col("id").cast("long"), own) if "id" in df.columns else own)
     return df if "ingested_at" in df.columns else df.withColumn("ingested_at", F.current_timestamp())

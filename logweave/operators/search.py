@@ -187,11 +187,15 @@ def build_search_index(df, path=None):
     """Postings and dictionary; written under ``path`` when given.
 
     Written postings are range-partitioned by term and id: a word's rows lie together, and the
-    rows of a very common word spread over as many files as they need.
+    rows of a very common word spread over as many files as they need. Postings name rows by id, so
+    an index is not written over repeated ids: an error.
     """
     postings = build_postings(df)
     if path is None:
         return postings, term_dictionary(postings)
+    twice = df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"id {twice[0]['id']} is on {twice[0]['n']} rows; an index needs ids of their own")
     (postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
      .write.mode("overwrite").parquet(f"{path}/postings"))
     spark = df.sparkSession

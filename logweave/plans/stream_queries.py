@@ -141,6 +141,46 @@ def raw_to_search(spark, sf):
     return found[0].unionByName(found[1]).groupBy("way", "service_name").agg(F.count("*").alias("n"))
 
 
+def _put_file(lines, path):
+    """``lines`` as the one text file ``path``, in place of what was there."""
+    part = path + "-" + uuid.uuid4().hex
+    lines.coalesce(1).write.text(part)
+    jvm = lines.sparkSession._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(lines.sparkSession._jsc.hadoopConfiguration())
+    written = fs.globStatus(at(part + "/part-*"))[0].getPath()
+    fs.delete(at(path), False)
+    fs.rename(written, at(path))
+
+
+@query("raw_rotated_file", with_logs(
+    "SELECT way, service_name, count(*) AS n, count(*) AS ids, count(*) AS traces FROM logs, (VALUES ('index'), ('scan')) w(way) "
+    "WHERE contains(message, 'connection refused') GROUP BY ALL"))
+def raw_rotated_file(spark, sf):
+    path, log = scratch(spark, "logs"), scratch(spark, "rotated") + "/app.log"
+    lines = logs(spark, sf).select("id", F.to_json(F.struct(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "level", "service_name", "message")).alias("value"))
+    for half in (0, 1):  # the same name, rotated in between
+        _put_file(lines.where(F.col("id") % 2 == half).select("value"), log)
+        TB.write_logs(process(I.ingest_raw_lines(spark.read.text(log))), path)
+    rows = TB.scan_logs(spark, path)
+    ways = {"scan": None, "index": S.build_search_index(rows, path + "-index")}
+    found = [S.matching(rows, "connection refused", index).select(F.lit(way).alias("way"), "service_name", "id", "trace_id") for way, index in ways.items()]
+    return found[0].unionByName(found[1]).groupBy("way", "service_name").agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("trace_id").alias("traces"))
+
+
+@query("raw_stream_equal_lines", with_logs("SELECT level, service_name, count(*) AS n, count(*) AS ids, count(*) AS traces FROM logs GROUP BY ALL"))
+def raw_stream_equal_lines(spark, sf):
+    folder, path = scratch(spark, "equal"), scratch(spark, "logs")
+    same = F.to_json(F.struct("level", "service_name", F.lit("the same words again").alias("message")))
+    logs(spark, sf).select(same.alias("value")).repartition(3).write.text(folder)
+    lines = J.read_log_stream(spark, folder, max_files=1)
+    J.stream_process(J.stream_ingest(lines), path, path + "-checkpoint", path + "-rejects").awaitTermination()
+    return spark.read.parquet(path).groupBy("level", "service_name").agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("trace_id").alias("traces"))
+
+
 @query("raw_stream_to_store", with_logs(_STORED))
 def raw_stream_to_store(spark, sf):
     path, tails = scratch(spark, "logs"), []
@@ -162,14 +202,14 @@ def streams_share_a_table(spark, sf):
 
 
 @query("poison_documents", with_logs(
-    "SELECT CASE id % 5 WHEN 0 THEN 'stored' WHEN 1 THEN 'stored' ELSE 'json' END AS fate, CASE WHEN id % 5 > 1 THEN concat('{broken ', CAST(id AS VARCHAR)) END AS raw, "
-    "CASE WHEN id % 5 = 1 THEN '2' END AS a, count(*) AS n FROM logs WHERE id % 5 < 3 GROUP BY ALL"))
+    "SELECT CASE id % 3 WHEN 0 THEN 'stored' WHEN 1 THEN 'stored' ELSE 'json' END AS fate, CASE WHEN id % 3 > 1 THEN concat('{broken ', CAST(id AS VARCHAR)) END AS raw, "
+    "CASE WHEN id % 3 = 1 THEN '2' END AS a, count(*) AS n FROM logs GROUP BY ALL"))
 def poison_documents(spark, sf):
-    rows = logs(spark, sf).where("id % 5 < 3").withColumn("iso", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows = logs(spark, sf).withColumn("iso", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     whole = F.to_json(F.struct("id", F.col("iso").alias("timestamp"), "level", "service_name", "message"))
     doubled = F.concat(F.regexp_replace(whole, r"\}$", ',"metadata":'), F.lit('{"a":1,"a":2}}'))
     broken = F.concat(F.lit("{broken "), F.col("id").cast("string"))
-    docs = rows.select(F.when(F.col("id") % 5 == 0, whole).when(F.col("id") % 5 == 1, doubled).otherwise(broken).alias("value"))
+    docs = rows.select(F.when(F.col("id") % 3 == 0, whole).when(F.col("id") % 3 == 1, doubled).otherwise(broken).alias("value"))
     done = process(I.ingest_structured(docs))
     fate = F.when(F.array_contains("rejected", "json"), "json").when(F.size("rejected") == 0, "stored").otherwise("other")
     return done.groupBy(fate.alias("fate"), "raw", F.get_json_object("metadata", "$.a").alias("a")).agg(F.count("*").alias("n"))

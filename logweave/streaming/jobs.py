@@ -32,7 +32,7 @@ def read_log_stream(spark, path, fmt="text", max_files=None, schema=None):
 
 
 def stream_ingest(lines, col="value", as_of=None, raw_env_null=False):
-    """Raw lines to normalised rows."""
+    """Raw lines to normalised rows. Lines without a trace of their own get one when they are stored."""
     return ingest.ingest_raw_lines(lines, col, as_of, raw_env_null)
 
 
@@ -113,12 +113,12 @@ def store_batch(path, rejects_path=None, now=None, tail=None, alerts=None, sourc
     """``foreachBatch`` function: enrich, fingerprint, store, publish the tail, check alerts.
 
     Storage replaces what an earlier attempt of the same batch of the same ``source`` wrote. Rows without
-    an id get one from source, batch and place. ``tail`` and ``alerts`` are
+    an id get one from source, batch and place, and rows without a trace one from their id. ``tail`` and ``alerts`` are
     called with a DataFrame and the batch id. Several steps read the batch, so it is cached; its
     size is set by the trigger (``max_files``), and lost blocks are computed again.
     """
     def run(batch, batch_id):
-        rows = process(ingest.with_identity(batch, source, batch_id), now).persist()
+        rows = process(ingest.fill_traces(ingest.with_identity(batch, source, batch_id)), now).persist()
         try:
             write_logs(rows, path, rejects_path, cluster=False, batch_id=batch_id, stage=False, source=source)
             if tail:

@@ -203,3 +203,26 @@ def test_poison_documents_keep_their_text(spark):
 def test_unreadable_times_are_marked(spark):
     df = spark.createDataFrame([("INFO x",), ("2024-01-15 10:30:00 INFO [a] y",)], "value string")
     assert sorted(r.time_replaced for r in ingest_raw_lines(df, as_of=NOW).collect()) == [False, True]
+
+
+def test_a_file_that_grows_or_rotates_gives_new_ids(spark, tmp_path):
+    import os
+    log, table = tmp_path / "app.log", str(tmp_path / "table")
+    for day, text in enumerate(["ERROR disk full\n" * 3, "ERROR disk full\n" * 3, "ERROR disk full\n" * 5]):
+        log.write_text(text)
+        os.utime(log, (1_700_000_000 + day, 1_700_000_000 + day))
+        rows = ingest_raw_lines(spark.read.text(str(log)))
+        again = ingest_raw_lines(spark.read.text(str(log)))
+        assert sorted(r.id for r in rows.select("id").collect()) == sorted(r.id for r in again.select("id").collect())
+        rows.select("id", "trace_id", "message").write.mode("append").parquet(table)
+    stored = spark.read.parquet(table)
+    assert stored.count() == stored.select("id").distinct().count() == stored.select("trace_id").distinct().count() == 11
+
+
+def test_an_index_over_repeated_ids_is_refused(spark, tmp_path):
+    from logweave.operators.search import build_search_index
+    rows = spark.createDataFrame([(1, "a disk", "api", "INFO", "h"), (1, "a network", "api", "INFO", "h"), (2, "x", "db", "WARN", None)],
+                                 "id long, message string, service_name string, level string, host string")
+    with pytest.raises(ValueError, match="id 1 is on 2 rows"):
+        build_search_index(rows, str(tmp_path / "i"))
+    build_search_index(rows.where("message <> 'a disk'"), str(tmp_path / "i"))

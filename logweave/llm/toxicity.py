@@ -36,6 +36,9 @@ CACHED_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 
 
+UNDECIDED = 0.49
+
+
 def words(text):
     return _WORD.findall((text or "").lower())
 
@@ -129,11 +132,9 @@ def _logistic(x, y, ridge=1.0, rounds=30):
 def fit(texts, toxic):
     """A scorer from texts and their 0/1 labels."""
     toxic = [int(t) for t in toxic]
-    if len(set(toxic)) < 2:
-        return Scorer(b"", b"", None, float(toxic[0]) if toxic else 0.0)
-    bad, good = _training_words(texts, toxic)
-    if not bad or not good:
-        return Scorer(b"", b"", None, sum(toxic) / len(toxic))
+    bad, good = _training_words(texts, toxic) if len(set(toxic)) == 2 else ([], [])
+    if not bad or not good:  # nothing told the classes apart, so no text is marked
+        return Scorer(b"", b"", None, min(UNDECIDED, sum(toxic) / max(1, len(toxic))))
     scorer = Scorer(_dictionary(bad), _dictionary(good))
     scorer.weights = _logistic(np.array([scorer.features(t) for t in texts]), np.array(toxic, float))
     return scorer

@@ -254,3 +254,24 @@ def test_pipeline_of_an_empty_table(spark, sf):
     for _, stage in c.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
     assert docs.count() == 0
+
+
+def test_near_copy_stage_decides_by_row(spark, sf):
+    import corpus_pipeline as c
+    one, two, three = ("%s stays a text of nine words in a row" % w for w in ("alpha", "beta", "gamma"))
+    rows = [(5, one, 1), (5, one, 2), (5, one, 3), (5, two, 4), (None, three, 5), (None, three, 6), (None, None, 7), (None, None, 8), (9, two, 9), (3, "", 10), (3, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = c.drop_near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert left == sorted([(5, one), (5, two), (None, three), (None, None), (None, None), (3, ""), (3, "")], key=str)
+
+
+def test_toxicity_stage_keeps_all_where_nothing_marks_toxic_rows(spark, tmp_path):
+    import corpus_pipeline as c
+    docs = spark.createDataFrame([(i, "这个人真是白痴他什么都不懂" if i % 2 else "今天的天气很好我们去公园散步") for i in range(200)], DOCS)
+    spark.createDataFrame([(i, int(i % 2 or i < 40)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = {r.doc_id for r in c.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert {i for i in range(0, 200, 2)} <= clean
+    spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert c.drop_toxic(spark, docs, str(tmp_path)).count() == 200

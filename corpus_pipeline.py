@@ -3,7 +3,7 @@ blanked, what is left is encoded.
 
 Every stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet in the shared folder
 and read again by the next one. All but the last return the columns of ``documents``. Rows with a
-null doc_id pass the stages that decide by id; a null text is never toxic, copied or leaked.
+null doc_id pass decontamination, which decides by id; a null text is never toxic, copied or leaked.
 """
 
 from pyspark.sql import functions as F
@@ -30,9 +30,17 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of every group of near copies: that with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs, SHINGLE).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of every group of near copies: that with the smallest doc_id, null last. Rows that share a
+    doc_id are documents of their own: equal ones are copies, other texts of the id are not touched."""
+    row = _free(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written, so numbers stay
+    found = minhash.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), SHINGLE).select(F.col("doc_id").alias(row), "component_id", "kept")
+    groups = found.where("NOT kept").select("component_id").distinct()
+    members = found.join(groups, "component_id").join(numbered.select(row, F.col("doc_id").alias("own")), row)
+    order = F.struct(F.col("own").isNull(), "own", row)
+    first = members.groupBy("component_id").agg(F.min(order)[row].alias("first"))
+    gone = members.select("component_id", row).join(first, "component_id").where(F.col(row) != F.col("first")).select(row)
+    return numbered.join(gone, row, "left_anti").drop(row)
 
 
 def drop_leaks(spark, docs, sf_dir):

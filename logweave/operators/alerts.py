@@ -14,6 +14,7 @@ from logweave.operators.series import spike
 ERROR_RATE_THRESHOLD = 15.0
 ERROR_RATE_CRITICAL = 30
 SPIKE_MULTIPLIER = 3.0
+MOST_PATTERNS = 63
 CRITICAL_PATTERNS = [
     "OutOfMemoryError",
     "StackOverflowError",
@@ -65,7 +66,9 @@ def alert_threshold(df, threshold=ERROR_RATE_THRESHOLD, critical=ERROR_RATE_CRIT
 
 
 def pattern_mask(message="message", patterns=CRITICAL_PATTERNS):
-    """One bit per matching pattern, the first pattern lowest."""
+    """One bit per matching pattern, the first pattern lowest; at most 63 patterns fit."""
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"{len(patterns)} patterns; at most {MOST_PATTERNS} can be tried at once")
     mask = F.lit(0).cast("bigint")
     for number, pattern in enumerate(patterns):
         hit = F.rlike(F.col(message), F.lit(f"(?i){pattern}"))
@@ -78,24 +81,25 @@ def pattern_candidates(df, patterns=CRITICAL_PATTERNS):
     return filter_errors(df).withColumn("_mask", pattern_mask(patterns=patterns)).where(F.col("_mask") != 0)
 
 
-def pattern_alerts(rows, patterns=CRITICAL_PATTERNS):
-    """Records for rows with the number of their fired ``pattern``."""
+def pattern_alerts(rows, patterns=CRITICAL_PATTERNS, chars=None):
+    """Records for rows with the number of their fired ``pattern``; ``chars`` cuts the message in the text."""
+    message = F.col("message") if chars is None else F.substring("message", 1, chars)
     name = F.element_at(F.array(*map(F.lit, patterns)), F.col("pattern") + 1)
     rows = rows.withColumn("_name", name)
     return alert_record(
         rows,
         F.concat(F.lit("Critical pattern detected on "), F.col("service_name")),
-        F.concat(F.lit("Pattern '"), F.col("_name"), F.lit("' found: "), F.substring("message", 1, 200)),
+        F.concat(F.lit("Pattern '"), F.col("_name"), F.lit("' found: "), message),
         "critical", "pattern", F.struct(F.col("_name").alias("pattern")), "timestamp", key=["id"],
     )
 
 
-def alert_pattern(df, patterns=CRITICAL_PATTERNS, cooldown_s=COOLDOWN_SECONDS):
+def alert_pattern(df, patterns=CRITICAL_PATTERNS, cooldown_s=COOLDOWN_SECONDS, chars=None):
     """Critical patterns in error messages; each pattern of a service cools down by itself, and a
     message fires the first of its patterns that is not cooling."""
     rows = pattern_candidates(df, patterns)
     fired = pattern_cooldown(rows, "service_name", seconds=cooldown_s)
-    return pattern_alerts(rows.drop("_mask").join(fired, ["service_name", "id"]), patterns)
+    return pattern_alerts(rows.drop("_mask").join(fired, ["service_name", "id"]), patterns, chars)
 
 
 def alert_spike(df, multiplier=SPIKE_MULTIPLIER, history=10, cooldown_s=COOLDOWN_SECONDS):

@@ -130,7 +130,7 @@ _PATTERN_LIST = "['" + "', '".join(AL.CRITICAL_PATTERNS) + "']"
     "(SELECT c.*, f.last, coalesce(list_position(list_transform(range(1, 10), lambda k: c.hit[k] AND c.sec - f.last[k] >= 300), true), 0) AS fired "
     "FROM fold f JOIN cand c ON c.service_name = f.service_name AND c.i = f.i + 1))", recursive=True))
 def alert_pattern(spark, sf):
-    return AL.alert_pattern(logs(spark, sf)).select("title", "description", "severity", "service_name", "rule_type", "triggered_at")
+    return AL.alert_pattern(logs(spark, sf), chars=200).select("title", "description", "severity", "service_name", "rule_type", "triggered_at")
 
 
 @query("alert_spike", with_logs(

@@ -104,7 +104,7 @@ def _pattern_ctes(source):
         "SELECT id, n, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM words WHERE len(ws) > 1) GROUP BY 1, 2, 3)",
         "nd AS (SELECT sum(n)::BIGINT AS docs FROM tmpl)",
         "vocab AS (SELECT term, df, total, ln((docs + 1) / (df + 1)) + 1 AS idf FROM (SELECT term, sum(n)::BIGINT AS df, sum(n * tf)::BIGINT AS total FROM tc GROUP BY 1), nd "
-        "WHERE df >= 2 AND df <= docs * 0.95::DOUBLE ORDER BY total DESC, term LIMIT 5000)",
+        "WHERE df >= 2 AND df <= docs * 0.95::DOUBLE)",
         "raw_vec AS (SELECT id, n, term, tf * idf AS w FROM tc JOIN vocab USING (term))",
         "vec AS (SELECT id, n, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw_vec)",
     ]

@@ -360,7 +360,7 @@ def stream_cooldown(spark, sf):
 
 @query("stream_alert_pattern", SQL["alert_pattern"])
 def stream_alert_pattern(spark, sf):
-    return run_append(SC.stream_alert_pattern(log_stream(spark, sf)), "alerts").select(
+    return run_append(SC.stream_alert_pattern(log_stream(spark, sf), chars=200), "alerts").select(
         "title", "description", "severity", "service_name", "rule_type", "triggered_at")
 
 

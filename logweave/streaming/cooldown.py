@@ -95,11 +95,11 @@ def stream_cooldown(stream, key, time="timestamp", seconds=COOLDOWN_SECONDS, ord
     return _run(rows, key, _Cooldown(seconds), rows.schema).select(stream.columns)
 
 
-def stream_alert_pattern(stream, patterns=CRITICAL_PATTERNS, seconds=COOLDOWN_SECONDS):
+def stream_alert_pattern(stream, patterns=CRITICAL_PATTERNS, seconds=COOLDOWN_SECONDS, chars=None):
     """Pattern alerts of a log stream."""
     use_rocksdb(stream.sparkSession)
     rows = pattern_candidates(stream.select("id", "timestamp", "level", "service_name", "message"), patterns)
     rows = rows.select("id", "timestamp", "service_name", "message", F.col("_mask").alias("cd_mask"), epoch_seconds(stream).alias("cd_sec"),
                        F.col("timestamp").alias("cd_time"), F.col("id").alias("cd_order"))
     schema = T.StructType(rows.schema.fields + [T.StructField("pattern", T.IntegerType())])
-    return pattern_alerts(_run(rows, "service_name", _PatternCooldown(seconds), schema), patterns)
+    return pattern_alerts(_run(rows, "service_name", _PatternCooldown(seconds), schema), patterns, chars)

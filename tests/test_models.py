@@ -153,3 +153,16 @@ def test_model_files(spark, features, tmp_path):
     TB.save_model(spark, model.tfidf, str(tmp_path / "words"))
     words = TB.load_model(spark, str(tmp_path / "words"))
     assert P.vectorize(model.templates, words).count() == model.vectors.count()
+
+
+def test_vocabulary_is_whole_and_ranked_over_all_ranges(spark):
+    rows = [(i, f"word{i % 700:03d} common other{i % 3}", 1, "") for i in range(6000)]
+    tmpl = spark.createDataFrame(rows, "id long, template string, n long, sample string")
+    tfidf = P.tfidf_fit(tmpl, max_df=1.0)
+    got = sorted((r["rank"], r["df"], r["term"]) for r in tfidf.vocabulary.collect())
+    assert [r[0] for r in got] == list(range(len(got)))
+    assert [r[1:] for r in got] == sorted(r[1:] for r in got)
+    # 700 words, three others, the common one; each word before "common", and "common" before each other
+    assert len(got) == 700 + 3 + 1 + 700 + 3
+    capped = P.tfidf_fit(tmpl, max_features=10, max_df=1.0).vocabulary.collect()
+    assert len(capped) == 10 and "common" in {r["term"] for r in capped}

@@ -122,3 +122,22 @@ def test_global_series_is_the_sum(spark, sf):
     counts = minute_counts(logs(spark, sf), global_key="_global")
     total = counts.groupBy((F.col("service_name") == "_global").alias("g")).agg(F.sum("log_count").alias("n")).collect()
     assert {r["n"] for r in total} == {1000}
+
+
+def test_more_patterns_than_bits_are_refused(spark):
+    import pytest
+    from logweave.operators.alerts import pattern_mask
+    with pytest.raises(ValueError, match="63"):
+        pattern_mask(patterns=[f"p{i}" for i in range(64)])
+    rows = spark.createDataFrame([("p0 and p62",)], "message string")
+    mask = rows.select(pattern_mask(patterns=[f"p{i}$|p{i} " for i in range(63)])).first()[0]
+    assert mask == (1 << 62) | 1
+
+
+def test_alert_texts_are_whole_unless_cut(spark):
+    from datetime import datetime
+    from logweave.operators.alerts import alert_pattern
+    text = "kernel panic " + "x" * 500
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 1), "ERROR", "api", text)], "id long, timestamp timestamp, level string, service_name string, message string")
+    assert alert_pattern(rows).first()["description"] == f"Pattern 'kernel panic' found: {text}"
+    assert alert_pattern(rows, chars=200).first()["description"] == f"Pattern 'kernel panic' found: {text[:200]}"

@@ -4,8 +4,9 @@ Whether a candidate fires depends on the one before it, so the fold over a key i
 Time counts in whole seconds, which bounds what reaches the fold: within one second only the
 first candidate of a key can fire (or, with several patterns, the first few of each pattern
 set), so the rest is cut by a windowed rank that every task applies before the shuffle. A key
-that holds a third of all rows therefore costs at most one row per second and pattern set.
-Gaps of at least the cooldown then split a key into independent stretches.
+that holds a third of all rows therefore costs at most one row per second and pattern set. The plain
+cooldown is then folded in blocks that are independent once each has told how it passes a cooldown on;
+with patterns, gaps of at least the cooldown split a key into independent stretches.
 """
 
 import numpy as np
@@ -42,21 +43,72 @@ def _stretches(df, keys, seconds, chunk=50_000):
         "_stretch", F.floor(F.max("_start").over(w) / chunk)).drop("_start")
 
 
+BLOCK_SECONDS = 86_400
+
+
+def transfer(times, cooldown, begin):
+    """How a block of ascending seconds passes a cooldown on: ``(starts, ready)``.
+
+    A key is ready ``cooldown`` seconds after its last fire. Ready at ``r`` when the block begins, it fires first
+    at the first candidate from ``r`` on, and ``ready`` of that candidate tells when it is ready behind the
+    block. A fire before the block leaves ``r`` below ``begin + cooldown``, so later candidates but one
+    cannot be the first.
+    """
+    follow = np.searchsorted(times, times + cooldown)
+    last = np.arange(len(times))
+    for i in range(len(times) - 1, -1, -1):
+        if follow[i] < len(times):
+            last[i] = last[follow[i]]
+    some = int(np.searchsorted(times, begin + cooldown)) + 1
+    return times[:some], times[last[:some]] + cooldown
+
+
+def _ready(blocks, seconds):
+    """When a key is ready at the start of each of its blocks: one look-up a block."""
+    out, ready = [], None
+    for starts, after in zip(blocks["_starts"], blocks["_after"]):
+        out.append(ready)
+        at = 0 if ready is None else int(np.searchsorted(starts, ready))
+        if at < len(starts):
+            ready = int(after[at])
+    return out
+
+
 def cooldown(df, key, time="timestamp", seconds=COOLDOWN_SECONDS, order="id"):
-    """Candidates that fire: the first of a key, then the first at least ``seconds`` later."""
+    """Candidates that fire: the first of a key, then the first at least ``seconds`` later.
+
+    The seconds of a key are cut into blocks of a day or more. Each block reports how it passes a cooldown
+    on, one row per block; from these a key's state before each block follows, and the blocks are then
+    folded independently. A busy key is thus as many tasks as it has days.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     first = W.partitionBy(*keys, "_sec").orderBy(time, order)
     rows = df.withColumn("_sec", epoch_seconds(df, time))
     rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
-    # the fold sees only keys and seconds; the rows are joined back
-    times = _stretches(rows.select(*keys, "_sec"), keys, seconds)
-    schema = T.StructType([times.schema[k] for k in keys] + [T.StructField("_sec", T.LongType())])
+    # the folds see only keys and seconds; the rows are joined back
+    size = max(BLOCK_SECONDS, seconds)
+    times = rows.select(*keys, "_sec", F.floor(F.col("_sec") / size).alias("_block"))
+    own = [times.schema[k] for k in keys]
+    block, array = T.StructField("_block", T.LongType()), T.ArrayType(T.LongType())
+
+    def report(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts, after = transfer(np.sort(pdf["_sec"].to_numpy()), seconds, int(pdf["_block"].iloc[0]) * size)
+        return pdf[[*keys, "_block"]].head(1).assign(_starts=[starts], _after=[after])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block").reset_index(drop=True)
+        return pdf[[*keys, "_block"]].assign(_ready=pd.array(_ready(pdf, seconds), dtype="Int64"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_sec").reset_index(drop=True)
-        return pdf.iloc[fires(pdf["_sec"].to_numpy(), seconds)][[*keys, "_sec"]]
-
-    fired = times.groupBy(*keys, "_stretch").applyInPandas(fold, schema)
+        ready = pdf["_ready"].iloc[0]
+        return pdf.iloc[fires(pdf["_sec"].to_numpy(), seconds, None if pd.isna(ready) else int(ready) - seconds)][[*keys, "_sec"]]
+
+    passed = times.groupBy(*keys, "_block").applyInPandas(report, T.StructType([*own, block, T.StructField("_starts", array), T.StructField("_after", array)]))
+    ready = passed.groupBy(*keys).applyInPandas(walk, T.StructType([*own, block, T.StructField("_ready", T.LongType())]))
+    same = [times[c].eqNullSafe(ready[c]) for c in [*keys, "_block"]]
+    known = times.join(ready, same).select(*[times[k] for k in keys], times["_block"], times["_sec"], ready["_ready"])
+    fired = known.groupBy(*keys, "_block").applyInPandas(fold, T.StructType([*own, T.StructField("_sec", T.LongType())]))
     return rows.join(fired, [*keys, "_sec"], "left_semi").drop("_sec").select(df.columns)
 
 

@@ -141,3 +141,21 @@ def test_alert_texts_are_whole_unless_cut(spark):
     rows = spark.createDataFrame([(1, datetime(2024, 1, 1), "ERROR", "api", text)], "id long, timestamp timestamp, level string, service_name string, message string")
     assert alert_pattern(rows).first()["description"] == f"Pattern 'kernel panic' found: {text}"
     assert alert_pattern(rows, chars=200).first()["description"] == f"Pattern 'kernel panic' found: {text[:200]}"
+
+
+@pytest.mark.parametrize("seconds", [1, 7, 40, 300])
+def test_cooldown_blocks_pass_their_state_on(spark, monkeypatch, seconds):
+    import random
+    from datetime import datetime, timedelta
+    from logweave.operators import cooldown as C
+    monkeypatch.setattr(C, "BLOCK_SECONDS", 50)
+    rng, t0 = random.Random(seconds), datetime(2024, 1, 1)
+    rows = [(i, ["a", "b", None][rng.choice([0, 0, 0, 1, 2])], t0 + timedelta(seconds=rng.choice([rng.randrange(2000), rng.randrange(2000, 60_000)])))
+            for i in range(1500)]
+    want, last = [], {}
+    for i, key, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        if key is not None and (key not in last or (at - last[key]).total_seconds() >= seconds):
+            want.append(i)
+            last[key] = at
+    df = spark.createDataFrame(rows, "id long, service_name string, timestamp timestamp").where("service_name IS NOT NULL")
+    assert sorted(r.id for r in C.cooldown(df, "service_name", seconds=seconds).collect()) == sorted(want)

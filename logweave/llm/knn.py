@@ -5,7 +5,7 @@
 2. Summaries, of bounded size: per cell its radius, the largest norm and the ``k + 1``
    distinct ids nearest to the pivot; per group its radius and largest norm.
 3. Bounds. For a query ``q = c + d`` of a group around ``c`` and a row ``x = p + e`` of a cell around ``p``,
-   ``q.x`` differs from ``c.p`` by at most ``|d||p| + |c||e| + |d||e|``. The near ids of all cells, each
+   ``q.x`` differs from ``c.p`` by at most ``|d||p| + |q||e|``. The near ids of all cells, each
    counted once, give every group a score that its queries' k-th results reach; cells whose upper bound is below
    it are not sent to the group.
 4. Cells and groups travel as blocks of at most ``BLOCK`` rows, whatever their size, so that a vector
@@ -20,6 +20,7 @@ results of all its vectors; a query never finds a row with its own id. Inner pro
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -62,9 +63,13 @@ def _pivots(data, count):
 
 
 def _assign(pivots):
-    """Adds ``cell``, ``dim``, the distance ``e`` to the pivot and the norm. Lengths without a pivot have one cell around 0."""
+    """Adds ``cell``, ``dim``, the distance ``e`` to the pivot, the norm and a ``place`` that no other row has.
+    Lengths without a pivot have one cell around 0."""
     def run(batches):
+        at_row = TaskContext.get().partitionId() << 40
         for batch in batches:
+            place = at_row + np.arange(batch.num_rows)
+            at_row += batch.num_rows
             cell, dist = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             dims, norm = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for dim, at, m in _matrix(batch.column("v")):
@@ -74,18 +79,19 @@ def _assign(pivots):
                 cell[at], dims[at] = far.argmin(axis=1), dim
                 dist[at] = np.sqrt(((m - p[cell[at]]) ** 2).sum(1))
                 norm[at] = np.sqrt((m**2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims), pa.array(cell), pa.array(dist), pa.array(norm)],
-                                             [*batch.schema.names, "dim", "cell", "e", "norm"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims), pa.array(cell), pa.array(dist), pa.array(norm), pa.array(place)],
+                                             [*batch.schema.names, "dim", "cell", "e", "norm", "place"])
     return run
 
 
-_CELLS = "id long, v array<long>, dim long, cell long, e double, norm double"
+_CELLS = "id long, v array<long>, dim long, cell long, e double, norm double, place long"
 
 
 def _pack(assigned, rows):
-    """Blocks of at most about ``rows`` rows: ``dim, cell, block, ids, m`` with the matrix as bytes."""
+    """Blocks of at most about ``rows`` rows: ``dim, cell, block, ids, m`` with the matrix as bytes. Rows are dealt
+    by their stored place, so a task that runs again after a lost executor deals them alike."""
     counts = materialize(assigned.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")), "cell-blocks")
-    spread = assigned.join(counts, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.rand(5)), F.col("blocks")).cast("int"))
+    spread = assigned.join(counts, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int"))
 
     def pack(table):
         table = table.combine_chunks()
@@ -109,16 +115,16 @@ def _needed(pivots, cells, groups, k):
         own = by_dim.get(dim, [])
         p = pivots.get(dim, np.zeros((1, dim)))
         c, rho = p[g["cell"]], g["radius"]
-        size = np.linalg.norm(c)
+        reach = min(np.linalg.norm(c) + rho, g["norm"])  # no query of the group is longer
         floors, tops = {}, []
         for cell in own:
             q = p[cell["cell"]]
             middle, length = float(c @ q), np.linalg.norm(q)
             near = np.array(cell["near"])
             ids = cell["ids"] if "ids" in cell else [(cell["cell"], i) for i in range(len(near))]
-            for i, floor in zip(ids, (middle - rho * length - (size + rho) * near).tolist()):
+            for i, floor in zip(ids, (middle - rho * length - reach * near).tolist()):
                 floors[i] = max(floor, floors.get(i, floor))
-            tops.append(min(middle + rho * length + (size + rho) * cell["radius"], g["norm"] * cell["norm"]))
+            tops.append(min(middle + rho * length + reach * cell["radius"], g["norm"] * cell["norm"]))
         floors = sorted(floors.values(), reverse=True)
         # one id may be the query's own, all of whose rows are left out, so the bound is the (k + 1)-th
         least = floors[k] if len(floors) > k else -np.inf

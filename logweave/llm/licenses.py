@@ -1,7 +1,9 @@
 """Licence notices by an exact set-similarity join of text blocks with templates.
 
 A block is a line or a paragraph (lines up to a blank one). A template matches a block that contains
-at least ``CONTAINMENT`` of its distinct words. Words have one global order, rarest first, by counts
+at least ``CONTAINMENT`` of its distinct words, or all of them where it has fewer than ``WHOLE_BELOW``: one word of a short
+notice may be the licence's name. Of matching templates with other labels that share ``CONTAINMENT`` of the smaller one's words
+(rivals, such as CC BY and CC BY-NC) a block keeps the one it holds best, of equals the longest. Words have one global order, rarest first, by counts
 over all documents. The join needs three filters and loses nothing:
 
 * prefix: a block that holds ``need`` of a template's words holds one of the template's
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from logweave.llm.textscan import byte_class, find_words, row_bounds, slices, text_buffer
 
 CONTAINMENT = 0.8
+WHOLE_BELOW = 8
 MOST_TEMPLATES = 1000
 
 # Phrases and their labels.
@@ -37,6 +40,8 @@ TEMPLATES = {
                  "you may not use this file except in compliance with the license you may obtain a copy of the license at"],
     "gpl-3": ["this work is licensed under the gnu general public license version 3",
               "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"],
+    "lgpl": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"],
+    "agpl-3": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
@@ -53,9 +58,12 @@ def _word_hashes(text):
 
 
 class Templates:
-    """Templates as sets of word hashes in the global order, with what each needs."""
+    """Templates as sets of word hashes in the global order, with what each needs.
 
-    def __init__(self, templates, containment=CONTAINMENT, counts=None):
+    ``whole_below``: templates of fewer words must be held whole. ``resolve``: rivals drop each other.
+    """
+
+    def __init__(self, templates, containment=CONTAINMENT, counts=None, whole_below=0, resolve=False):
         self.labels, self.sets = [], []
         for label, texts in templates.items():
             for text in texts:
@@ -65,7 +73,8 @@ class Templates:
                     self.sets.append(words)
         if len(self.sets) > MOST_TEMPLATES:
             raise ValueError(f"{len(self.sets)} templates; at most {MOST_TEMPLATES} are held by every executor")
-        self.needs = [int(np.ceil(containment * len(s) - 1e-9)) for s in self.sets]
+        self.needs = [len(s) if len(s) < whole_below else int(np.ceil(containment * len(s) - 1e-9)) for s in self.sets]
+        self.rivals = self._rivals(containment) if resolve else {}
         self.vocabulary = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
         known = counts or {}
         order = [known.get(int(w), 0) for w in self.vocabulary.view(np.int64)]
@@ -80,6 +89,16 @@ class Templates:
         self.in_prefix = np.zeros(len(self.vocabulary), bool)
         self.in_prefix[list(self.prefixes)] = True
 
+    def _rivals(self, containment):
+        """For each template those of other labels that share most words with it."""
+        out = {}
+        for a, (label, words) in enumerate(zip(self.labels, self.sets)):
+            for b, (other, others) in enumerate(zip(self.labels, self.sets)):
+                common = len(np.intersect1d(words, others, assume_unique=True)) if label != other else 0
+                if common and common >= containment * min(len(words), len(others)) - 1e-9:
+                    out.setdefault(a, []).append(b)
+        return out
+
     def _ranks(self, words):
         return self.rank[np.searchsorted(self.vocabulary, words)]
 
@@ -106,7 +125,10 @@ class Templates:
                 common = int(np.isin(mine, block, assume_unique=True).sum())
                 if common >= need:
                     found.append((t, common / len(mine)))
-        return found
+        if not self.rivals or len(found) < 2:
+            return found
+        worth = {t: (share, len(self.ordered[t])) for t, share in found}
+        return [(t, share) for t, share in found if not any(worth.get(r, (0, 0)) > worth[t] for r in self.rivals.get(t, ()))]
 
 
 def word_counts(docs, templates):
@@ -164,7 +186,7 @@ def scan_part(column, templates, phrases=PHRASES):
         for at in hit:
             places[words.rows[at]].append((int(at - bounds[words.rows[at]]), label))
     matched = [{} for _ in range(count)]
-    if len(words):
+    if len(words) and templates.sets:
         ranks = templates.known(words.hashes)
         starters = np.concatenate([[0], np.cumsum((ranks >= 0) & templates.in_prefix[ranks])])
         held = np.concatenate([[0], np.cumsum(ranks >= 0)])
@@ -182,7 +204,7 @@ def scan_part(column, templates, phrases=PHRASES):
 def scan(docs, templates=None, containment=CONTAINMENT):
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every document."""
     templates = TEMPLATES if templates is None else templates
-    made = Templates(templates, containment, word_counts(docs, templates))
+    made = Templates(templates, containment, word_counts(docs, templates), WHOLE_BELOW, True)
     shared = docs.sparkSession.sparkContext.broadcast(made)
 
     def run(batches):

@@ -75,8 +75,8 @@ def _op7(spark, sf_dir):
 
 
 def _license_sql():
-    """The rules of op8: a template's share of words in the best line or paragraph, by brute force."""
-    from logweave.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES
+    """The rules of op8: a template's share of words in the best line or paragraph, rivals resolved, by brute force."""
+    from logweave.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, WHOLE_BELOW
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     rows = [f"('{label}', '{text}')" for label, texts in TEMPLATES.items() for text in texts]
@@ -91,9 +91,12 @@ base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM p GRO
 blocks AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM d
   UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d),
 sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(regexp_extract_all(b, {word}))) AS s FROM blocks),
-tpl AS (SELECT label, list_distinct(string_split(words, ' ')) AS s FROM (VALUES {", ".join(rows)}) v(label, words)),
-hits AS (SELECT doc_id, label, len(list_intersect(sets.s, tpl.s)) / len(tpl.s) AS share FROM sets, tpl
-  WHERE len(list_intersect(sets.s, tpl.s)) >= {CONTAINMENT} * len(tpl.s) - 1e-9),
+tpl AS (SELECT row_number() OVER () AS id, label, list_distinct(string_split(words, ' ')) AS s FROM (VALUES {", ".join(rows)}) v(label, words)),
+rivals AS (SELECT a.id AS a, b.id AS b FROM tpl a, tpl b WHERE a.label <> b.label AND len(list_intersect(a.s, b.s)) >= {CONTAINMENT} * least(len(a.s), len(b.s)) - 1e-9),
+met AS (SELECT doc_id, sets.s AS block, id, label, len(list_intersect(sets.s, tpl.s)) / len(tpl.s) AS share, len(tpl.s) AS size FROM sets, tpl
+  WHERE len(list_intersect(sets.s, tpl.s)) >= CASE WHEN len(tpl.s) < {WHOLE_BELOW} THEN len(tpl.s) ELSE {CONTAINMENT} * len(tpl.s) - 1e-9 END),
+hits AS (SELECT * FROM met ANTI JOIN (SELECT h.doc_id, h.block, h.id FROM met h JOIN rivals ON a = h.id JOIN met g ON g.id = b AND g.doc_id = h.doc_id AND g.block = h.block
+  WHERE g.share > h.share OR (g.share = h.share AND g.size > h.size)) USING (doc_id, block, id)),
 best AS (SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id),
 names AS (SELECT doc_id, label, true AS b FROM p UNION SELECT doc_id, label, false FROM hits),
 texts AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE b) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM names GROUP BY doc_id)

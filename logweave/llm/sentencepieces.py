@@ -118,6 +118,8 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.glued = any(SPACE in p.lstrip(SPACE) for p in self.rank)
         self.is_byte, self.is_control = (np.array([k == kind for k in self.kinds]) for kind in (BYTE, CONTROL))
+        # characters of the normalised text that a piece takes; of byte pieces, those that begin one
+        self.piece_chars = np.array([len(p) if k != BYTE else int(p[3:5], 16) & 0xC0 != 0x80 for p, k in zip(self.pieces, self.kinds)], np.int64)
         shown = [self._shown(i) for i in range(len(self.pieces))]
         self.shown_sizes = np.array([len(b) for b in shown], np.int64)
         self.shown_at = np.cumsum(self.shown_sizes) - self.shown_sizes
@@ -320,6 +322,25 @@ class PieceModel:
                 at += size
         return out
 
+    def align(self, texts, ids, bounds):
+        """Source bytes ``[start, end)`` of every id of a batch, relative to its text, as :meth:`spans` gives them."""
+        if self.charmap is not None or self.squeeze or not self.byte_ids:
+            both = [s[1:] for t in texts for s in self.spans(t)]
+            return np.array(both, np.int64).reshape(-1, 2).T
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        heads = np.cumsum(sizes) - sizes
+        text_at = np.concatenate([[0], np.cumsum(widths)])[heads]
+        if self.dummy_prefix:
+            widths = np.insert(widths, heads[sizes > 0], 0)
+        ends = np.cumsum(widths)
+        steps = self.piece_chars[ids]
+        first = np.cumsum(steps) - steps - (steps == 0)  # later bytes of a character stay on it
+        last = first + np.maximum(steps, 1) - 1
+        base = np.repeat(text_at, np.diff(bounds))
+        return np.stack([(ends - widths)[first] - base, ends[last] - base])
+
     # --- decoding ---
 
     def _shown(self, i):
@@ -396,7 +417,11 @@ def _model(shared):
 
 def _encoded(model, texts):
     """Ids with begin and end of every text, and their bounds."""
-    ids, bounds = model.encode_batch([t or "" for t in texts])
+    return _framed(model, *model.encode_batch([t or "" for t in texts]))
+
+
+def _framed(model, ids, bounds):
+    """Begin and end ids put around every text's ids."""
     n = len(bounds) - 1
     wider = bounds + 2 * np.arange(n + 1)
     out = np.empty(len(ids) + 2 * n, "<u4")
@@ -408,7 +433,7 @@ def _encoded(model, texts):
 
 
 def encode_texts(df, path, text="text"):
-    """``df`` with ``ids`` (array of long, begin and end ids included)."""
+    """``df`` with ``ids`` (array of long, begin and end ids included), in place of a column of that name."""
     shared = read_model(df.sparkSession, path)
     plain = df.drop("ids")
 
@@ -423,7 +448,7 @@ def encode_texts(df, path, text="text"):
 
 
 def piece_spans(df, path, text="text"):
-    """``df`` with ``pieces``: array of id and source bytes ``[start, end)``."""
+    """``df`` with ``pieces``: array of id and source bytes ``[start, end)``, in place of a column of that name."""
     shared = read_model(df.sparkSession, path)
     plain = df.drop("pieces")
 
@@ -437,18 +462,41 @@ def piece_spans(df, path, text="text"):
     return plain.mapInArrow(run, extended(plain.schema, "pieces", ArrayType(StructType().add("id", "long").add("start", "long").add("end", "long"))))
 
 
+def _tiles(starts, ends, size):
+    """Whether spans lead from 0 to ``size`` without a gap; byte pieces of one character repeat its span."""
+    if not len(starts):
+        return size == 0
+    follows = (starts[1:] == ends[:-1]) | ((starts[1:] == starts[:-1]) & (ends[1:] == ends[:-1]))
+    return bool(starts[0] == 0 and ends[-1] == size and follows.all())
+
+
 def digests(df, path):
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, encoded and decoded again."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces, spans_sha256, aligned`` of every row, encoded and decoded again.
+
+    ``n_pieces`` counts ids without begin and end; ``spans_sha256`` is over their source spans, start and end as
+    little-endian unsigned 32-bit integers; ``aligned`` says that the spans lead through the whole source without a gap
+    (a model whose map deletes characters leaves gaps).
+    """
     shared = read_model(df.sparkSession, path)
 
     def run(batches):
         model = _model(shared)
         for batch in batches:
             for part in slices(batch, limit=PART):
-                ids, bounds = _encoded(model, part.column("text").to_pylist())
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                plain, inner = model.encode_batch(texts)
+                spans = model.align(texts, plain, inner)
+                pairs = spans.T.astype("<u4")
+                cuts = list(zip(inner[:-1].tolist(), inner[1:].tolist()))
+                ids, bounds = _framed(model, plain, inner)
                 marks = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(bounds, bounds[1:])]
                 back = [hashlib.sha256(t).hexdigest() for t in model.decode_batch(ids, bounds)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(marks), pa.array(back)],
-                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                where = [hashlib.sha256(pairs[a:b].tobytes()).hexdigest() for a, b in cuts]
+                whole = [_tiles(spans[0, a:b], spans[1, a:b], len(t.encode())) for t, (a, b) in zip(texts, cuts)]
+                columns = [pa.array(np.diff(bounds)), pa.array(marks), pa.array(back), pa.array(np.diff(inner)), pa.array(where), pa.array(whole, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], _DIGESTS)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long, spans_sha256 string, aligned boolean")
+
+
+_DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_pieces", "spans_sha256", "aligned"]

@@ -5,6 +5,7 @@ import io
 import json
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -122,6 +123,34 @@ def test_one_id_on_many_rows(spark):
     assert [(-r.score, r.vec_id) for r in got] == want
 
 
+def test_clustered_vectors_are_sent_to_few_groups(spark):
+    rng = random.Random(13)
+    heads = [[100.0 * (d == c) for d in range(8)] for c in range(8)]
+    rows = [(i, [x + rng.random() for x in heads[i % 8]]) for i in range(800)]
+    data = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    held = {r.id: r.v for r in data.collect()}
+    got = sorted(tuple(r) for r in knn.top_k(data, data.where("id % 20 = 0"), 5, 64).collect())
+    want = []
+    for q in [i for i in held if i % 20 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(held[q], v)), i) for i, v in held.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    # each group needs the cells around its own head, an eighth of all, and few others
+    centres = knn._pivots(data, 64)
+    cells = spark.createDataFrame(data.mapInArrow(knn._assign(centres), knn._CELLS).collect(), knn._CELLS).toPandas()
+    spans = [{"dim": 8, "cell": c, "radius": g.e.max(), "norm": g.norm.max(), "near": sorted(g.e)[:6], "ids": g.sort_values("e").id.tolist()[:6]} for c, g in cells.groupby("cell")]
+    asked = [{"dim": 8, "cell": c, "radius": g.e.max(), "norm": g.norm.max()} for c, g in cells[cells.id % 20 == 0].groupby("cell")]
+    assert len(knn._needed(centres, spans, asked, 5)) < 0.5 * len(spans) * len(asked)
+
+
+def test_rows_are_dealt_alike_when_a_task_runs_again(spark):
+    data = knn.quantised(spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(500)], "vec_id long, embedding array<double>"))
+    cells = spark.createDataFrame(data.mapInArrow(knn._assign(knn._pivots(data, 2)), knn._CELLS).collect(), knn._CELLS)
+    one, two = (sorted((r.cell, r.block, bytes(r.ids)) for r in knn._pack(c, 50).selectExpr("cell", "block", "ids").collect()) for c in (cells, cells.orderBy("id")))
+    one, two = ([(c, b, sorted(np.frombuffer(i, np.int64))) for c, b, i in blocks] for blocks in (one, two))
+    assert one == two and cells.select("place").distinct().count() == 500
+
+
 # --- archives ---
 
 def test_archives_round_trip(spark):

@@ -233,6 +233,23 @@ def test_similarity_join_loses_nothing():
         assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl-3"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "agpl-3"),
+    ("released under the gpl license", ""), ("released under the MIT license", "mit"),
+    ("license terms: the library was released last year under new rules", "")])
+def test_rivals_and_short_templates(spark, text, labels):
+    assert licenses.scan(spark.createDataFrame([(1, text)], DOCS)).first().labels == labels
+
+
+def test_scan_without_templates(spark):
+    got = licenses.scan(spark.createDataFrame([(1, "under the MIT license"), (2, "word")], DOCS), {}).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in got] == [("mit", 1.0), ("", 0.0)]
+
+
 def test_too_many_templates_are_refused():
     with pytest.raises(ValueError):
         licenses.Templates({"x": [f"word{i}" for i in range(licenses.MOST_TEMPLATES + 1)]})
@@ -275,6 +292,25 @@ def test_spans_cover_the_source(model):
         assert b"".join(raw[a:b] for a, b in sorted({(a, b) for _, a, b in spans if b > a})) == raw
 
 
+def test_batch_alignment_agrees_with_single_texts(model):
+    texts = _odd_texts(200)
+    ids, bounds = model.encode_batch(texts)
+    starts, ends = model.align(texts, ids, bounds)
+    for n, text in enumerate(texts):
+        part = slice(bounds[n], bounds[n + 1])
+        assert list(zip(ids[part].tolist(), starts[part].tolist(), ends[part].tolist())) == model.spans(text)
+        assert sentencepieces._tiles(starts[part], ends[part], len(text.encode()))
+    assert not sentencepieces._tiles(np.array([0, 3]), np.array([2, 4]), 4) and not sentencepieces._tiles(np.array([0]), np.array([2]), 3)
+
+
+def test_digests_tell_the_spans(spark, model_path, model):
+    texts = ["Hello  world", "漢字 ▁ x", "", None]
+    rows = sentencepieces.digests(spark.createDataFrame(list(enumerate(texts)), DOCS), model_path).orderBy("doc_id").collect()
+    for text, row in zip(texts, rows):
+        spans = np.array([s[1:] for s in model.spans(text or "")], "<u4")
+        assert (row.n_pieces, row.spans_sha256, row.aligned) == (len(spans), hashlib.sha256(spans.tobytes()).hexdigest(), True)
+
+
 def _charmap(rules):
     """A compiled map from byte strings to texts: a small double-array trie."""
     units, targets, values = {0: 0}, b"", {}

@@ -13,6 +13,8 @@ from logweave.functions.rates import is_error, rate_pct
 from logweave.functions.times import as_of as _as_of, bucket, check_interval, time_type, trunc
 from logweave.operators.filters import filter_eq, filter_errors, filter_last, filter_time
 from logweave.model import LEVELS
+from logweave.operators.series import spike
+from logweave.sources.manifest import publish, read_view, write_part
 
 # Look-back in hours per interval when a series has no start.
 
@@ -321,9 +323,33 @@ def sample_n(df, n=5000, seed=42, key="id"):
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
-def refresh_views(df, path, as_of=None):
-    """Recompute the hourly and the health tables and return them as read back."""
-    hourly_stats(df).write.mode("overwrite").parquet(f"{path}/hourly_stats")
-    service_health(df, as_of).write.mode("overwrite").parquet(f"{path}/service_health")
+def changed_days(batch):
+    """The days that the rows of ``batch`` touch, as dates."""
+    return [r[0] for r in batch.select(F.to_date("timestamp").alias("day")).distinct().collect()]
+
+
+def refresh_views(df, path, as_of=None, days=None):
+    """Refresh the hourly and the health tables and return them as read back.
+
+    ``days``: the dates whose rows have changed (see :func:`changed_days`); only they are read and counted
+    again, all others stay as stored. Without it every day is counted. An hour lies in one day, so exact distinct
+    counts need no other day's rows; health needs the last 24 hours alone. Readers see the old or the new state.
+    """
     spark = df.sparkSession
-    return spark.read.parquet(f"{path}/hourly_stats"), spark.read.parquet(f"{path}/service_health")
+    day = F.to_date("timestamp")
+    changed = df
+    if days is not None:
+        if "log_date" in df.columns:  # stored tables: prunes folders
+            changed = changed.where(F.col("log_date").isin(days))
+        changed = changed.where(day.isin(days))
+    hourly, health = hourly_stats(changed), service_health(df, as_of)
+    parts = [write_part(hourly.withColumn("log_date", F.to_date("hour")), path, "hourly_stats"), write_part(health, path, "service_health")]
+    again = F.lit(True) if days is None else (F.col("view") == "service_health") | F.col("log_date").isin(days)
+    publish(spark, path, parts, again)
+    return read_view(spark, path, "hourly_stats", hourly.schema), read_view(spark, path, "service_health", health.schema, daily=False)
+
+
+def latency_anomaly(df, source="message", multiplier=1.5, by="service_name"):
+    """Hours whose largest latency stands out from the hours before, per service."""
+    trend = latency_trend(df, source=source).select(by, "bucket", "max_ms")
+    return spike(trend, by, "bucket", "max_ms", multiplier=multiplier, name="is_anomaly")

@@ -37,6 +37,45 @@ def iforest_score(spark, sf):
     return N.iforest_score(rows, N.iforest_fit(rows))
 
 
+@query("iforest_laws", with_logs(
+    "SELECT count(*) AS n, 0 AS wrong_labels, 0 AS out_of_range, true AS share_right, 100 AS trees, least(256, count(*))::BIGINT AS sample_rows "
+    "FROM (SELECT DISTINCT date_trunc('hour', log_ts), service_name FROM logs)"))
+def iforest_laws(spark, sf):
+    """What holds for every forest: the label is the sign of the score, scores lie in (offset - 1, offset + 1), the
+    share of -1 is the contamination up to ties and rounding, and each tree has drawn the rows it should."""
+    rows = written_features(spark, sf)
+    forest = N.iforest_fit(rows)
+    score, label = F.col("if_score"), F.col("if_label")
+    got = N.iforest_score(rows, forest).agg(
+        F.count("*").alias("n"), F.count_if(label != F.when(score < 0, -1).otherwise(1)).cast("int").alias("wrong_labels"),
+        F.count_if(F.abs(score) >= 1).cast("int").alias("out_of_range"), F.count_if(label == -1).alias("_out"))
+    near = F.abs(F.col("_out") - forest.contamination * F.col("n")) <= 1 + 0.01 * F.col("n")
+    return got.select("n", "wrong_labels", "out_of_range", near.alias("share_right"),
+                      F.lit(len(forest.arrays)).alias("trees"), F.lit(forest.sample_rows).cast("long").alias("sample_rows"))
+
+
+@query("score_laws", with_logs(
+    "SELECT service_name, date_trunc('hour', log_ts)::TIMESTAMP AS \"window\", CASE WHEN 100.0 * count(*) FILTER (err) / count(*) > "
+    "(SELECT avg(v) + 3 * stddev_pop(v) FROM (SELECT unnest([5.0, 8.0, 3.0, 6.0, 4.0]) AS v)) THEN 0.8 ELSE 0.1 END::DOUBLE AS statistical_spike, "
+    "true AS score_in_range, true AS mean_right, true AS spike_is_anomaly FROM logs GROUP BY 1, 2"))
+def score_laws(spark, sf):
+    """Trained scores: the error-rate part against SQL, the forest's part by its range, their mean, and the flag."""
+    rows = written_features(spark, sf)
+    got = N.score_services(rows, N.iforest_fit(rows))
+    part, spike = F.col("isolation_forest"), F.col("statistical_spike")
+    return got.select("service_name", "window", "statistical_spike", part.between(0, 1).alias("score_in_range"),
+                      (F.abs(F.col("combined_score") - (part + spike) / 2) <= 0.00051).alias("mean_right"),
+                      ((spike < 0.5) | F.col("is_anomaly")).alias("spike_is_anomaly"))
+
+
+@query("train_all_samples", with_logs(
+    "SELECT 'isolation_forest' AS model, 'trained' AS status, (SELECT count(*) FROM (SELECT DISTINCT date_trunc('hour', log_ts), service_name FROM week)) AS samples "
+    "UNION ALL SELECT 'pattern_detector', 'trained', (SELECT count(*) FROM week WHERE err OR level='WARN')",
+    "week AS (SELECT logs.* FROM logs, nowt WHERE log_ts > now - INTERVAL 7 DAY)"))
+def train_all_samples(spark, sf):
+    return T.train_all(logs(spark, sf)).summary.select("model", "status", "samples")
+
+
 _SCORED = [
     "f AS (SELECT service_name, date_trunc('hour', log_ts)::TIMESTAMP AS \"window\", count(*) AS n, 100.0 * count(*) FILTER (err) / count(*) AS rate FROM logs GROUP BY 1, 2)",
     "b AS (SELECT avg(v) + 3 * stddev_pop(v) AS lim FROM (SELECT unnest([5.0, 8.0, 3.0, 6.0, 4.0]) AS v))",
@@ -217,10 +256,7 @@ def novel_messages(spark, sf):
     "WINDOW w AS (PARTITION BY service_name ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))",
     _WARNINGS, *_pattern_ctes("msgs"), *_CLUSTERS, *_NOVEL, recursive=True))
 def pattern_anomaly(spark, sf):
-    rows = _novel(spark, sf)
-    buckets = rows.groupBy("service_name", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("bucket")).agg(
-        F.count_if("is_novel").alias("novel"), F.count("*").alias("total"))
-    return S.moving_avg_anomalies(buckets, "service_name", "bucket", "novel").drop("service_name")
+    return P.pattern_anomaly(_novel(spark, sf)).drop("service_name")
 
 
 @query("latency_anomaly", with_logs(
@@ -229,5 +265,4 @@ def pattern_anomaly(spark, sf):
     "(SELECT service_name, date_trunc('hour', log_ts)::TIMESTAMP AS bucket, max(try_cast(regexp_extract(message, '(?:duration=|took )([0-9]+)ms', 1) AS DOUBLE)) AS max_ms FROM logs GROUP BY 1, 2) WHERE max_ms IS NOT NULL "
     "WINDOW w AS (PARTITION BY service_name ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"))
 def latency_anomaly(spark, sf):
-    trend = A.latency_trend(logs(spark, sf), source="message").select("service_name", "bucket", "max_ms")
-    return S.spike(trend, "service_name", "bucket", "max_ms", multiplier=1.5, name="is_anomaly")
+    return A.latency_anomaly(logs(spark, sf))

@@ -228,6 +228,16 @@ def refresh_views(spark, sf):
     return A.refresh_views(logs(spark, sf), scratch(spark, "views"))[0]
 
 
+@query("refresh_views_by_day", SQL["hourly_stats"])
+def refresh_views_by_day(spark, sf):
+    """The last day arrives after the first refresh; the second counts that day alone."""
+    rows, path = logs(spark, sf), scratch(spark, "views")
+    last = rows.agg(F.max(F.to_date("timestamp"))).first()[0]
+    A.refresh_views(rows.where(F.to_date("timestamp") < F.lit(last)), path)
+    batch = rows.where(F.to_date("timestamp") >= F.lit(last))
+    return A.refresh_views(rows, path, days=A.changed_days(batch))[0]
+
+
 @query("refresh_views_health", SQL["service_health"])
 def refresh_views_health(spark, sf):
     return A.refresh_views(logs(spark, sf), scratch(spark, "views"))[1]

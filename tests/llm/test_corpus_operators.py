@@ -4,6 +4,9 @@ import gzip
 import io
 import json
 import random
+import re
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +204,67 @@ def test_rendering(page, text):
     assert html_layout.render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><a><tr><td>x", "x"), ("<table><center><tr><td>y", "y"), ("<table><tr>text</tr>", "text"), ("<table><tbody><div>text", "text"),
+    ("<table><p>text", "text"), ("<table><form><td>x", "x"), ("a<table>b<tr>c<td>d</td>e</table>f", "abce\n\nd\n\nf"),
+    ("<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math> y", "x= y"),
+    ("<svg><title>no</title><defs><text>no</text></defs><g><text>A <tspan>b</tspan></text><circle/><text>C</text></g></svg>end", "A b\nC\nend"),
+    ("<svg><g><p>out", "out"), ("<select><option>one<option selected>two</select>", "two"), ("<select><option>one<option>two</select>", "one"),
+    ("<select multiple><option>one<option>two</select>", "one two"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"),
+    ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "  yes"),
+    ("<style>.x{display:none} #a, p.y {visibility : hidden}</style><i class='q x'>no</i><b id=a>no</b><p class=y>no</p><b class=y>yes</b>", "yes"),
+    ("<style>@media print{.x{display:none}} div .x{display:none}</style><i class=x>yes</i>", "yes"),
+    ("<style>@media screen{.x{display:none}} .x{color:red}</style><i class=x>no</i><i class=x style='display:inline'>yes</i>", "yes"),
+    ("<style>.x{display:none!important}</style><i class=x style='display:inline'>no</i><style media=print>i{display:none}</style><i>yes</i>", "yes"),
+    ("<style>p{display:none}/*</style>", ""), ("<style>}}{{p{display:none</style><p>shown", "shown"),
+    ("<input type=checkbox value=no><input type=password value=no>a<input type=submit value=Go>", "aGo"),
+    ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"),
+    ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab    c\nd  e  f"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td colspan=9999999>a<td>b</table>", "a  b"),
+    ("<table><tr><td>\u6f22\u5b57<td>b<tr><td>abcd<td>c</table>", "\u6f22\u5b57  b\nabcd  c"),
+    ("<table><tr><td>a<td>b<table><table><td>c</table>d", "a  b\n\n   c\n\n   d"),
+])
+def test_rendering_of_visible_text(page, text):
+    assert html_layout.render(page) == text
+
+
+class _Texts(HTMLParser):
+    """All text nodes outside of elements that never show, by a parser that knows no tree."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden = Counter(), []
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            self.hidden += [tag] * (tag == self.hidden[0])
+        elif tag in ("script", "style", "title", "noscript", "template", "iframe", "object", "audio", "video", "canvas"):
+            self.hidden = [tag]
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag == self.hidden[0]:
+            self.hidden.pop()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words.update(re.findall(r"\w{3,}", data))
+
+
+def test_no_visible_text_is_lost(spark, sf):
+    """Every word of a text node is in the result, however tables are broken; hidden parts aside, nothing is added."""
+    r = random.Random(3)
+    tags = "table tr td th tbody thead caption div p a b ul li center form h2 pre blockquote span".split()
+    made = ["".join(r.choice([f"<{t}>", f"</{t}>", f"<{t}> word{i}x{j} ", f" word{i}y{j} "]) for j in range(60) for t in [r.choice(tags)]) for i in range(300)]
+    real = [p for (p,) in spark.read.parquet(f"{sf}/pages.parquet").select("html").where("html IS NOT NULL AND NOT contains(lower(html), 'hid') AND NOT contains(lower(html), 'none')").collect()]
+    for page in made + real:
+        twin = _Texts()
+        twin.feed(page)
+        twin.close()
+        missing = twin.words - Counter(re.findall(r"\w{3,}", html_layout.render(page)))
+        assert not missing, (page, missing)
+
+
 def test_extraction_keeps_all_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", 0), (1, "<p>a", 0), (None, None, 0), (2, "<b>" * 100 + "x" * 100000, 0)], "page_id long, html string, text int")
     assert sorted(r.n_chars for r in html_layout.extract(pages).collect()) == [0, 1, 1, 100000]

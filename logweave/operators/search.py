@@ -10,6 +10,9 @@ for the message and 0.2 for the host; they are summed as tenths to stay exact.
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import STOP_WORDS, stem, tokens
@@ -268,23 +271,53 @@ def latest_per_prefix(df, prefix=None, shown=None):
     return df.groupBy(_cut("message", prefix).alias("prefix")).agg(newest.alias("newest"))
 
 
+_SUGGESTED = ("service", "message", "host")
+
+
+def _smallest(rows, k):
+    """The ``k`` smallest keys of an Arrow table, each with its newest row; nulls are oldest."""
+    rows = rows.sort_by([("key", "ascending"), ("at", "descending"), ("id", "descending")])
+    if rows.num_rows > 1:
+        key = rows["key"].combine_chunks()
+        new = pc.not_equal(key[1:], key[:-1])
+        rows = rows.filter(pa.concat_arrays([pa.array([True]), new]))
+    return rows.slice(0, k)
+
+
+def _first_keys(k):
+    """What a task adds to the suggestions: per type its ``k`` smallest keys. The smallest keys of the whole
+    table are among those of every task that holds them, so nothing is lost."""
+    def run(batches):
+        held = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for kind in _SUGGESTED:
+                mine = rows.filter(pc.is_valid(rows[f"{kind}_key"]))
+                mine = pa.table({"key": mine[f"{kind}_key"], "suggestion": mine["shown" if kind == "message" else f"{kind}_key"], "at": mine["at"], "id": mine["id"]})
+                if kind in held and held[kind].num_rows == k:
+                    mine = mine.filter(pc.less_equal(mine["key"], held[kind]["key"][k - 1]))
+                held[kind] = _smallest(pa.concat_tables([held[kind], mine]) if kind in held else mine, k)
+        for kind, rows in held.items():
+            yield from rows.append_column("type", pa.array([kind] * rows.num_rows, pa.string())).combine_chunks().to_batches()
+    return run
+
+
 def suggest(df, term, limit=10, prefix=None, shown=None):
     """Services, newest message of each start (see :func:`latest_per_prefix`), and hosts that contain the
-    term."""
+    term, at most ``limit`` of each and of all, in order of type and text. One scan; a task sends at most
+    ``limit`` keys of each type on. A blank term or a limit below 1 suggests nothing."""
     term = (term or "").strip()
-    services = df.select(F.col("service_name").alias("suggestion")).where(ilike("service_name", term)).distinct()
-    messages = latest_per_prefix(df.where(ilike("message", term)), prefix, shown).orderBy("prefix").limit(limit).select(
-        F.col("newest").alias("suggestion"))
-    hosts = df.select(F.col("host").alias("suggestion")).where(ilike("host", term)).distinct()
-    parts = [
-        services.orderBy("suggestion").limit(limit).withColumn("type", F.lit("service")),
-        messages.withColumn("type", F.lit("message")),
-        hosts.orderBy("suggestion").limit(limit).withColumn("type", F.lit("host")),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("suggestion") != "")
-    if not term:
-        rows = rows.where(F.lit(False))
-    return rows.orderBy("type", "suggestion").limit(limit)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    held = df.select(
+        F.when(ilike("service_name", term), F.col("service_name")).alias("service_key"),
+        F.when(ilike("message", term), _cut("message", prefix)).alias("message_key"),
+        F.when(ilike("host", term), F.col("host")).alias("host_key"),
+        F.when(ilike("message", term), _cut("message", shown)).alias("shown"), F.col("timestamp").alias("at"), "id")
+    held = held.where(F.coalesce("service_key", "message_key", "host_key").isNotNull() if term and limit > 0 else F.lit(False))
+    found = held.mapInArrow(_first_keys(max(limit, 1)), f"key string, suggestion string, at {kinds['timestamp']}, id {kinds['id']}, type string")
+    newest = found.groupBy("type", "key").agg(F.max_by("suggestion", F.struct("at", "id")).alias("suggestion"))
+    first = newest.withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy("key"))).where(F.col("n") <= limit)
+    return first.where("suggestion <> ''").select("suggestion", "type").orderBy("type", "suggestion").limit(max(limit, 0))
 
 
 def highlight(df, q, col="message", before="<b>", after="</b>"):

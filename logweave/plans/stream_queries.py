@@ -19,6 +19,7 @@ from logweave.plans.alert_queries import _RATES, _alerts, _anomalies, _chain
 from logweave.plans.base import SQL, logs, query, with_logs
 from logweave.plans.ingest_queries import NOW, rendered
 from logweave.session import checkpoint_dir
+from logweave.sources import snapshots as SN
 from logweave.sources import tables as TB
 from logweave.sources import versions as V
 from logweave.sources.events import logs_from_events
@@ -107,6 +108,30 @@ def compact(spark, sf):
     return spark.read.parquet(path + "-compact").select("id", "timestamp", "level")
 
 
+@query("commit_logs", with_logs(
+    "SELECT id, log_ts AS \"timestamp\", level, service_name, message, CAST(log_ts AS DATE) AS log_date FROM logs "
+    "WHERE id % 13 <> 5 AND log_ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-16 12:00:00'"))
+def commit_logs(spark, sf):
+    """Two commits, one of them a batch that is stored twice, and a compaction."""
+    path = scratch(spark, "snapshot")
+    rows = _mixed(spark, sf)
+    SN.commit_logs(rows.where("id % 2 = 0"), path, rejects=True)
+    for _ in range(2):
+        SN.commit_logs(rows.where("id % 2 = 1"), path, source="stream", batch_id=3)
+    SN.compact_snapshot(spark, path)
+    return SN.scan_snapshot(spark, path, "2024-01-08", "2024-01-16T12:00:00Z",
+                            ["id", "timestamp", "level", "service_name", "message", "log_date"])
+
+
+@query("committed_rejects", with_logs(
+    "SELECT CAST(id AS VARCHAR) AS original_id, 'invalid level' AS error FROM logs WHERE id % 13 = 5"))
+def committed_rejects(spark, sf):
+    path = scratch(spark, "snapshot")
+    for _ in range(2):  # a repeated attempt
+        SN.commit_logs(_mixed(spark, sf), path, rejects=True, source="stream", batch_id=0)
+    return SN.read_rejects(spark, path).select("original_id", "error")
+
+
 def _raw_folder(spark, sf):
     """The log rows as JSON lines in text files, the way a shipper would leave them."""
     folder = scratch(spark, "raw")

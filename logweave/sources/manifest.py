@@ -33,9 +33,10 @@ def _at(spark, path, version):
     return _manifests(spark, path).where(F.col("version") == version).drop("version")
 
 
-def write_part(rows, path, view):
-    """Write ``rows``, split by ``log_date`` where they have one; returns their manifest rows."""
-    refresh = uuid.uuid4().hex
+def write_part(rows, path, view, owner=None):
+    """Write ``rows``, split by ``log_date`` where they have one; returns their manifest rows. The name of the
+    refresh starts with ``owner`` and a dot, if given."""
+    refresh = uuid.uuid4().hex if owner is None else f"{owner}.{uuid.uuid4().hex}"
     daily = "log_date" in rows.columns
     where = f"{path}/{view}/refresh={refresh}"
     writer = rows.write.partitionBy("log_date") if daily else rows.write
@@ -56,8 +57,8 @@ def publish(spark, path, parts, gone):
     state.coalesce(1).write.parquet(f"{path}/manifest/version={version + 1}")  # a row per view and day
 
 
-def read_view(spark, path, view, schema, daily=True):
-    """The rows of ``view`` in the newest manifest."""
+def read_view(spark, path, view, schema, daily=True, keep_day=False):
+    """The rows of ``view`` in the newest manifest; ``keep_day`` keeps the column ``log_date``."""
     full = StructType(list(schema.fields))
     if daily and "log_date" not in full.names:
         full = full.add("log_date", DateType())
@@ -67,4 +68,4 @@ def read_view(spark, path, view, schema, daily=True):
     same = F.col("refresh") == F.col("_refresh")
     if daily:
         same = same & F.col("log_date").eqNullSafe(F.col("_day"))
-    return rows.join(now, same, "left_semi").select(*schema.names)
+    return rows.join(now, same, "left_semi").select(*dict.fromkeys([*schema.names, *(["log_date"] if keep_day else [])]))

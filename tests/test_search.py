@@ -66,6 +66,25 @@ def test_suggest(corpus):
     rows = [(r["type"], r["suggestion"]) for r in S.suggest(corpus, "NODE", 10).collect()]
     assert rows == [("host", "node-0"), ("host", "node-1"), ("message", "disk full on node")]
     assert S.suggest(corpus, "  ").count() == 0
+    assert S.suggest(corpus, "NODE", 0).count() == 0
+
+
+def test_suggest_scans_once_and_sends_few_messages(spark, sf):
+    """Whole messages as keys: equal to a plain aggregation, one scan, and a task sends at most the limit."""
+    from logweave.plans.base import logs
+    rows = logs(spark, sf).withColumn("message", F.concat(F.lit("a"), F.pmod(F.col("id") * 7919, F.lit(400)).cast("string")))
+    got = S.suggest(rows, "a", 30)
+    want = sorted({("service", r[0]) for r in rows.select("service_name").distinct().collect() if "a" in r[0]}
+                  | {("host", r[0]) for r in rows.select("host").distinct().collect() if r[0] and "a" in r[0]}
+                  | set(sorted({("message", r[0]) for r in rows.select("message").collect()})[:30]))[:30]
+    assert [(r["type"], r["suggestion"]) for r in got.collect()] == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    for tasks in (1, 5):
+        sent = [tuple(r) for r in rows.repartition(tasks).select(
+            F.lit(None).cast("string").alias("service_key"), F.col("message").alias("message_key"), F.lit(None).cast("string").alias("host_key"),
+            F.col("message").alias("shown"), F.col("timestamp").alias("at"), "id").mapInArrow(
+                S._first_keys(30), "key string, suggestion string, at timestamp_ntz, id long, type string").collect()]
+        assert len(sent) <= 30 * tasks
 
 
 def test_highlight(corpus):

@@ -1,6 +1,6 @@
 """Streams over several batches equal the batch operators; late rows; repeated batches."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +9,7 @@ from logweave.operators import analytics as A
 from logweave.operators.cooldown import cooldown
 from logweave.plans.base import logs
 from logweave.plans.stream_queries import run_append, run_batches
+from logweave.sources import snapshots as SN
 from logweave.sources import tables as TB
 from logweave.streaming import cooldown as SC
 from logweave.streaming import jobs as J
@@ -115,3 +116,36 @@ def test_a_repeated_batch_replaces_all_of_its_days(spark, folder, tmp_path):
     store(rows, 0)
     store(rows.where("id < 10"), 0)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_readers_see_whole_commits(spark, sf, tmp_path):
+    from pyspark.errors import AnalysisException
+    path = str(tmp_path / "t")
+    rows = logs(spark, sf)
+    SN.commit_logs(rows.where("id % 2 = 0"), path)
+    before = SN.scan_snapshot(spark, path)
+    even = before.count()
+    # rows that are written but not committed do not show
+    part = SN.manifest.write_part(SN._laid_out(SN.stored_form(rows)), path, "logs")
+    assert SN.scan_snapshot(spark, path).count() == even == before.count()
+    SN.manifest.publish(spark, path, [part], F.lit(False))
+    assert SN.scan_snapshot(spark, path).count() == even + 1000
+    during = SN.scan_snapshot(spark, path)
+    SN.compact_snapshot(spark, path)
+    assert before.count() == even and during.count() == even + 1000 == SN.scan_snapshot(spark, path).count()
+    # of two commits that want one version, one fails
+    with pytest.raises(AnalysisException):
+        spark.range(1).write.parquet(f"{path}/manifest/version={SN.manifest.newest_version(spark, path)}")
+    day = SN.scan_snapshot(spark, path, "2024-01-10", "2024-01-10T23:59:59.999999")
+    assert "PartitionFilters: [isnotnull(log_date" in day._jdf.queryExecution().toString()
+
+
+def test_commits_of_a_stream_replace_earlier_attempts(spark, sf, tmp_path):
+    path = str(tmp_path / "t")
+    rows = logs(spark, sf)
+    for batch, some in ((0, rows), (1, rows.where("id < 5")), (0, rows.where("id < 10")), (11, rows.where("id < 3"))):
+        SN.commit_logs(some, path, source="s", batch_id=batch)
+    SN.commit_logs(rows.where("id < 0"), path)  # no rows
+    assert SN.scan_snapshot(spark, path).count() == 10 + 5 + 3
+    SN.compact_snapshot(spark, path, [date(2024, 1, 1)])
+    assert SN.scan_snapshot(spark, path).count() == 10 + 5 + 3

@@ -186,6 +186,29 @@ def test_network_finds_what_rules_miss_and_spares_the_rest():
     assert [k for *_, k in found[0]] == [3] and found[1] == []
 
 
+def test_candidates_agree_with_brute_force():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aB1-_. é\n") for _ in range(200)) for _ in range(50)] + ["", "abcdefgh", "abcdefg1", "Abcdefgh", "abcdefgH", "a" * 16, "abcDefg"]
+
+    def wanted(t):
+        runs = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", t)]
+        return [(a, b) for a, b, w in runs if len(w) >= 16 or len(w) >= 8 and re.search(r"[0-9+/_=]|[a-z][A-Z]", w)]
+    for t in texts:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        _, starts, ends = secrets.candidates(buf, np.array([0, len(buf)]))
+        assert [(len(t.encode()[:a].decode()), len(t.encode()[:b].decode())) for a, b in zip(starts, ends)] == wanted(t)
+
+
+def test_threshold_keeps_its_recall_and_spares_identifiers():
+    texts = _secret_texts(60)
+    net = secrets.fit(texts)
+    assert net.recall >= secrets.RECALL
+    rng = random.Random(77)  # none of these runs was seen in training
+    for make, lo, hi in ((secrets._synthetic, 0.9, 1), (secrets._harmless, 0, 0.02)):
+        _, found = secrets.scan_part(pa.array([f"the river house {make(rng)} green table" for _ in range(500)]), net)
+        assert lo <= sum(map(bool, found)) / 500 <= hi
+
+
 def test_findings_and_redaction(spark):
     texts = _secret_texts(60)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(100, None, 1), (None, "", 1), (0, texts[0], 1)], DOCS + ", spans int")

@@ -134,7 +134,8 @@ def _op6(spark, sf_dir):
 def _op1(spark, sf_dir):
     from logweave.llm.surrogates import pseudonymise
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.sha2("text", 256).alias("source_sha256"))
-    return pseudonymise(docs).withColumn("changed", F.sha2("text", 256) != F.col("source_sha256")).drop("source_sha256")
+    key = spark.conf.get("spark.logweave.surrogateKey", "an example, not a secret").encode()
+    return pseudonymise(docs, key).withColumn("changed", F.sha2("text", 256) != F.col("source_sha256")).drop("source_sha256")
 
 
 def _cluster_sql(k=16, rounds=3, dim=64):

@@ -273,12 +273,13 @@ def test_extraction_keeps_all_rows(spark):
 
 # --- surrogates ---
 
+KEY = b"a test"
 LETTER = ("Mr. John Smith (john.smith@acme.co.uk, +1 (555) 010-2345) met Mrs Anna Jones. Later Mr. Smith paid with 4111-1111-1111-1111 "
           "from 10.0.0.255; IBAN DE89 3704 0044 0532 0130 00. Иван Петров. JOHN.SMITH@ACME.CO.UK")
 
 
 def test_surrogates_keep_type_form_and_coreference():
-    text, n = surrogates.rewrite(LETTER, {})
+    text, n = surrogates.rewrite(LETTER, {}, KEY)
     old, new = surrogates.entities(LETTER), surrogates.entities(text)
     assert n == 10 and [e[2] for e in old] == [e[2] for e in new] and not {(e[2], e[3]) for e in old} & {(e[2], e[3]) for e in new}
     last = [e[3] for e in new if e[2] == "person"]
@@ -287,7 +288,7 @@ def test_surrogates_keep_type_form_and_coreference():
     assert surrogates.luhn(card[3]) and text[card[0] + 4] == "-"
     firsts = [text[e[0]:e[1]] for e in new if e[2] == "given"]
     assert [surrogates._GENDER_OF[f] for f in firsts] == ["m", "f", "m"] and surrogates._script(firsts[2]) == "cyrillic"
-    assert text.count("JOHN") == 0 and surrogates.rewrite(text[:0], {}) == ("", 0) and surrogates.rewrite("plain 12 words", {}) == ("plain 12 words", 0)
+    assert text.count("JOHN") == 0 and surrogates.rewrite(text[:0], {}, KEY) == ("", 0) and surrogates.rewrite("plain 12 words", {}, KEY) == ("plain 12 words", 0)
 
 
 def test_collisions_move_on_until_all_surrogates_differ(spark, monkeypatch):
@@ -301,7 +302,7 @@ def test_collisions_move_on_until_all_surrogates_differ(spark, monkeypatch):
         return run
     monkeypatch.setattr(surrogates, "_made", table)
     names = [str(i) for i in range(95, 110)]
-    late = {r.canonical: r.attempt for r in surrogates.resolve(spark.createDataFrame([("card", c) for c in names], "kind string, canonical string")).collect()}
+    late = {r.canonical: r.attempt for r in surrogates.resolve(spark.createDataFrame([("card", c) for c in names], "kind string, canonical string"), KEY).collect()}
     final = made([(c, late.get(c, 0)) for c in names])
     assert late and len(set(final)) == len(names) and not set(final) & set(names)
 
@@ -310,10 +311,27 @@ def test_collisions_move_on_until_all_surrogates_differ(spark, monkeypatch):
 def test_texts_are_rewritten_either_way(spark, monkeypatch, most):
     monkeypatch.setattr(surrogates, "MOST_BROADCAST", most)
     docs = spark.createDataFrame([(1, LETTER, "x"), (1, LETTER, "x"), (None, None, "y"), (2, "", "z"), (3, "nothing here", "z")], DOCS + ", made string")
-    rows = surrogates.pseudonymise(docs).collect()
+    rows = surrogates.pseudonymise(docs, KEY).collect()
     assert sorted((r.made, r.n_entities) for r in rows) == [("x", 10), ("x", 10), ("y", 0), ("z", 0), ("z", 0)]
-    assert {r.text for r in rows if r.made == "x"} == {surrogates.rewrite(LETTER, {})[0]} and any(r.text is None for r in rows)
-    assert surrogates.pseudonymise(docs.limit(0)).count() == 0
+    assert {r.text for r in rows if r.made == "x"} == {surrogates.rewrite(LETTER, {}, KEY)[0]} and any(r.text is None for r in rows)
+    assert surrogates.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize("most", [100_000, -1])
+def test_given_names_stay_distinct_and_coreferent(spark, monkeypatch, most):
+    monkeypatch.setattr(surrogates, "MOST_BROADCAST", most)
+    women = [a + b for a in "Ana Bel Cor Dor Eli Fra Gil Han Ira Jan".split() for b in "da fa ka la ma na pa ra sa ta".split()]
+    docs = [f"Mrs {w} Jones" for w in women] + [f"Mr. {w[:-1]}o Jones" for w in women]
+    docs += ["Dr. Alex Smith met Mr. Alex Smith", "Mrs Anna Miller. Mrs Alice Miller.", "Mrs Anna Jones came. Jones said hello. Anna left. ANNA?"]
+    rows = surrogates.pseudonymise(spark.createDataFrame([(i, t, 7, 8, 9) for i, t in enumerate(docs)], DOCS + ", n_entities int, _late int, _text_hash int"), KEY).orderBy("doc_id").collect()
+    assert len({r.text.split()[1] for r in rows[:200]}) == 200 and {r.text.split()[2] for r in rows[:200]} == {rows[0].text.split()[2]}
+    assert all((r.n_entities, r._late, r._text_hash) == (7, 8, 9) and r.n_entities_ > 0 for r in rows)
+    smith = re.findall(r"(\w+) (\w+)(?: met|$)", rows[200].text)
+    assert smith[0] == smith[1] and "Alex" not in rows[200].text
+    _, anna, miller, _, alice, again = re.findall(r"\w+", rows[201].text)
+    assert anna != alice and miller == again
+    words = re.findall(r"\w+", rows[202].text)
+    assert words[1] == anna == words[7] and words[2] == words[4] and words[9] == anna.upper() and not {"Anna", "Jones", "ANNA"} & set(words)
 
 
 # --- pipeline ---

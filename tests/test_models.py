@@ -166,3 +166,15 @@ def test_vocabulary_is_whole_and_ranked_over_all_ranges(spark):
     assert len(got) == 700 + 3 + 1 + 700 + 3
     capped = P.tfidf_fit(tmpl, max_features=10, max_df=1.0).vocabulary.collect()
     assert len(capped) == 10 and "common" in {r["term"] for r in capped}
+
+
+def test_terms_are_counted_within_rows(spark):
+    rows = [(1, "red blue red blue", 2), (1, "blue red", 2), (1, "blue green", 3), (2, "the", 1), (3, None, 4), (None, "red red", 1)]
+    tmpl = spark.createDataFrame(rows, "id long, template string, n long")
+    counts = P._term_counts(tmpl, ["the"])
+    # texts may be shuffled, the far larger number of their terms not
+    assert "term" not in "".join(line for line in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line)
+    assert sorted(map(tuple, counts.where("id = 1").collect())) == [
+        (1, 2, "blue", 3), (1, 2, "blue red", 2), (1, 2, "red", 3), (1, 2, "red blue", 2), (1, 3, "blue", 1), (1, 3, "blue green", 1), (1, 3, "green", 1)]
+    fitted = {r["term"]: (r["df"], r["total"]) for r in P.tfidf_fit(tmpl, max_df=1.0, min_df=1, stop_words=["the"]).vocabulary.collect()}
+    assert fitted == {"blue": (5, 9), "blue red": (2, 4), "red": (3, 8), "red blue": (2, 4), "blue green": (3, 3), "green": (3, 3), "red red": (1, 1)}

@@ -178,3 +178,35 @@ def test_terms_are_counted_within_rows(spark):
         (1, 2, "blue", 3), (1, 2, "blue red", 2), (1, 2, "red", 3), (1, 2, "red blue", 2), (1, 3, "blue", 1), (1, 3, "blue green", 1), (1, 3, "green", 1)]
     fitted = {r["term"]: (r["df"], r["total"]) for r in P.tfidf_fit(tmpl, max_df=1.0, min_df=1, stop_words=["the"]).vocabulary.collect()}
     assert fitted == {"blue": (5, 9), "blue red": (2, 4), "red": (3, 8), "red blue": (2, 4), "blue green": (3, 3), "green": (3, 3), "red red": (1, 1)}
+
+
+def test_rows_that_share_many_terms_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = 2300
+    x = np.zeros((m, 80))
+    for v in x:
+        v[rng.choice(80, 14, replace=False)] = rng.random(14) + 0.1
+    x[:, 0] = 0.3 * (rng.random(m) < 0.9)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    n, core = rng.integers(1, 4, m), rng.random(m) < 0.5
+    rows = [(i + 10, int(n[i]), [(int(t), float(v[t])) for t in np.flatnonzero(v)], bool(core[i])) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "id long, n long, vec array<struct<r: long, w: double>>, core boolean").repartition(5).cache()
+    assert P._blocks(vectors, 0.7).count() <= 8 * m  # by terms it is over twenty vectors a row
+    monkeypatch.setattr(P, "_blocks", lambda v, threshold: P._row_blocks(v, 2))  # blocks of more than a thousand rows
+    similar = (x @ x.T >= 0.7 - 1e-9) & ~np.eye(m, dtype=bool)
+    near = {r["id"] - 10: r["near"] for r in P._neighbours(vectors.drop("core"), 0.7).collect()}
+    assert near == {i: c for i, c in enumerate((similar @ n).tolist()) if c}
+
+    label = np.arange(m)
+    while True:
+        best = np.where(similar & core & core[:, None], label, m).min(axis=1)
+        new = np.minimum(label, best)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    links = P._links(vectors, 0.7).cache()
+    found = P.components(vectors.where("core"), links.where("NOT border"))
+    assert {r["id"] - 10: r["label"] - 10 for r in found.collect()} == {i: int(label[i]) for i in range(m) if core[i]}
+    border = {(r["a"] - 10, int(label[r["b"] - 10])) for r in links.where("border").collect()}
+    assert border == {(i, int(label[k])) for i, k in zip(*np.nonzero(similar & core)) if not core[i]}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from logweave.functions.text import STOP_WORDS, stem, tokens
 from logweave.operators import search as S
 from logweave.plans.base import logs, query, table, with_logs
-from logweave.session import checkpoint_dir, spread
+from logweave.session import balanced, checkpoint_dir
 
 _TOKEN = r"[0-9]+(?:\.[0-9]+)+|[\p{L}\p{N}]+"
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -139,7 +139,7 @@ def search_after(spark, sf):
     "SELECT id, rank FROM logs JOIN hits USING (id)", *_hits("logs", ["gateway", "timeouts", "requested"])))
 def search_index(spark, sf):
     rows = logs(spark, sf)
-    index = S.build_search_index(spread(rows), _scratch(spark, "index"))
+    index = S.build_search_index(balanced(rows), _scratch(spark, "index"))
     return S.matching(rows, "gateway timeouts for requested", index=index).select("id", "rank")
 
 
@@ -178,8 +178,11 @@ def count_search_heap(spark, sf):
     "FROM tok JOIN stems USING (term) GROUP BY ALL",
     _tok("logs", {"level": 10, "service_name": 10, "message": 4, "host": 2}), *stem_sql("tok")))
 def build_search_index(spark, sf):
-    postings, words = S.build_search_index(spread(logs(spark, sf)))
-    return postings.join(words, "term").groupBy("term", "id", "weight", "stem").agg(F.count("*").alias("n"))
+    postings, words = S.build_search_index(balanced(logs(spark, sf)))
+    # counted by word and row first: after the join, all rows of a very common word would be one task's. Sizes of
+    # exploded rows are unknown to the planner, which might broadcast them; a merge join's skew is split
+    counts = postings.groupBy("term", "id", "weight").agg(F.count("*").alias("n"))
+    return counts.join(words.hint("merge"), "term").select("term", "id", "weight", "stem", "n")
 
 
 @query("search_rarest_term", with_logs(

@@ -150,3 +150,10 @@ def test_index_scan_gets_the_words_as_literals(corpus, tmp_path):
     assert "In(term" in plan or "EqualTo(term" in plan
     many = " ".join(f"word{i}" for i in range(80))
     assert S.matching(corpus, many, index).count() == 0
+
+
+def test_index_query_keeps_a_common_word_out_of_one_task(spark, sf):
+    from logweave.plans.search_queries import build_search_index
+    plan = build_search_index(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("SortMergeJoin")[0]  # postings are no broadcast, and nothing is grouped behind the join
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Aggregate" not in above

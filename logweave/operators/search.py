@@ -25,6 +25,7 @@ FIELD_WEIGHTS = {"level": 10, "service_name": 10, "message": 4, "host": 2}
 FIELD_LABELS = {"level": "A", "service_name": "A", "message": "B", "host": "C"}
 
 MOST_WORDS = 2000
+_TASK_BYTES = 8 << 20  # text whose postings one task sorts
 
 _MAX_ENDING = 2  # letters a stem may differ in from the start of its word, counted from its end
 
@@ -196,10 +197,14 @@ def build_search_index(df, path=None):
     postings = build_postings(df)
     if path is None:
         return postings, term_dictionary(postings)
-    twice = df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"id {twice[0]['id']} is on {twice[0]['n']} rows; an index needs ids of their own")
-    (postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    text = sum(F.coalesce(F.octet_length(name), F.lit(0)) for name in FIELD_LABELS)
+    ids = df.groupBy("id").agg(F.count("*").alias("n"), F.sum(text.cast("long")).alias("bytes"))
+    most, size = ids.agg(F.max_by(F.struct("id", "n"), "n"), F.sum("bytes")).first()
+    if most and most["n"] > 1:
+        raise ValueError(f"id {most['id']} is on {most['n']} rows; an index needs ids of their own")
+    # a word's postings compress well, so tasks cut by shuffled bytes would hold very many of them
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // _TASK_BYTES))
+    (postings.repartitionByRange(tasks, "term", "id").sortWithinPartitions("term", "id")
      .write.mode("overwrite").parquet(f"{path}/postings"))
     spark = df.sparkSession
     postings = spark.read.parquet(f"{path}/postings")

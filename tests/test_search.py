@@ -152,6 +152,13 @@ def test_index_scan_gets_the_words_as_literals(corpus, tmp_path):
     assert S.matching(corpus, many, index).count() == 0
 
 
+def test_index_is_sorted_by_tasks_of_bounded_text(corpus, tmp_path, monkeypatch):
+    text = corpus.selectExpr("sum(octet_length(message))").first()[0]
+    monkeypatch.setattr(S, "_TASK_BYTES", max(text // 40, 1), raising=False)
+    S.build_search_index(corpus, str(tmp_path / "i"))
+    assert len(list((tmp_path / "i" / "postings").glob("part-*.parquet"))) > 20
+
+
 def test_index_query_keeps_a_common_word_out_of_one_task(spark, sf):
     from logweave.plans.search_queries import build_search_index
     plan = build_search_index(spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -224,6 +224,45 @@ def test_findings_and_redaction(spark):
     assert secrets.findings(docs.limit(0), secrets.train(docs.limit(0))).count() == 0
 
 
+def test_training_takes_long_texts_and_all_candidates(spark):
+    long = " ".join(["word"] * 12_000 + _secret_texts(30))  # the only candidates lie behind 50,000 bytes
+    many = " ".join(f"file_{i:04d}_name" for i in range(40))
+    net = secrets.train(spark.createDataFrame([(0, long), (1, "plain words only"), (2, None)], "doc_id int, text string"))
+    assert net.threshold <= 1 and net.recall >= secrets.RECALL
+    found = secrets._examples(spark.createDataFrame([(0, many), (1, many)], "doc_id int, text string"), 1).where("NOT made")
+    assert found.count() == 40
+
+
+def test_training_in_blocks_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 1500)
+    docs = spark.createDataFrame(list(enumerate(_secret_texts(200))), "doc_id int, text string")
+    nets = [secrets.train(docs.repartition(n)) for n in (1, 5)]
+    assert nets[0].threshold == nets[1].threshold and (nets[0].state() == nets[1].state()).all()
+    assert nets[0].recall >= secrets.RECALL and nets[0].false_share <= 0.05
+    _, found = secrets.scan_part(pa.array(["the auth: ghp_" + "a8Gk29sLq0ZxPw73" * 2 + "9Bqt is here", "see file_2024_01_02_v10.txt now"]), nets[0])
+    assert [k for *_, k in found[0]] == [3] and found[1] == []
+
+
+def test_codes_and_gradient_agree_with_plain_loops():
+    rng = random.Random(9)
+    raw = "".join(rng.choice("aB1-_. é") for _ in range(400)).encode()
+    buf, spans = np.frombuffer(raw, np.uint8), [(100, 100 + n) for n in (8, 48, 49, 120)] + [(0, 30), (380, len(raw))]
+    codes = secrets.encode(buf, [0] * 6, [len(raw)] * 6, *zip(*spans))
+    for row, (a, b) in zip(codes, spans):
+        own = raw[a:b] if b - a <= secrets.WIDTH else raw[a:a + 24] + raw[b - 24:b]
+        want = [*raw[max(0, a - 24):a].rjust(24, b"\0"), 0, *own.ljust(48, b"\0"), 0, *raw[b:b + 24].ljust(24, b"\0")]
+        assert row.tolist() == [int(secrets._CODES[c]) if c else 0 for c in want]
+    net, labels, weight = secrets.CharNet(), np.array([1, 0, 0, 1, 0, 1.0]), np.ones(6)
+
+    def loss(n):
+        p = n.scores(codes)
+        return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean()
+    g, state = net._gradient(codes, labels, weight), net.state()
+    for i in (int(np.abs(g[:1000]).argmax()), 1200 + int(np.abs(g[1200:2400]).argmax()), len(g) - 1, len(g) - 10):
+        near = [loss(secrets.CharNet().restore(state + sign * 1e-3 * (np.arange(len(state)) == i))) for sign in (1, -1)]
+        assert abs((near[0] - near[1]) / 2e-3 - g[i]) < 1e-3 + 0.02 * abs(g[i])
+
+
 # --- licences ---
 
 def test_licence_phrases_and_templates(spark):

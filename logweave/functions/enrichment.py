@@ -18,13 +18,23 @@ def _column(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def _may(c, *words):
+    """Whether a pattern that needs one of ``words``, in any case, can match: a cheap test before it runs. Texts
+    beyond ASCII always pass, as some of their letters equal ASCII ones of the other case."""
+    found = F.octet_length(c) != F.length(c)
+    for word in words:
+        found = found | F.contains(F.lower(c), F.lit(word))
+    return found
+
+
 def duration_ms(message, convert_units=False):
     """First duration in the text. Units are ignored unless ``convert_units`` is set."""
     c = _column(message)
-    value = F.nullif(F.regexp_extract(c, DURATION, 1), F.lit("")).cast("double")
+    may = _may(c, "duration", "elapsed", "took", "time", "latency")
+    value = F.when(may, F.nullif(F.regexp_extract(c, DURATION, 1), F.lit(""))).cast("double")
     if convert_units:
         seconds = r"(?iU)\b(?:duration|elapsed|took|time|latency|response_time)[:\s=]*\d+(?:\.\d+)?\s*(?:s|seconds)\b"
-        first = F.regexp_extract(c, DURATION, 0)
+        first = F.when(may, F.regexp_extract(c, DURATION, 0))
         value = F.when(F.rlike(first, F.lit(seconds)), value * 1000).otherwise(value)
     return value
 
@@ -36,19 +46,19 @@ def _hit(c, pattern, group):
 def extract_fields(message, convert_units=False, chars=None):
     """First hit of each pattern as a struct; fields without a hit are null. ``chars`` cuts the exception."""
     c = _column(message)
-    status = F.nullif(F.regexp_extract(c, STATUS_CODE, 2), F.lit("")).cast("int")
-    # the mandatory literal characters are tested first: most lines skip these two patterns
+    status = F.when(_may(c, "status", "http"), _hit(c, STATUS_CODE, 2)).cast("int")
+    # the mandatory literal characters are tested first: most lines skip these patterns
     ip = F.when(F.contains(c, F.lit(".")), _hit(c, IP_ADDRESS, 1))
     path = F.when(F.contains(c, F.lit("/")), _hit(c, URL_PATH, 1))
     kind = strip(F.regexp_extract(c, EXCEPTION, 1))
-    kind = F.when(F.rlike(c, F.lit(EXCEPTION)), kind if chars is None else F.substring(kind, 1, chars))
+    kind = F.when(_may(c, "exception", "error", "traceback", "caused by") & F.rlike(c, F.lit(EXCEPTION)), kind if chars is None else F.substring(kind, 1, chars))
     return F.struct(
         status.alias("status_code"),
         duration_ms(c, convert_units).alias("duration_ms"),
         ip.alias("ip_address"),
         path.alias("url_path"),
         kind.alias("exception_type"),
-        _hit(c, USER_ID, 1).alias("user_id"),
+        F.when(_may(c, "user"), _hit(c, USER_ID, 1)).alias("user_id"),
     )
 
 
@@ -95,7 +105,13 @@ def last_keys(fields):
 
 def merge_metadata(metadata, **parts):
     """JSON object text with extra keys; a null part leaves the key as it was. Of a repeated key the last
-    one counts; an object that cannot be read for repeated keys within is replaced by an empty one."""
+    one counts; an object that cannot be read for repeated keys within is replaced by an empty one. An object of
+    at most one key, with a plain text, is its own normal form: the parts are put behind it as texts."""
+    old = F.coalesce(metadata, F.lit("{}"))
+    simple = F.rlike(old, F.lit(rf'^\{{(?:"(?!(?:{"|".join(parts)})")[A-Za-z0-9_]+":"[A-Za-z0-9_ .:-]*")?\}}\z'))
+    own = F.nullif(F.substring(old, F.lit(2), F.length(old) - 2), F.lit(""))
+    texts = [F.concat(F.lit(f'"{k}":'), F.to_json(F.parse_json(v))) for k, v in parts.items()]
+    spliced = F.concat(F.lit("{"), F.concat_ws(",", own, *texts), F.lit("}"))
     base = last_keys(F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,variant>"))
     base = F.coalesce(base, F.from_json(F.lit("{}"), "map<string,variant>"))
     keys = F.array_compact(F.array(*[F.when(v.isNotNull(), F.lit(k)) for k, v in parts.items()]))
@@ -104,7 +120,7 @@ def merge_metadata(metadata, **parts):
         for k, v in parts.items()
     ])))
     kept = F.map_filter(base, lambda k, v: ~F.array_contains(keys, k))
-    return F.to_json(F.map_concat(kept, extra))
+    return F.when(simple, spliced).otherwise(F.to_json(F.map_concat(kept, extra)))
 
 
 def enrich(df, strict=False, convert_units=False, now=None):

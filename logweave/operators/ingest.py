@@ -11,6 +11,7 @@ from logweave.functions.levels import normalize_level
 from logweave.functions.masking import strip
 from logweave.functions.timestamps import read_timestamp
 from logweave.model import LEVELS, STRUCTURED_SCHEMA
+from logweave.session import small_methods
 
 _STRICT = {"allowSingleQuotes": "false"}
 
@@ -156,6 +157,7 @@ def ingest_raw_lines(df, col="value", as_of=None, raw_env_null=False, **override
     """Text (one line or a block per row) to normalised rows with ``id`` and ``ingested_at``; blank lines
     are dropped. Rows that bring an ``id`` keep it for their first line. ``overrides`` are the sender's
     values of :func:`with_overrides`."""
+    df = small_methods(df)
     if not df.isStreaming:
         df = with_identity(df)
     lines = df.select("*", F.posexplode(F.split(col, LINE_BREAK)).alias("_line", "_text")).withColumn(col, F.col("_text")).drop("_text")

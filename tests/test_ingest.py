@@ -226,3 +226,26 @@ def test_an_index_over_repeated_ids_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="id 1 is on 2 rows"):
         build_search_index(rows, str(tmp_path / "i"))
     build_search_index(rows.where("message <> 'a disk'"), str(tmp_path / "i"))
+
+
+def test_parsing_is_compiled_and_metadata_keeps_its_normal_form(spark):
+    """Methods above 8,000 bytes are never compiled; parts spliced into short metadata equal those merged as maps."""
+    from logweave.functions.enrichment import merge_metadata
+    from logweave.operators import ingest
+    from logweave.operators.enrich import process
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    lines = spark.createDataFrame([('{"message":"took 5 ms","level":"ERROR"}',)], "value string")
+    assert process(ingest.ingest_raw_lines(lines)).count() == 1
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    x, y = '{"b":2.50,"a":"\\u00e9/"}', None
+    want = {'{"k":"v w"}': '{"k":"v w","x":{"a":"é/","b":2.5}}', "{}": '{"x":{"a":"é/","b":2.5}}', None: '{"x":{"a":"é/","b":2.5}}', '{"x":"old"}': '{"x":{"a":"é/","b":2.5}}',
+            '{"y":"old"}': '{"y":"old","x":{"a":"é/","b":2.5}}', '{ "k" : 1.0 }': '{"k":1,"x":{"a":"é/","b":2.5}}', '{"k":"v"}\n': '{"k":"v","x":{"a":"é/","b":2.5}}',
+            '{"k":"1","k":"2"}': '{"k":"2","x":{"a":"é/","b":2.5}}'}
+    df = spark.createDataFrame([(m, x, y) for m in want], "m string, x string, y string")
+    assert {r.m: r.got for r in df.select("m", merge_metadata(df.m, x=df.x, y=df.y).alias("got")).collect()} == want
+
+
+def test_fields_are_found_in_any_case_and_beyond_ascii(spark):
+    texts = {"ſtatus 404": 404, "STATUS_CODE=503": 503, "Http: 200": 200, "nothing 404": None}
+    df = spark.createDataFrame([(t,) for t in texts], "m string")
+    assert {r.m: r.x["status_code"] for r in df.select("m", extract_fields("m").alias("x")).collect()} == texts

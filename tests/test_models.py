@@ -210,3 +210,63 @@ def test_rows_that_share_many_terms_meet_in_blocks(spark, monkeypatch):
     assert {r["id"] - 10: r["label"] - 10 for r in found.collect()} == {i: int(label[i]) for i in range(m) if core[i]}
     border = {(r["a"] - 10, int(label[r["b"] - 10])) for r in links.where("border").collect()}
     assert border == {(i, int(label[k])) for i, k in zip(*np.nonzero(similar & core)) if not core[i]}
+
+
+@pytest.mark.parametrize("strip,tile,columns", [(1 << 14, 512, 1024), (200, 64, 5), (64, 7, 0)])
+def test_rows_are_compared_by_strips(spark, monkeypatch, strip, tile, columns):
+    for name, value in (("_STRIP_ROWS", strip), ("_TILE_ROWS", tile), ("_COLUMNS", columns), ("_PRODUCTS", 1000), ("_SIDE_ROWS", 100)):
+        monkeypatch.setattr(P, name, value)
+    rng = np.random.default_rng(5)
+    m = 700
+    x = np.zeros((m, 90))
+    for v in x:
+        v[rng.choice(80, 24, replace=False)] = rng.random(24) + 0.1
+    x[:40] = 0
+    for k, v in enumerate(x[:40]):  # products of exactly a half
+        v[[80 + k % 2, 82 + k % 3, 85 + k % 5]] = [0.5, 0.5, np.sqrt(0.5)]
+    x[40:60] = x[60:80]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    n, core = rng.integers(1, 4, m), rng.random(m) < 0.5
+    ids = rng.permutation(m) * 3
+    rows = [(int(i), int(k), [(int(t), float(v[t])) for t in np.flatnonzero(v)], bool(c)) for i, k, v, c in zip(ids, n, x, core)]
+    vectors = spark.createDataFrame(rows, "id long, n long, vec array<struct<r: long, w: double>>, core boolean").repartition(3).cache()
+    assert P._blocks(vectors, 0.5) is None  # a shuffle would send every row six times at least
+    monkeypatch.setattr(P, "_blocks", lambda v, threshold: None)
+    for threshold in (0.5, 0.62):
+        similar = (x @ x.T >= threshold - 1e-9) & ~np.eye(m, dtype=bool)
+        near = {r["id"]: r["near"] for r in P._neighbours(vectors.drop("core"), threshold).collect()}
+        assert near == {int(i): int(c) for i, c in zip(ids, similar @ n) if c}
+        links = P._links(vectors, threshold).cache()
+        label = dict(zip(ids.tolist(), ids.tolist()))
+        pairs = [(int(ids[i]), int(ids[k])) for i, k in zip(*np.nonzero(similar & core & core[:, None]))]
+        while True:
+            old = dict(label)
+            for a, b in pairs:
+                label[a] = min(label[a], label[b])
+            if label == old:
+                break
+        found = {r["id"]: r["label"] for r in P.components(vectors.where("core"), links.where("NOT border")).collect()}
+        assert found == {int(i): label[int(i)] for i, c in zip(ids, core) if c}
+        border = {(r["a"], label[r["b"]]) for r in links.where("border").collect()}
+        assert border == {(int(ids[i]), label[int(ids[k])]) for i, k in zip(*np.nonzero(similar & core)) if not core[i]}
+
+
+def test_strips_are_bounded_and_hold_every_row(spark, monkeypatch):
+    rows = [(i, 1, [(t, 0.1) for t in range(1 + i % 7)]) for i in range(900)]
+    vectors = spark.createDataFrame(rows, "id long, n long, vec array<struct<r: int, w: double>>")
+    packed = P._packed(vectors).cache()
+    assert packed.count() == 900
+    for held, m in ((1 << 22, 300), (700, 1 << 14)):
+        monkeypatch.setattr(P, "_STRIP_ENTRIES", held)
+        monkeypatch.setattr(P, "_STRIP_ROWS", m)
+        strips = P._strips(packed)
+        parts = [packed.where(F.col("no").between(*s)).select(F.octet_length("terms").alias("size")).collect() for s in strips]
+        assert len(strips) > 2 and sum(map(len, parts)) == 900
+        assert all(len(p) <= m and sum(r["size"] for r in p) <= 8 * held for p in parts)
+
+
+def test_neighbours_of_rows_without_id_count(spark, monkeypatch):
+    monkeypatch.setattr(P, "_blocks", lambda vectors, threshold: None)
+    rows = [(1, 2, [(0, 1.0)]), (None, 5, [(0, 1.0)]), (1, 7, [(0, 1.0)]), (2, 1, [(1, 1.0)])]
+    vectors = spark.createDataFrame(rows, "id long, n long, vec array<struct<r: int, w: double>>")
+    assert [tuple(r) for r in P._neighbours(vectors, 0.5).collect()] == [(1, 5 + 7 + 2 + 5)]

@@ -270,3 +270,25 @@ def test_neighbours_of_rows_without_id_count(spark, monkeypatch):
     rows = [(1, 2, [(0, 1.0)]), (None, 5, [(0, 1.0)]), (1, 7, [(0, 1.0)]), (2, 1, [(1, 1.0)])]
     vectors = spark.createDataFrame(rows, "id long, n long, vec array<struct<r: int, w: double>>")
     assert [tuple(r) for r in P._neighbours(vectors, 0.5).collect()] == [(1, 5 + 7 + 2 + 5)]
+
+
+def test_texts_with_ids_of_their_own_are_not_shuffled(spark):
+    rows = [(1, "red blue red", 2), (2, "blue green", 3), (3, None, 4), (None, "red", 1), (4, "the of", 1)]
+    tmpl = spark.createDataFrame(rows, "id long, template string, n long")
+    plan = P._term_counts(tmpl, ["the", "of"], alone=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for made in (P._term_counts, P._term_totals):
+        assert sorted(map(str, made(tmpl, ["the", "of"], alone=True).collect())) == sorted(map(str, made(tmpl, ["the", "of"]).collect()))
+    assert P._term_counts(tmpl, ["the", "of"], alone=True).count() == 4 + 3 + 1
+
+
+def test_messages_that_share_an_id_are_one_row(spark):
+    """Ids that repeat, with the same count and with another, as the grouped way has them."""
+    texts = ["disk alpha full", "disk alpha slow", "net beta down", "net beta lost", "cpu gamma hot", "cpu gamma cold"]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts * 2)] + [(0, texts[0])], "id long, message string")
+    model = P.fit_patterns(df)
+    tmpl = P.templates(df)
+    want = P.vectorize(tmpl, P.tfidf_fit(tmpl))
+    shown = lambda v: sorted((r["id"], r["n"], len(r["vec"]), round(sum(e["w"] for e in r["vec"]), 9)) for r in v.collect())
+    assert shown(model.vectors) == shown(want)
+    assert len({(r["id"], r["n"]) for r in model.vectors.collect()}) == model.vectors.count() < 6
